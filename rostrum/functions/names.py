@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import squeeze, strip
@@ -23,18 +23,19 @@ def _plain(speaker) -> Column:
     return squeeze(F.upper(F.regexp_replace(speaker, r"(?U)\.+(?=\s|$)|(?<=^|\s)\.+", "")))
 
 
-def _untitled(speaker) -> Column:
-    return squeeze(F.regexp_replace(_plain(speaker), rf"(?<=^| )(?:{'|'.join(TITLE_WORDS)})(?= |$)", ""))
+def with_name_parts(df: DataFrame, speaker: str = "speaker") -> DataFrame:
+    """Add speaker_last_name (upper case, titles removed) and speaker_last_word.
 
-
-def full_name(speaker) -> Column:
-    """Upper-case name without titles; the last title when there is nothing else."""
-    alone = F.nullif(F.regexp_extract(_plain(speaker), r"(\S+)$", 1), F.lit(""))
-    return F.coalesce(F.nullif(_untitled(speaker), F.lit("")), alone)
-
-
-def last_word(speaker) -> Column:
-    return F.regexp_extract(full_name(speaker), r"(\S+)$", 1)
+    A speaker of nothing but titles keeps the last one; an empty speaker gives null.
+    """
+    titles = rf"(?<=^| )(?:{'|'.join(TITLE_WORDS)})(?= |$)"
+    plain = df.withColumn("_plain", _plain(F.col(speaker)))
+    bare = plain.withColumn("_bare", squeeze(F.regexp_replace("_plain", titles, "")))
+    named = bare.withColumn(
+        "speaker_last_name",
+        F.when(F.col("_bare") != "", F.col("_bare")).when(F.col("_plain") != "", F.substring_index("_plain", " ", -1)),
+    )
+    return named.withColumn("speaker_last_word", F.substring_index("speaker_last_name", " ", -1)).drop("_plain", "_bare")
 
 
 def parent_committee(code) -> Column:
@@ -97,6 +98,18 @@ def zero_padded(col, width: int = 5) -> Column:
     return F.lpad(n.cast("string"), width, "0")
 
 
+def letter_bag(col) -> Column:
+    """Letters with their occurrence number, so that set overlap counts repeated letters."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.transform(
+        F.sequence(F.lit(1), F.length(c)),
+        lambda i: F.concat(
+            F.substr(c, i, F.lit(1)),
+            (i - F.length(F.replace(F.substr(c, F.lit(1), i), F.substr(c, i, F.lit(1)), F.lit("")))).cast("string"),
+        ),
+    )
+
+
 def similarity(a, b) -> Column:
     """0-100 similarity: 200 * longest common subsequence / total length.
 

@@ -92,6 +92,10 @@ def disambiguated(open_names: DataFrame, lookup: DataFrame, out: str = "hit") ->
     return best.select(*open_names.columns, hit.alias(out))
 
 
+def df_conf(df: DataFrame, key: str) -> str:
+    return df.sparkSession.conf.get(key)
+
+
 # ---- similarity join ------------------------------------------------------------------
 
 
@@ -102,7 +106,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], a: str, b
     by at most D = (1 - cutoff/100) * (len a + len b) inserted or deleted letters. If `b`
     is cut into D + 1 pieces, one piece must survive unchanged in `a`, shifted by no more
     than the edits allow. Both sides are therefore joined on (block, lengths, piece
-    number, piece text) and only those candidates are scored; blocks are never crossed.
+    number, piece text); blocks are never crossed. Candidates whose edit distance or letter
+    counts, two lower bounds of D, are too far apart go before the costlier score is computed.
     """
     if not 50 < cutoff <= 100:
         raise ValueError("cutoff must be above 50")
@@ -113,33 +118,34 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], a: str, b
     def other_lengths(length: str) -> str:
         return f"sequence(greatest(1, {lo.format(length)}), greatest(1, {hi.format(length)}))"
 
-    def pieces(df, col, own, other):
-        names_ = df.select(*block, col).filter((F.length(col) > 0)).distinct()
-        x = names_.withColumn(own, F.length(col)).withColumn(other, F.explode(F.expr(other_lengths(own))))
+    def pieces(df, col, own, other, bag):
+        names_ = df.select(*block, col).filter(F.length(col) > 0).distinct()
+        x = names_.withColumn(own, F.length(col)).withColumn(bag, names.letter_bag(col))
+        x = x.withColumn(other, F.explode(F.expr(other_lengths(own))))
         # Short strings at low cutoffs may have fewer letters than pieces; they share one empty piece.
         x = x.withColumn("_d", F.expr(d)).withColumn("_k", F.explode(F.expr("if(_d + 1 > lb, array(-1), sequence(0, _d))")))
         start, stop = "if(_k < 0, 0, cast(floor(_k * lb / (_d + 1)) as int))", "if(_k < 0, 0, cast(floor((_k + 1) * lb / (_d + 1)) as int))"
         return x.withColumn("_p", F.expr(start)).withColumn("_w", F.expr(f"{stop} - _p"))
 
     keys = [*block, "la", "lb", "_k", "_piece"]
-    right_pieces = pieces(right, b, "lb", "la").withColumn("_piece", F.expr(f"substr({b}, _p + 1, _w)"))
-    shifts = (
-        "sequence(greatest(0, _p - cast(floor((_d - (la - lb)) / 2) as int)), "
-        "least(la - _w, _p + cast(floor((_d + (la - lb)) / 2) as int)))"
-    )
-    probe = pieces(left, a, "la", "lb")
-    left_pieces = probe.withColumn(
-        "_piece",
-        F.explode(
-            F.expr(
-                f"if(_k < 0, array(''), if(greatest(0, _p - cast(floor((_d - (la - lb)) / 2) as int)) > "
-                f"least(la - _w, _p + cast(floor((_d + (la - lb)) / 2) as int)), cast(array() as array<string>), "
-                f"array_distinct(transform({shifts}, s -> substr({a}, s + 1, _w)))))"
-            )
-        ),
+    right_pieces = pieces(right, b, "lb", "la", "_bb").withColumn("_piece", F.expr(f"substr({b}, _p + 1, _w)"))
+    first = "greatest(0, _p - cast(floor((_d - (la - lb)) / 2) as int))"
+    final = "least(la - _w, _p + cast(floor((_d + (la - lb)) / 2) as int))"
+    cuts = (
+        f"case when _k < 0 then array('') when {first} > {final} then cast(array() as array<string>) "
+        f"else array_distinct(transform(sequence({first}, {final}), s -> substr({a}, s + 1, _w))) end"
     )
-    cand = left_pieces.select(*keys, a).join(right_pieces.select(*keys, b), keys).select(*block, a, b).distinct()
-    scored = cand.withColumn("score", names.similarity(F.col(a), F.col(b)))
+    left_pieces = pieces(left, a, "la", "lb", "_ba").withColumn("_piece", F.explode(F.expr(cuts)))
+    # Pieces are few bytes but much comparing, so they keep the full number of partitions.
+    parts = int(df_conf(left, "spark.sql.shuffle.partitions"))
+    cand = left_pieces.select(*keys, a, "_ba").repartition(parts, *keys).join(right_pieces.select(*keys, b, "_bb"), keys)
+    total = F.length(a) + F.length(b)
+    edits = F.lit(1 - c) * total + 1e-9
+    common = F.size(F.array_intersect("_ba", "_bb"))
+    cand = cand.filter((F.levenshtein(a, b) <= edits) & (total - 2 * common <= edits))
+    cand = cand.select(*block, a, b).distinct().repartition(parts, *block, a)
+    # A generator keeps the cutoff filter, and with it the score, above the distinct.
+    scored = cand.select("*", F.explode(F.array(names.similarity(F.col(a), F.col(b)))).alias("score"))
     return scored.filter(F.col("score") >= cutoff)
 
 

@@ -56,10 +56,7 @@ def token_chunks(df: DataFrame, max_tokens: int, text_col: str = "text") -> Data
 
 def sentence_records(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """Transcript rows -> sentence rows with the speaker's name parts."""
-    out = to_sentences(segment(df, text_col))
-    return out.withColumn("speaker_last_name", names.full_name(F.col("speaker"))).withColumn(
-        "speaker_last_word", names.last_word(F.col("speaker"))
-    )
+    return names.with_name_parts(to_sentences(segment(df, text_col)))
 
 
 def without_sentences(hearings: DataFrame, records: DataFrame, key: str) -> DataFrame:

@@ -34,7 +34,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name))
+        self.__dict__[name] = df
+        return df
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -49,13 +49,7 @@ def with_hearing_metadata(sentences: DataFrame, s: Sources) -> DataFrame:
         s.hearings.join(members.best_committee(s.committees, s.hearings, s.committee_order), "hearing_id", "left")
         .join(members.resolve_hearing_dates(s.dates, s.hearings, s.known_sessions), "hearing_id", "left")
     )
-    out = sentences.join(info, "hearing_id", "left")
-    return out.withColumns(
-        {
-            "speaker_last_name": names.full_name(F.col("speaker")),
-            "speaker_last_word": names.last_word(F.col("speaker")),
-        }
-    )
+    return names.with_name_parts(sentences.join(info, "hearing_id", "left"))
 
 
 def match(named: DataFrame, s: Sources) -> DataFrame:

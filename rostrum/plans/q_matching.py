@@ -26,7 +26,7 @@ def _bio(col):
 
 
 def _surname(col):
-    return F.concat(F.lit("M"), F.translate((F.col(col) % 700).cast("string"), *_LETTERS), F.lit("son"))
+    return F.concat(F.lit("M"), F.translate((F.col(col) % 700 * 7919 + 1234567).cast("string"), *_LETTERS))
 
 
 def member_rows(t: Tables) -> DataFrame:
@@ -107,8 +107,8 @@ def sentence_rows(t: Tables) -> DataFrame:
     """Lines as spoken sentences; the line number decides how the speaker is written."""
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     n = F.col("l_linenumber")
-    p = F.expr("translate(cast(l_partkey % 700 as string), '0123456789', 'aeioubdlnr')")
-    other = F.concat(F.lit("M"), p, F.lit("son"))
+    p = F.expr("translate(cast(l_partkey % 700 * 7919 + 1234567 as string), '0123456789', 'aeioubdlnr')")
+    other = F.concat(F.lit("M"), p)
     k = F.col("l_partkey")
     first = F.when(k % 3 == 0, "Ann").when(k % 3 == 1, "Bob").otherwise("Cyd")
     speaker = (
@@ -116,7 +116,7 @@ def sentence_rows(t: Tables) -> DataFrame:
         .when(n == 2, F.lit("The Chairman"))
         .when(n == 3, F.concat(F.lit("Ms. "), other))
         .when(n == 4, F.concat(F.lit("Mr. Van "), F.upper(other)))
-        .when(n == 5, F.concat(F.lit("Mrs. M"), p, F.lit("sonn")))
+        .when(n == 5, F.concat(F.lit("Mrs. M"), p, F.lit("z")))
         .when(n == 6, F.concat(F.lit("Mr. "), first, F.lit(" "), other))
         .otherwise(F.concat(F.lit("Dr. "), other))
     )
@@ -131,6 +131,12 @@ def sentence_rows(t: Tables) -> DataFrame:
 
 
 def sources(t: Tables) -> compose.Sources:
+    if "_sources" not in t.__dict__:
+        t.__dict__["_sources"] = _sources(t)
+    return t.__dict__["_sources"]
+
+
+def _sources(t: Tables) -> compose.Sources:
     return compose.Sources(
         hearings=hearings(t).select("hearing_id", "congress", "chamber", "title"),
         committees=committees(t),
@@ -150,7 +156,7 @@ def sources(t: Tables) -> compose.Sources:
 
 LET = "'0123456789', 'aeioubdlnr'"
 BASE_SQL = f"""{HEARINGS_SQL}, {COMMITTEES_SQL},
-members as (select 'B' || lpad(c_custkey::varchar, 6, '0') as bioguide_id, 'M' || translate((c_custkey % 700)::varchar, {LET}) || 'son' as last_name,
+members as (select 'B' || lpad(c_custkey::varchar, 6, '0') as bioguide_id, 'M' || translate((c_custkey % 700 * 7919 + 1234567)::varchar, {LET}) as last_name,
   case c_custkey % 3 when 0 then 'Ann' when 1 then 'Bob' else 'Cyd' end as first_name,
   case c_custkey % 4 when 0 then 'Republican' when 1 then 'Democrat' when 2 then 'Democratic' end as party, 'S' || c_nationkey as state from customer),
 terms as (select distinct 'B' || lpad(o_custkey::varchar, 6, '0') as bioguide_id, {CONG} as congress, case when o_custkey % 10 = 0 then 'senate' else 'house' end as chamber from orders),
@@ -167,14 +173,14 @@ hmap as (select hearing_id, bioguide_id, upper(last_name) as nm, last_name, firs
 lead_src as (select (s_suppkey % 4 + 104)::int as congress, 'HSAG' as thomas_id, min('B' || lpad(s_suppkey::varchar, 6, '0')) as lo, max('B' || lpad(s_suppkey::varchar, 6, '0')) as hi from supplier group by 1),
 leaders as (select congress, thomas_id, 'chair' as role, lo as bioguide_id, 0 as ord from lead_src union all select congress, thomas_id, 'chair', hi, 1 from lead_src union all select congress, thomas_id, 'ranking_member', hi, 0 from lead_src),
 sent0 as (select l_orderkey as hearing_id, l_linenumber as sent_no, l_suppkey as sent_tie, l_partkey, l_quantity, o_custkey,
-  translate((l_partkey % 700)::varchar, {LET}) as p, translate((o_custkey % 700)::varchar, {LET}) as q,
+  translate((l_partkey % 700 * 7919 + 1234567)::varchar, {LET}) as p, translate((o_custkey % 700 * 7919 + 1234567)::varchar, {LET}) as q,
   case l_partkey % 3 when 0 then 'Ann' when 1 then 'Bob' else 'Cyd' end as fn from lineitem join orders on o_orderkey = l_orderkey),
-sent1 as (select *, case sent_no when 1 then 'Mr. M' || q || 'son' when 2 then 'The Chairman' when 3 then 'Ms. M' || p || 'son' when 4 then 'Mr. Van ' || upper('M' || p || 'son')
-   when 5 then 'Mrs. M' || p || 'sonn' when 6 then 'Mr. ' || fn || ' M' || p || 'son' else 'Dr. M' || p || 'son' end as speaker,
-   case sent_no when 1 then upper('M' || q || 'son') when 2 then 'CHAIRMAN' when 3 then upper('M' || p || 'son') when 4 then 'VAN ' || upper('M' || p || 'son')
-   when 5 then upper('M' || p || 'sonn') when 6 then upper(fn || ' M' || p || 'son') else upper('M' || p || 'son') end as full_nm,
-   case sent_no when 1 then upper('M' || q || 'son') when 2 then 'CHAIRMAN' when 3 then upper('M' || p || 'son') when 4 then upper('M' || p || 'son')
-   when 5 then upper('M' || p || 'sonn') when 6 then upper('M' || p || 'son') else upper('M' || p || 'son') end as last_w from sent0),
+sent1 as (select *, case sent_no when 1 then 'Mr. M' || q when 2 then 'The Chairman' when 3 then 'Ms. M' || p when 4 then 'Mr. Van ' || upper('M' || p)
+   when 5 then 'Mrs. M' || p || 'z' when 6 then 'Mr. ' || fn || ' M' || p else 'Dr. M' || p end as speaker,
+   case sent_no when 1 then upper('M' || q) when 2 then 'CHAIRMAN' when 3 then upper('M' || p) when 4 then 'VAN ' || upper('M' || p)
+   when 5 then upper('M' || p || 'z') when 6 then upper(fn || ' M' || p) else upper('M' || p) end as full_nm,
+   case sent_no when 1 then upper('M' || q) when 2 then 'CHAIRMAN' when 3 then upper('M' || p) when 4 then upper('M' || p)
+   when 5 then upper('M' || p || 'z') when 6 then upper('M' || p) else upper('M' || p) end as last_w from sent0),
 meta as (select s.*, h.congress, h.chamber, h.title, b.committee_code, b.committee_name from sent1 s left join hearings h using (hearing_id) left join best b using (hearing_id)),
 leg as (select * from meta where sent_no < 7)
 """
@@ -199,7 +205,7 @@ told0 as (select congress, full_nm, rk, min(bioguide_id) filter (fit) as bid fro
 told as (select congress, full_nm, arg_min(bid, rk) as bid from told0 group by all),
 fz as (select distinct o.congress, o.full_nm as a, l.nm as b from op o join (select distinct congress, nm from lookup) l on l.congress = o.congress
    where (o.congress, o.full_nm) not in (select (congress, full_nm) from told) and 200.0 * least(length(o.full_nm), length(l.nm)) / (length(o.full_nm) + length(l.nm)) >= 85
-     and starts_with(o.full_nm, 'M') and ends_with(l.nm, 'SON')),
+     and levenshtein(o.full_nm, l.nm) <= 0.15 * (length(o.full_nm) + length(l.nm)) + 1e-9),
 sc as (select *, 200.0::double * (case when a = b then length(a) else """ + _LCS + """ end) / (length(a) + length(b)) as score from fz),
 bestf as (select congress, a, arg_min(b, (-score, b)) as b, max(score) as score from sc where score >= 85 group by 1, 2),
 fuz as (select f.congress, f.a, f.score, cu.bid from bestf f join cu on cu.congress = f.congress and cu.nm = f.b),
@@ -227,12 +233,8 @@ def matched_sentences(t: Tables) -> DataFrame:
     sql=f"with {BASE_SQL} select hearing_id, sent_no, sent_tie, speaker, full_nm as speaker_last_name, last_w as speaker_last_word from sent1",
 )
 def name_parts(t: Tables) -> DataFrame:
-    s = sentence_rows(t)
-    return s.select(
-        "hearing_id", "sent_no", "sent_tie", "speaker",
-        names.full_name(F.col("speaker")).alias("speaker_last_name"),
-        names.last_word(F.col("speaker")).alias("speaker_last_word"),
-    )
+    s = names.with_name_parts(sentence_rows(t))
+    return s.select("hearing_id", "sent_no", "sent_tie", "speaker", "speaker_last_name", "speaker_last_word")
 
 
 @query(
@@ -426,7 +428,7 @@ enriched as (
    (exists (select 1 from leaders l where l.role = 'chair' and l.bioguide_id = m.bioguide_id and l.congress = m.congress and m.committee_code = 'hsag00'))::int as chairspeech
  from matched m left join cov c on c.bioguide_id = m.bioguide_id and c.congress = m.congress
  left join win w on w.state_abbrev = c.state_abbrev and w.district_code = c.district_code and w.congress = m.congress
- where {KEEP_SQL} and (m.bioguide_id is null or c.nominate_dim1 is not null or c.seniority is not null))"""
+ where {KEEP_SQL.replace('full_nm', 'm.full_nm').replace('last_w', 'm.last_w').replace('bioguide_id', 'm.bioguide_id')} and (m.bioguide_id is null or c.nominate_dim1 is not null or c.seniority is not null))"""
 
 
 @query("drop_unenriched", sql=f"with {ENRICHED_SQL} select hearing_id, sent_no, sent_tie, bioguide_id from enriched where bioguide_id is not null")
