@@ -1 +1,72 @@
-"""Profiles and data-quality rules."""
+"""Profiles and data-quality rules, each as one aggregate pass."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import dates
+
+
+def profile(df: DataFrame, *, approximate: bool = False) -> DataFrame:
+    """Per column: type, null share, distinct count and three sample values.
+
+    Distinct counts are exact unless `approximate`, which suits very wide or long tables.
+    """
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(df.columns):
+        distinct = F.approx_count_distinct(c) if approximate else F.countDistinct(c)
+        aggs += [F.count(c).alias(f"_c{i}"), distinct.alias(f"_d{i}"), F.min(c).cast("string").alias(f"_lo{i}"), F.max(c).cast("string").alias(f"_hi{i}")]
+    row = df.agg(*aggs)
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(f.name).alias("column"),
+                F.lit(f.dataType.simpleString()).alias("type"),
+                (1 - F.col(f"_c{i}") / F.nullif(F.col("_n"), F.lit(0))).alias("null_share"),
+                F.col(f"_d{i}").alias("n_distinct"),
+                F.array_distinct(F.array(f"_lo{i}", f"_hi{i}")).alias("samples"),
+            )
+            for i, f in enumerate(df.schema.fields)
+        ]
+    )
+    return row.select(F.explode(cells).alias("x")).select("x.*")
+
+
+def overview(df: DataFrame, required: list[str], score: str) -> DataFrame:
+    """Row count, null counts of the listed columns and a mean score, in one pass."""
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in required], F.avg(score).alias("mean_score")
+    )
+
+
+def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
+    return [c for c in required if c not in df.columns]
+
+
+def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """One row per rule: how many rows break it. A null condition breaks nothing."""
+    counts = df.agg(*[F.count_if(~rule).alias(name) for name, rule in rules.items()])
+    cells = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("broken")) for n in rules])
+    return counts.select(F.explode(cells).alias("x")).select("x.*")
+
+
+def enriched_rules() -> dict[str, Column]:
+    """Rules of the enriched table: terms from 1, binary flags, scores within 0 and 100."""
+    flags = "minority dem freshman chairspeech rankmemspeech leader female".split()
+    rules = {"seniority_from_1": F.col("seniority") >= 1, "match_score_range": F.col("match_score").between(0, 100)}
+    return {**rules, **{f"{c}_binary": F.col(c).isin(0, 1) for c in flags}}
+
+
+def outside_session(df: DataFrame, day: str, congress: str, grace_days: int = 90) -> DataFrame:
+    """Rows per congress dated outside its session plus a grace period."""
+    ok = dates.in_session(F.col(day), F.col(congress), grace_days)
+    return df.groupBy(congress).agg(F.count(F.lit(1)).alias("n"), F.count_if(~ok).alias("outside"))
+
+
+def missing_percent(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Percent missing per column, worst first; columns that are absent are left out."""
+    have = [c for c in cols if c in df.columns]
+    row = df.agg(*[(F.avg(F.col(c).isNull().cast("double")) * 100).alias(c) for c in have])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("missing_pct")) for c in have])
+    return row.select(F.explode(cells).alias("x")).select("x.*").orderBy(F.desc("missing_pct"), "column")

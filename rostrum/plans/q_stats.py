@@ -21,11 +21,11 @@ def lines(t: Tables) -> DataFrame:
     return t.lineitem.join(o, "l_orderkey").withColumn("hit", (F.col("l_returnflag") == "R").cast("int"))
 
 
-@query("speech_score", sql="select l_orderkey, round(avg(l_extendedprice), 4) as mean, round(var_samp(l_extendedprice / 1000), 4) as var from lineitem group by 1")
+@query("speech_score", sql="select l_orderkey, round(avg(l_extendedprice), 6) as mean, round(var_samp(l_extendedprice / 1000), 4) as var from lineitem group by 1")
 def speech_score(t: Tables) -> DataFrame:
     """Mean and sample variance of predictions per speech."""
     return t.lineitem.groupBy("l_orderkey").agg(
-        F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.var_samp(F.col("l_extendedprice") / 1000), 4).alias("var")
+        F.round(F.avg("l_extendedprice"), 6).alias("mean"), F.round(F.var_samp(F.col("l_extendedprice") / 1000), 4).alias("var")
     )
 
 
