@@ -31,6 +31,11 @@ def load_terms(spark: SparkSession, glob: str) -> DataFrame:
         F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.csv$", 1).cast("int").alias("version"),
         F.trim("original").alias("original"),
     )
+    return normalized_terms(raw)
+
+
+def normalized_terms(raw: DataFrame) -> DataFrame:
+    """(version, original) -> (version, term, original), one row per version and term."""
     terms = raw.withColumn("term", text.normalize_terms(F.col("original"))).filter(F.col("term") != "")
     return rel.first_by(terms, ["version", "term"], ["original"]).select("version", "term", "original")
 
