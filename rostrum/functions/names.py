@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .barrier import computed_once
 from .text import squeeze, strip
 
 # Title words removed from a speaker's name.
@@ -31,11 +32,11 @@ def with_name_parts(df: DataFrame, speaker: str = "speaker") -> DataFrame:
     titles = rf"(?<=^| )(?:{'|'.join(TITLE_WORDS)})(?= |$)"
     plain = df.withColumn("_plain", _plain(F.col(speaker)))
     bare = plain.withColumn("_bare", squeeze(F.regexp_replace("_plain", titles, "")))
-    named = bare.withColumn(
-        "speaker_last_name",
-        F.when(F.col("_bare") != "", F.col("_bare")).when(F.col("_plain") != "", F.substring_index("_plain", " ", -1)),
+    full = F.when(F.col("_bare") != "", F.col("_bare")).when(
+        F.col("_plain") != "", F.substring_index("_plain", " ", -1)
     )
-    return named.withColumn("speaker_last_word", F.substring_index("speaker_last_name", " ", -1)).drop("_plain", "_bare")
+    parts = {"speaker_last_name": full, "speaker_last_word": F.substring_index(full, " ", -1)}
+    return computed_once(bare, parts).drop("_plain", "_bare")
 
 
 def parent_committee(code) -> Column:

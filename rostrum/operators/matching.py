@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..functions.barrier import computed_once
 from . import relational as rel
 
 PAIR = ["hearing_id", "speaker_last_name", "speaker_last_word", "congress", "committee_code"]
@@ -144,8 +145,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], a: str, b
     common = F.size(F.array_intersect("_ba", "_bb"))
     cand = cand.filter((F.levenshtein(a, b) <= edits) & (total - 2 * common <= edits))
     cand = cand.select(*block, a, b).distinct().repartition(parts, *block, a)
-    # A generator keeps the cutoff filter, and with it the score, above the distinct.
-    scored = cand.select("*", F.explode(F.array(names.similarity(F.col(a), F.col(b)))).alias("score"))
+    scored = computed_once(cand, {"score": names.similarity(F.col(a), F.col(b))})
     return scored.filter(F.col("score") >= cutoff)
 
 

@@ -115,9 +115,10 @@ def ideology_covariates(ideology: DataFrame, congresses: list[int] | None = None
     if "gender" in cols:
         one = one.withColumn("female", F.coalesce(F.col("gender") == "F", F.lit(False)).cast("int"))
     out = one.join(seniority(ideology, congresses), ["bioguide_id", "congress"], "left")
-    for c in ("abs_dwnom1", "seniority", "seniority_sq"):
+    for c in ("abs_dwnom1", "seniority"):
         out = ranking.percent_rank_avg(out, ["congress"], c, f"{c}_rs")
-    return out
+    # Seniority is at least 1, so its square ranks the same.
+    return out.withColumn("seniority_sq_rs", F.col("seniority_rs"))
 
 
 def winning_shares(elections: DataFrame, congresses: list[int] | None = None) -> DataFrame:

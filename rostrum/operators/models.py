@@ -18,6 +18,7 @@ from ..session import cut_lineage
 from . import relational as rel
 
 MAX_TERMS = 400
+ROUNDS_PER_WRITE = 3
 _SCHEMA = "term string, estimate double, std_error double, t_value double, p_value double, conf_low double, conf_high double"
 
 
@@ -160,14 +161,14 @@ def demean(df: DataFrame, cols: list[str], by: str) -> DataFrame:
 def absorb(df: DataFrame, cols: list[str], effects: list[str], tol: float = 1e-8, rounds: int = 200) -> DataFrame:
     """Remove one or two sets of fixed effects; two need alternating rounds.
 
-    Each round is written to the checkpoint folder, so the plan does not grow and a lost
-    executor does not restart the iteration.
+    Every few rounds the rows are written to the checkpoint folder, so the plan does not
+    grow and a lost executor does not restart the iteration.
     """
     if len(effects) == 1:
         return demean(df, cols, effects[0])
     current = df
-    for _ in range(rounds):
-        for by in effects:
+    for _ in range(rounds // ROUNDS_PER_WRITE):
+        for by in list(effects) * ROUNDS_PER_WRITE:
             current = demean(current, cols, by)
         current = cut_lineage(current)
         first = current.groupBy(effects[0]).agg(*[F.abs(F.avg(c)).alias(c) for c in cols])

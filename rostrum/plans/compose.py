@@ -49,7 +49,8 @@ def with_hearing_metadata(sentences: DataFrame, s: Sources) -> DataFrame:
         s.hearings.join(members.best_committee(s.committees, s.hearings, s.committee_order), "hearing_id", "left")
         .join(members.resolve_hearing_dates(s.dates, s.hearings, s.known_sessions), "hearing_id", "left")
     )
-    return names.with_name_parts(sentences.join(info, "hearing_id", "left"))
+    out = sentences.join(info, "hearing_id", "left")
+    return out if "speaker_last_name" in out.columns else names.with_name_parts(out)
 
 
 def match(named: DataFrame, s: Sources) -> DataFrame:

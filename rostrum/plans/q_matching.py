@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, text
+from ..functions.barrier import computed_once
 from ..operators import matching, members, ranking
 from ..operators import relational as rel
 from . import compose
@@ -120,12 +121,13 @@ def sentence_rows(t: Tables) -> DataFrame:
         .when(n == 6, F.concat(F.lit("Mr. "), first, F.lit(" "), other))
         .otherwise(F.concat(F.lit("Dr. "), other))
     )
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").join(o, "l_orderkey").select(
+    j = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").join(o, "l_orderkey")
+    return computed_once(j, {"speaker": speaker}).select(
         F.col("l_orderkey").alias("hearing_id"),
         F.col("l_linenumber").alias("sent_no"),
         F.col("l_suppkey").alias("sent_tie"),
         "l_partkey",
-        speaker.alias("speaker"),
+        "speaker",
         "l_quantity",
     )
 
