@@ -119,32 +119,37 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], a: str, b
     def other_lengths(length: str) -> str:
         return f"sequence(greatest(1, {lo.format(length)}), greatest(1, {hi.format(length)}))"
 
-    def pieces(df, col, own, other, bag):
-        names_ = df.select(*block, col).filter(F.length(col) > 0).distinct()
-        x = names_.withColumn(own, F.length(col)).withColumn(bag, names.letter_bag(col))
-        x = x.withColumn(other, F.explode(F.expr(other_lengths(own))))
+    def distinct_names(df, col, own):
+        return df.select(*block, col, F.length(col).alias(own)).filter(F.col(own) > 0).distinct()
+
+    lefts, rights = distinct_names(left, a, "la"), distinct_names(right, b, "lb")
+
+    def pieces(mine, others, own, other):
+        x = mine.withColumn(other, F.explode(F.expr(other_lengths(own))))
+        # Only lengths that occur on the other side of the block can match.
+        x = x.join(others.select(*block, other).distinct(), [*block, other], "left_semi")
         # Short strings at low cutoffs may have fewer letters than pieces; they share one empty piece.
         x = x.withColumn("_d", F.expr(d)).withColumn("_k", F.explode(F.expr("if(_d + 1 > lb, array(-1), sequence(0, _d))")))
         start, stop = "if(_k < 0, 0, cast(floor(_k * lb / (_d + 1)) as int))", "if(_k < 0, 0, cast(floor((_k + 1) * lb / (_d + 1)) as int))"
         return x.withColumn("_p", F.expr(start)).withColumn("_w", F.expr(f"{stop} - _p"))
 
     keys = [*block, "la", "lb", "_k", "_piece"]
-    right_pieces = pieces(right, b, "lb", "la", "_bb").withColumn("_piece", F.expr(f"substr({b}, _p + 1, _w)"))
+    right_pieces = pieces(rights, lefts, "lb", "la").withColumn("_piece", F.expr(f"substr({b}, _p + 1, _w)"))
     first = "greatest(0, _p - cast(floor((_d - (la - lb)) / 2) as int))"
     final = "least(la - _w, _p + cast(floor((_d + (la - lb)) / 2) as int))"
     cuts = (
         f"case when _k < 0 then array('') when {first} > {final} then cast(array() as array<string>) "
         f"else array_distinct(transform(sequence({first}, {final}), s -> substr({a}, s + 1, _w))) end"
     )
-    left_pieces = pieces(left, a, "la", "lb", "_ba").withColumn("_piece", F.explode(F.expr(cuts)))
+    left_pieces = pieces(lefts, rights, "la", "lb").withColumn("_piece", F.explode(F.expr(cuts)))
     # Pieces are few bytes but much comparing, so they keep the full number of partitions.
     parts = int(df_conf(left, "spark.sql.shuffle.partitions"))
-    cand = left_pieces.select(*keys, a, "_ba").repartition(parts, *keys).join(right_pieces.select(*keys, b, "_bb"), keys)
+    cand = left_pieces.select(*keys, a).repartition(parts, *keys).join(right_pieces.select(*keys, b), keys)
     total = F.length(a) + F.length(b)
     edits = F.lit(1 - c) * total + 1e-9
-    common = F.size(F.array_intersect("_ba", "_bb"))
-    cand = cand.filter((F.levenshtein(a, b) <= edits) & (total - 2 * common <= edits))
-    cand = cand.select(*block, a, b).distinct().repartition(parts, *block, a)
+    cand = cand.filter(F.levenshtein(a, b) <= edits).select(*block, a, b).distinct().repartition(parts, *block, a)
+    common = F.size(F.array_intersect(names.letter_bag(a), names.letter_bag(b)))
+    cand = computed_once(cand, {"_common": common}).filter(total - 2 * F.col("_common") <= edits).drop("_common")
     scored = computed_once(cand, {"score": names.similarity(F.col(a), F.col(b))})
     return scored.filter(F.col("score") >= cutoff)
 

@@ -10,7 +10,9 @@ from ..functions import dates, names
 from ..operators import bills
 from .catalog import Tables, query
 
-K = F.col("o_orderkey")
+
+def key():
+    return F.col("o_orderkey")
 
 
 def bill_docs(t: Tables) -> DataFrame:
@@ -24,13 +26,13 @@ def bill_docs(t: Tables) -> DataFrame:
             party(x).alias("party"),
         )
 
-    kind = F.when(K % 4 == 0, "hr").when(K % 4 == 1, "s").when(K % 4 == 2, "hres").otherwise("sjres")
+    kind = F.when(key() % 4 == 0, "hr").when(key() % 4 == 1, "s").when(key() % 4 == 2, "hres").otherwise("sjres")
     steps = F.array(F.lit("INTRODUCED"), F.lit("REFERRED"), F.lit("PASS_OVER:HOUSE"), F.lit("ENACTED:SIGNED"))
     return t.orders.select(
-        F.concat(kind, K.cast("string"), F.lit("-"), (105 + K % 10).cast("string")).alias("bill_id"),
+        F.concat(kind, key().cast("string"), F.lit("-"), (105 + key() % 10).cast("string")).alias("bill_id"),
         F.transform(
-            F.slice(steps, 1, (K % 5).cast("int")),
-            lambda s, i: F.struct(s.alias("status"), F.when((K + i) % 3 > 0, F.concat(F.lit("d"), i.cast("string"))).alias("acted_at")),
+            F.slice(steps, 1, (key() % 5).cast("int")),
+            lambda s, i: F.struct(s.alias("status"), F.when((key() + i) % 3 > 0, F.concat(F.lit("d"), i.cast("string"))).alias("acted_at")),
         ).alias("actions"),
         member(F.col("o_custkey")).alias("sponsor"),
         F.transform(
@@ -129,20 +131,14 @@ def split_rows(t: Tables) -> DataFrame:
 
 # ---- citations and ids ---------------------------------------------------------------------
 
-CITE_SQL = "case o_orderkey % 4 when 0 then 'H.R. ' when 1 then 'S. ' when 2 then 'H.J.Res. ' else 'S. Con. Res. ' end || o_orderkey"
-_SPARK_CITE = (
-    F.when(K % 4 == 0, "H.R. ").when(K % 4 == 1, "S. ").when(K % 4 == 2, "H.J.Res. ").otherwise("S. Con. Res. ")
-)
-
-
 @query(
     "bill_citations",
     sql=f"""with s as (select o_orderkey, case o_orderkey % 4 when 0 then 'H.R. ' when 1 then 'S. ' when 2 then 'H.J.Res. ' else 'S.Con.Res. ' end as label, o_custkey from orders)
 select o_orderkey, label || o_orderkey || '; H.Res. ' || o_custkey as shown, 2::bigint as n from s""",
 )
 def bill_citations(t: Tables) -> DataFrame:
-    label = F.when(K % 4 == 0, "hr ").when(K % 4 == 1, "S. ").when(K % 4 == 2, "H.J.RES. ").otherwise("S.Con.Res. ")
-    title = F.concat(F.lit("Hearing on "), label, K, F.lit(" and H. Res. ").substr(1, 5), F.lit("H.Res. "), "o_custkey", F.lit(", of 1999"))
+    label = F.when(key() % 4 == 0, "hr ").when(key() % 4 == 1, "S. ").when(key() % 4 == 2, "H.J.RES. ").otherwise("S.Con.Res. ")
+    title = F.concat(F.lit("Hearing on "), label, key(), F.lit(" and H. Res. ").substr(1, 5), F.lit("H.Res. "), "o_custkey", F.lit(", of 1999"))
     found = F.array_distinct(b.citations(title, F.lit(105)))
     return t.orders.select(
         "o_orderkey",
@@ -157,7 +153,7 @@ def bill_citations(t: Tables) -> DataFrame:
 )
 def bill_urls(t: Tables) -> DataFrame:
     url = F.when(
-        K % 3 > 0, F.concat(F.lit("https://api.example.org/v3/bill/"), 105 + K % 10, F.lit("/HR/"), "o_custkey", F.lit("?x=1"))
+        key() % 3 > 0, F.concat(F.lit("https://api.example.org/v3/bill/"), 105 + key() % 10, F.lit("/HR/"), "o_custkey", F.lit("?x=1"))
     ).otherwise("https://api.example.org/none")
     return t.orders.select("o_orderkey", b.bill_from_url(url).alias("x")).select("o_orderkey", "x.*")
 
@@ -169,15 +165,15 @@ def bill_urls(t: Tables) -> DataFrame:
 def json_paths(t: Tables) -> DataFrame:
     """Meeting JSON whose bill list is an array or one object, with a title citation and a URL."""
     js = F.when(
-        K % 2 == 0,
+        key() % 2 == 0,
         F.format_string(
             '{"title": "On H.R. %d", "relatedItems": {"bills": {"bill": [{"url": "https://x/v3/bill/105/s/%d"}, {"type": "HRES", "number": "7", "congress": "105"}]}}}',
-            K, F.col("o_custkey"),
+            key(), F.col("o_custkey"),
         ),
     ).otherwise(
         F.format_string(
             '{"title": "On H.R. %d", "related_items": {"bills": {"item": {"billType": "S", "billNumber": " %d "}}, "items": {"name": "H.R. %d again"}}}',
-            K, F.col("o_custkey"), K,
+            key(), F.col("o_custkey"), key(),
         )
     )
     found = b.related_bills(js, F.lit(105))
@@ -191,9 +187,9 @@ def json_paths(t: Tables) -> DataFrame:
  case o_orderkey % 3 when 0 then 'house' when 1 then 'senate' else 'joint' end as by_package, (105 + o_orderkey % 10)::int as congress from orders""",
 )
 def chamber_infer(t: Tables) -> DataFrame:
-    hid = F.concat(F.when(K % 3 == 0, "HHRG").when(K % 3 == 1, "shrg").otherwise("x"), K, F.lit("-"), 105 + K % 10)
-    txt = F.when(K % 4 == 0, "House of Reps").when(K % 4 == 1, "US SENATE").when(K % 4 == 2, "House and Senate, Joint").otherwise("none")
-    pid = F.concat(F.lit("CHRG-"), K, F.when(K % 3 == 0, "hhrg").when(K % 3 == 1, "SHRG").otherwise("jhrg"), F.lit("1"))
+    hid = F.concat(F.when(key() % 3 == 0, "HHRG").when(key() % 3 == 1, "shrg").otherwise("x"), key(), F.lit("-"), 105 + key() % 10)
+    txt = F.when(key() % 4 == 0, "House of Reps").when(key() % 4 == 1, "US SENATE").when(key() % 4 == 2, "House and Senate, Joint").otherwise("none")
+    pid = F.concat(F.lit("CHRG-"), key(), F.when(key() % 3 == 0, "hhrg").when(key() % 3 == 1, "SHRG").otherwise("jhrg"), F.lit("1"))
     return t.orders.select(
         "o_orderkey", b.id_chamber(hid).alias("by_id"), b.named_chamber(txt).alias("by_text"), dates.package_chamber(pid).alias("by_package"), b.id_congress(hid).alias("congress")
     )
@@ -204,7 +200,7 @@ def chamber_infer(t: Tables) -> DataFrame:
     sql="""select o_orderkey, (case o_orderkey % 3 when 0 then 4 when 1 then 19 else 0 end + o_custkey + 11)::int as pages from orders where o_custkey < 10000""",
 )
 def page_counts(t: Tables) -> DataFrame:
-    front = F.when(K % 3 == 0, "iv+").when(K % 3 == 1, "xix+").otherwise("")
+    front = F.when(key() % 3 == 0, "iv+").when(key() % 3 == 1, "xix+").otherwise("")
     text = F.concat(front, "o_custkey", F.lit(" p., 10-20"))
     return t.orders.filter(F.col("o_custkey") < 10000).select("o_orderkey", b.page_count(text).alias("pages"))
 
@@ -215,7 +211,7 @@ def page_counts(t: Tables) -> DataFrame:
 )
 def role_split(t: Tables) -> DataFrame:
     c = F.col("o_custkey")
-    text = F.when(K % 2 == 0, F.concat(F.lit("Director, Agency of "), c, F.lit(", p. 12"))).otherwise(F.concat(F.lit("Bureau "), c, F.lit(" p. 3")))
+    text = F.when(key() % 2 == 0, F.concat(F.lit("Director, Agency of "), c, F.lit(", p. 12"))).otherwise(F.concat(F.lit("Bureau "), c, F.lit(" p. 3")))
     return t.orders.select("o_orderkey", b.role_and_affiliation(text).alias("x")).select("o_orderkey", "x.*")
 
 
@@ -225,7 +221,7 @@ def role_split(t: Tables) -> DataFrame:
 )
 def committee_split(t: Tables) -> DataFrame:
     tail = F.concat(F.lit("Committee on B"), "o_custkey", F.lit(". House"))
-    src = F.when(K % 2 == 0, F.concat(F.lit("Subcommittee on A"), K, F.lit(", "), tail)).otherwise(tail)
+    src = F.when(key() % 2 == 0, F.concat(F.lit("Subcommittee on A"), key(), F.lit(", "), tail)).otherwise(tail)
     return t.orders.select("o_orderkey", b.committee_and_sub(src).alias("x")).select("o_orderkey", "x.*")
 
 
@@ -279,20 +275,20 @@ CATS = ["Causal", "Descriptive", "Monetary", "Statistical"]
     sql="select o_orderkey, (o_orderkey % 2 = 0)::int as is_causal, 0 as is_descriptive, 1 as is_monetary, (o_orderkey % 3 = 0)::int as is_statistical, (o_orderkey % 2 = 0)::int as ra_causal, 1 as ra_monetary from orders",
 )
 def one_hot(t: Tables) -> DataFrame:
-    stars = F.concat(F.when(K % 2 == 0, "Causal ***** ").otherwise(""), F.lit(" Monetary."), F.when(K % 3 == 0, " ***** 1. Statistical").otherwise(""))
-    commas = F.concat(F.when(K % 2 == 0, "Causal, ").otherwise(""), F.lit("Mone tary."))
+    stars = F.concat(F.when(key() % 2 == 0, "Causal ***** ").otherwise(""), F.lit(" Monetary."), F.when(key() % 3 == 0, " ***** 1. Statistical").otherwise(""))
+    commas = F.concat(F.when(key() % 2 == 0, "Causal, ").otherwise(""), F.lit("Mone tary."))
     return t.orders.select("o_orderkey", *b.one_hot(b.star_labels(stars), CATS), *b.one_hot(b.comma_labels(commas), ["causal", "monetary"], "ra_"))
 
 
 @query("array_distinct", sql="select o_orderkey, case when o_custkey = o_orderkey then o_custkey || '; x' else o_custkey || '; x; ' || o_orderkey end as joined from orders")
 def array_distinct(t: Tables) -> DataFrame:
-    arr = F.array(F.col("o_custkey").cast("string"), F.lit("x"), K.cast("string"), F.col("o_custkey").cast("string"), F.lit("x"))
+    arr = F.array(F.col("o_custkey").cast("string"), F.lit("x"), key().cast("string"), F.col("o_custkey").cast("string"), F.lit("x"))
     return t.orders.select("o_orderkey", F.array_join(F.array_distinct(arr), "; ").alias("joined"))
 
 
 @query("set_equal", sql="select o_orderkey, (o_orderkey % 3 > 0)::int as agree from orders")
 def set_equal(t: Tables) -> DataFrame:
-    other = F.when(K % 3 == 0, "b").when(K % 3 == 1, "B , a").otherwise("a,b,A")
+    other = F.when(key() % 3 == 0, "b").when(key() % 3 == 1, "B , a").otherwise("a,b,A")
     return t.orders.select("o_orderkey", b.same_set(F.lit("a, b"), other).alias("agree"))
 
 
@@ -372,7 +368,7 @@ def year_expand(t: Tables) -> DataFrame:
 @query("year_month", sql="select o_orderkey, year(o_orderdate)::int as y, month(o_orderdate)::int as m, strftime(o_orderdate, '%B %d, %Y') as shown, ((year(o_orderdate) - 1788) // 2 + 1)::int as congress, (o_orderkey % 9 > 0)::int as parsed from orders")
 def year_month(t: Tables) -> DataFrame:
     text = F.col("o_orderdate").cast("date").cast("string")
-    messy = F.when(K % 9 > 0, text).otherwise("no date")
+    messy = F.when(key() % 9 > 0, text).otherwise("no date")
     return t.orders.select(
         "o_orderkey", dates.year_of(text).alias("y"), dates.month_of(text).alias("m"), F.date_format("o_orderdate", "MMMM dd, yyyy").alias("shown"),
         dates.election_congress(F.year("o_orderdate")).alias("congress"), dates.parse_date(messy).isNotNull().cast("int").alias("parsed"),

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import dictionaries
@@ -28,7 +27,7 @@ def roundtrip_csv(t: Tables) -> DataFrame:
     """CSV out and in again with an explicit schema and one column that is absent."""
     path = scratch(t, "csv")
     writers.to_csv(t.customer, path)
-    schema = T.StructType.fromDDL("c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string, gender string")
+    schema = "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string, gender string"
     return readers.csv(t.spark, path, schema)
 
 
@@ -110,7 +109,7 @@ def multi_file(t: Tables) -> DataFrame:
     """Many CSV files read as one, the source kept per row."""
     path = scratch(t, "many")
     t.lineitem.select("l_orderkey", "l_quantity", "l_returnflag").write.partitionBy("l_returnflag").option("header", True).csv(path)
-    df = readers.csv_union(t.spark, f"{path}/*/*.csv", T.StructType.fromDDL("l_orderkey bigint, l_quantity double"))
+    df = readers.csv_union(t.spark, f"{path}/*/*.csv", "l_orderkey bigint, l_quantity double")
     folder = F.regexp_extract(F.col("_metadata.file_path"), "l_returnflag=([A-Z]+)", 1)
     return df.withColumn("folder", folder).groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
@@ -124,7 +123,7 @@ def tolerant_scan(t: Tables) -> DataFrame:
     writer = t.spark.createDataFrame([("id,name",)], "value string").unionByName(lines)
     # One header line opens every part file here, so the parts are read with a fixed schema.
     writer.write.text(path)
-    schema = T.StructType.fromDDL("id string, name string")
+    schema = "id string, name string"
     reader = t.spark.read.schema(schema).option("mode", "DROPMALFORMED").option("columnPruning", False)
     return reader.csv(path).filter(F.col("id") != "id")
 
@@ -136,7 +135,7 @@ def slice_combine(t: Tables) -> DataFrame:
     for i in (0, 1):
         t.orders.select("o_orderkey", (F.col("o_custkey") + i).alias("v")).write.option("header", True).csv(f"{path}/slice{i}")
     t.orders.limit(0).select("o_orderkey", F.col("o_custkey").alias("v")).write.csv(f"{path}/slice2")
-    df = readers.csv(t.spark, f"{path}/slice*", T.StructType.fromDDL("o_orderkey bigint, v bigint"))
+    df = readers.csv(t.spark, f"{path}/slice*", "o_orderkey bigint, v bigint")
     return rel.last_by(df, ["o_orderkey"], ["v"])
 
 
@@ -175,7 +174,7 @@ def xml_scan(t: Tables) -> DataFrame:
     person = lambda c: F.struct(c.cast("string").alias("lname"))
     doc = t.orders.select(F.col("o_orderkey").cast("string").alias("id"), F.array(person(F.col("o_custkey")), person(F.col("o_orderkey"))).alias("participant"))
     doc.write.format("xml").option("rowTag", "hearing").option("rootTag", "hearings").save(path)
-    schema = T.StructType.fromDDL("id string, participant array<struct<lname:string>>")
+    schema = "id string, participant array<struct<lname:string>>"
     x = readers.xml(t.spark, path, "hearing", schema)
     return x.select("id", F.col("participant")[0]["lname"].alias("first_person"), F.size("participant").cast("bigint").alias("n_people"))
 
@@ -220,7 +219,7 @@ def leader_files(t: Tables) -> DataFrame:
 
 # ---- streams -------------------------------------------------------------------------------------
 
-EVENTS = T.StructType.fromDDL("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def _land(t: Tables, name: str, copies: int = 2) -> str:
@@ -249,6 +248,6 @@ def stream_latest(t: Tables) -> DataFrame:
 def stream_score(t: Tables) -> DataFrame:
     landed, out, ck = scratch(t, "texts"), scratch(t, "scores"), scratch(t, "ck")
     t.conversations.write.parquet(landed)
-    schema = T.StructType.fromDDL("conv_id bigint, turn bigint, role string, text string")
+    schema = "conv_id bigint, turn bigint, role string, text string"
     ingest.score(t.spark, landed, schema, out, ck, text_col="text", scorer=vowel_share)
     return t.spark.read.parquet(out).select("conv_id", "turn", "label")

@@ -1,4 +1,4 @@
-"""Explicit schemas for the source tables, and conforming a frame to a schema."""
+"""Explicit schemas (as DDL text) for the source tables, and conforming a frame to one."""
 
 from __future__ import annotations
 
@@ -7,31 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _s(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-HEARINGS = _s("hearing_id string, congress int, chamber string, title string")
-HEARING_TEXTS = _s("hearing_id string, raw_text string")
-HEARING_MEMBERS = _s("hearing_id string, bioguide_id string")
-HEARING_COMMITTEES = _s("hearing_id string, committee_code string, committee_name string")
-HEARING_DATES = _s("hearing_id string, hearing_date string")
-MEMBERS = _s("bioguide_id string, last_name string, first_name string, party string, state string")
-TERMS = _s("bioguide_id string, congress int, chamber string, state_code string")
-IDEOLOGY = _s(
+HEARINGS = "hearing_id string, congress int, chamber string, title string"
+HEARING_TEXTS = "hearing_id string, raw_text string"
+HEARING_MEMBERS = "hearing_id string, bioguide_id string"
+HEARING_COMMITTEES = "hearing_id string, committee_code string, committee_name string"
+HEARING_DATES = "hearing_id string, hearing_date string"
+MEMBERS = "bioguide_id string, last_name string, first_name string, party string, state string"
+TERMS = "bioguide_id string, congress int, chamber string, state_code string"
+IDEOLOGY = (
     "congress int, chamber string, bioguide_id string, nominate_dim1 double, nominate_dim2 double, "
     "state_abbrev string, district_code int, gender string"
 )
-ELECTIONS = _s("year int, state_po string, district string, candidatevotes double, totalvotes double")
-LEADERS = _s("congress int, thomas_id string, role string, bioguide_id string")
+ELECTIONS = "year int, state_po string, district string, candidatevotes double, totalvotes double"
+LEADERS = "congress int, thomas_id string, role string, bioguide_id string"
 
 _BILL_MEMBER = "struct<bioguide_id:string,thomas_id:string,name:string,state:string,party:string>"
-BILLS = _s(
+BILLS = (
     "bill_id string, official_title string, short_title string, status string, "
     "actions array<struct<status:string,acted_at:string>>, "
     f"sponsor {_BILL_MEMBER}, cosponsors array<{_BILL_MEMBER}>"
 )
-PACKAGE_PAGE = _s(
+PACKAGE_PAGE = (
     "packages array<struct<packageId:string,title:string,congress:string,dateIssued:string,"
     "chamber:string,docClass:string,lastModified:string>>"
 )
@@ -50,10 +46,15 @@ NARROW_TYPES = {
 }
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+def struct(schema: str | T.StructType) -> T.StructType:
+    """A schema given as DDL text or as a struct type."""
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def conform(df: DataFrame, schema: str | T.StructType) -> DataFrame:
     """Select exactly the schema's columns; absent ones become typed nulls, bad values null."""
     cols = []
-    for f in schema.fields:
+    for f in struct(schema).fields:
         if f.name in df.columns:
             same = df.schema[f.name].dataType == f.dataType
             cols.append(F.col(f.name) if same else F.col(f.name).try_cast(f.dataType).alias(f.name))

@@ -21,7 +21,7 @@ CSV_TABLES = {
 }
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType, *, tolerant: bool = False, multi_line: bool = False) -> DataFrame:
+def csv(spark: SparkSession, path: str, schema: str | T.StructType, *, tolerant: bool = False, multi_line: bool = False) -> DataFrame:
     """CSV whose columns are found by header name; `tolerant` drops malformed rows.
 
     Columns missing from the file become typed nulls, extra ones are not read.
@@ -82,7 +82,7 @@ def leaders(spark: SparkSession, path: str, congresses: list[int] | None = None)
     return members.leaders_from_nested(nested, congresses)
 
 
-def xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
+def xml(spark: SparkSession, path: str, row_tag: str, schema: str | T.StructType) -> DataFrame:
     """XML records; repeated elements become arrays."""
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
@@ -94,13 +94,13 @@ def xml_full_text(spark: SparkSession, path: str, row_tag: str, key: str, node:
     return df.select(key, F.array_join(node, " ").alias("raw_text"))
 
 
-def csv_union(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
+def csv_union(spark: SparkSession, glob: str, schema: str | T.StructType) -> DataFrame:
     """Many CSV files with the file name kept."""
     df = spark.read.schema(schema).option("header", True).option("escape", '"').csv(glob)
     return df.select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
-def slices(spark: SparkSession, glob: str, schema: T.StructType, key: list[str]) -> DataFrame:
+def slices(spark: SparkSession, glob: str, schema: str | T.StructType, key: list[str]) -> DataFrame:
     """Slice files combined: empty and corrupt ones are skipped, keys kept once (last file wins)."""
     reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("ignoreCorruptFiles", True).option("mode", "DROPMALFORMED")
     df = reader.csv(glob).select("*", F.col("_metadata.file_name").alias("_file")).dropna(subset=key)

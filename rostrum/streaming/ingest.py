@@ -18,7 +18,7 @@ from ..operators import labels
 from ..operators import relational as rel
 
 
-def _source(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None) -> DataFrame:
+def _source(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int | None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -32,7 +32,7 @@ def _finish(query) -> None:
 
 
 def append_new(
-    spark: SparkSession, landed: str, schema: T.StructType, out: str, checkpoint: str, *, key: list[str], time_col: str, delay: str, files_per_batch: int | None = None
+    spark: SparkSession, landed: str, schema: str | T.StructType, out: str, checkpoint: str, *, key: list[str], time_col: str, delay: str, files_per_batch: int | None = None
 ) -> None:
     """Append records not seen before, partitioned by month.
 
@@ -49,7 +49,7 @@ def append_new(
 
 
 def upsert_log(
-    spark: SparkSession, landed: str, schema: T.StructType, out: str, checkpoint: str, *, key: list[str], modified: str, files_per_batch: int | None = None
+    spark: SparkSession, landed: str, schema: str | T.StructType, out: str, checkpoint: str, *, key: list[str], modified: str, files_per_batch: int | None = None
 ) -> None:
     """Newest version per key of every batch, written under the batch number.
 
@@ -73,7 +73,7 @@ def latest(spark: SparkSession, out: str, *, key: list[str], modified: str) -> D
 
 
 def score(
-    spark: SparkSession, landed: str, schema: T.StructType, out: str, checkpoint: str, *, text_col: str, scorer: Callable[[pd.Series], pd.Series], files_per_batch: int | None = None
+    spark: SparkSession, landed: str, schema: str | T.StructType, out: str, checkpoint: str, *, text_col: str, scorer: Callable[[pd.Series], pd.Series], files_per_batch: int | None = None
 ) -> None:
     """Score landed texts; a restarted run goes on after the last finished batch."""
     scored = labels.score_text(_source(spark, landed, schema, files_per_batch), text_col, scorer)
