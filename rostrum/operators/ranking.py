@@ -37,7 +37,11 @@ def cumulative(
     picked = counts.join(large, ks).filter(F.pmod(F.xxhash64(*ks, value), every) == 0)
     at = F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)])
     cuts = picked.groupBy(*ks).agg(F.percentile(F.col(value).cast("double"), at).alias("_cuts"))
-    block = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
+    # Number of cut points below the value, by halving steps.
+    steps = F.array(*[F.lit(BLOCKS >> i) for i in range(1, BLOCKS.bit_length())])
+    block = F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(value), at + step).otherwise(at)
+    )
     blocked = counts.join(cuts, ks, "left").withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(block)).drop("_cuts")
     totals = blocked.groupBy(*ks, "_b").agg(*[F.sum(w).alias(w) for w in weights])
     prior = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
