@@ -6,38 +6,35 @@ sentences; each stage only decides pairs that earlier stages left open.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.barrier import computed_once
+from ..session import cut_lineage
 from . import relational as rel
 
 PAIR = ["hearing_id", "speaker_last_name", "speaker_last_word", "congress", "committee_code"]
 _MEMBER = ["bioguide_id", "last_name", "first_name", "party", "state"]
-_HIT = "struct<bioguide_id:string,last_name:string,first_name:string,party:string,state:string,match_score:double,match_type:string>"
 
 
-def _hit(score, label):
+def _hit(bioguide: Column, score: Column, label: Column) -> Column:
+    """What a stage decides; the member's other attributes are joined once at the end."""
     return F.struct(
-        *[F.col(c) for c in _MEMBER],
-        F.lit(score).cast("double").alias("match_score") if not hasattr(score, "cast") else score.alias("match_score"),
-        F.lit(label).alias("match_type"),
+        bioguide.alias("bioguide_id"), score.cast("double").alias("match_score"), label.alias("match_type")
     )
 
 
 def unambiguous(lookup: DataFrame, block: str) -> DataFrame:
-    """Names carried by exactly one lookup row within the block."""
+    """Names carried by exactly one lookup row within the block, with that row's member."""
     rows = lookup.filter(F.col("last_name_upper").isNotNull() & F.col(block).isNotNull())
-    g = rows.groupBy(block, "last_name_upper").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(F.struct(*_MEMBER)).alias("_m")
-    )
-    return g.filter(F.col("_n") == 1).select(block, "last_name_upper", "_m.*")
+    g = rows.groupBy(block, "last_name_upper").agg(F.count(F.lit(1)).alias("_n"), F.min("bioguide_id").alias("bioguide_id"))
+    return g.filter(F.col("_n") == 1).drop("_n")
 
 
 def exact_names(pairs: DataFrame, unique: DataFrame, block: str, label: str, out: str = "hit") -> DataFrame:
     """Full-name match, else last-word match, inside the block. Adds one struct column."""
-    look = unique.select(block, F.col("last_name_upper").alias("_name"), _hit(100.0, label).alias("_h"))
+    look = unique.select(block, F.col("last_name_upper").alias("_name"), _hit(F.col("bioguide_id"), F.lit(100.0), F.lit(label)).alias("_h"))
     full = look.select(block, F.col("_name").alias("speaker_last_name"), F.col("_h").alias("_full"))
     word = look.select(block, F.col("_name").alias("speaker_last_word"), F.col("_h").alias("_word"))
     got = pairs.join(full, [block, "speaker_last_name"], "left").join(word, [block, "speaker_last_word"], "left")
@@ -48,11 +45,8 @@ def chairs(pairs: DataFrame, leaders: DataFrame, members: DataFrame, out: str =
     """Anonymous chairs resolved through the committee's first listed chair."""
     order = ["ord", "bioguide_id"] if "ord" in leaders.columns else ["bioguide_id"]
     first = rel.first_by(leaders.filter(F.col("role") == "chair"), ["congress", "thomas_id"], order)
-    known = (
-        first.select("congress", F.col("thomas_id").alias("_thomas"), "bioguide_id")
-        .join(rel.first_by(members.select(*_MEMBER), ["bioguide_id"], ["last_name"]), "bioguide_id")
-        .select("congress", "_thomas", _hit(100.0, "committee_chair_exact").alias(out))
-    )
+    hit = _hit(F.col("bioguide_id"), F.lit(100.0), F.lit("committee_chair_exact"))
+    known = rel.keep_in(first, members, "bioguide_id").select("congress", F.col("thomas_id").alias("_thomas"), hit.alias(out))
     thomas = F.when(
         F.col("speaker_last_name").isin(*names.CHAIR_NAMES), names.parent_committee(F.col("committee_code"))
     )
@@ -74,7 +68,7 @@ def disambiguated(open_names: DataFrame, lookup: DataFrame, out: str = "hit") ->
         ),
     ).filter((F.col("_try.rank") == 0) | (F.col("speaker_last_word") != F.col("speaker_last_name")))
     tried = both.select(*open_names.columns, F.col("_try.rank").alias("_rank"), F.col("_try.name").alias("last_name_upper"))
-    look = lookup.select("congress", "last_name_upper", *_MEMBER)
+    look = lookup.select("congress", "last_name_upper", "bioguide_id", "first_name")
     words = F.split("speaker_last_name", " ")
     first = F.upper(F.trim("first_name"))
     fits = (first != "") & (F.array_contains(words, first) | F.array_contains(words, F.substring(first, 1, 1)))
@@ -82,15 +76,14 @@ def disambiguated(open_names: DataFrame, lookup: DataFrame, out: str = "hit") ->
     per_try = cand.groupBy(*open_names.columns, "_rank").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.count_if("_fit").alias("_fits"),
-        F.min(F.when(F.col("_fit"), F.struct(*_MEMBER))).alias("_one"),
-        F.min(F.struct(*_MEMBER)).alias("_any"),
+        F.min(F.when(F.col("_fit"), F.col("bioguide_id"))).alias("_one"),
+        F.min("bioguide_id").alias("_any"),
     )
     label = F.when(F.col("_rows") > 1, "exact_disambiguated").when(F.col("_rank") == 0, "exact").otherwise("exact_last_word")
     member = F.when(F.col("_rows") == 1, F.col("_any")).when(F.col("_fits") == 1, F.col("_one"))
     decided = per_try.select(*open_names.columns, "_rank", member.alias("_m"), label.alias("_l")).filter(F.col("_m").isNotNull())
     best = rel.first_by(decided, open_names.columns, ["_rank"])
-    hit = F.struct(*[F.col("_m")[c].alias(c) for c in _MEMBER], F.lit(100.0).alias("match_score"), F.col("_l").alias("match_type"))
-    return best.select(*open_names.columns, hit.alias(out))
+    return best.select(*open_names.columns, _hit(F.col("_m"), F.lit(100.0), F.col("_l")).alias(out))
 
 
 def df_conf(df: DataFrame, key: str) -> str:
@@ -162,25 +155,28 @@ def similar_names(open_names: DataFrame, lookup: DataFrame, cutoff: float = 85.0
     per_name = (
         lookup.filter(F.col("last_name_upper").isNotNull())
         .groupBy("congress", "last_name_upper")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*_MEMBER)).alias("_m"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("bioguide_id").alias("_m"))
     )
     pairs = similar_pairs(open_names, per_name, ["congress"], "speaker_last_name", "last_name_upper", cutoff)
     best = rel.first_by(
         pairs.withColumn("_neg", -F.col("score")), ["congress", "speaker_last_name"], ["_neg", "last_name_upper"]
     )
     won = best.join(per_name.filter(F.col("_n") == 1), ["congress", "last_name_upper"])
-    hit = F.struct(
-        *[F.col("_m")[c].alias(c) for c in _MEMBER], F.col("score").alias("match_score"), F.lit("fuzzy").alias("match_type")
+    return won.select(
+        "congress", "speaker_last_name", _hit(F.col("_m"), F.col("score"), F.lit("fuzzy")).alias(out)
     )
-    return won.select("congress", "speaker_last_name", hit.alias(out))
 
 
 def match_pairs(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame, cutoff: float = 85.0) -> DataFrame:
-    """The whole cascade for distinct pairs: PAIR columns plus the match columns."""
+    """The whole cascade for distinct pairs: PAIR columns plus the match columns.
+
+    The exact stages are written to the checkpoint folder, since the later stages read
+    their result several times.
+    """
     m = exact_names(pairs, unambiguous(hearing_map, "hearing_id"), "hearing_id", "hearing_member_exact", "_a")
     m = chairs(m, leaders, members, "_c")
     m = exact_names(m, unambiguous(lookup, "congress"), "congress", "congress_exact", "_b")
-    m = m.withColumn("_hit", F.coalesce("_a", "_c", "_b")).drop("_a", "_b", "_c")
+    m = cut_lineage(m.select(*pairs.columns, F.coalesce("_a", "_c", "_b").alias("_hit")))
     key = ["congress", "speaker_last_name", "speaker_last_word"]
     left_open = m.filter(
         F.col("_hit").isNull() & F.col("speaker_last_name").isNotNull() & ~F.col("speaker_last_name").isin(*names.CHAIR_NAMES)
@@ -189,7 +185,9 @@ def match_pairs(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, lea
     rest = left_open.join(told, key, "left_anti")
     close = similar_names(rest, lookup, cutoff, "_f")
     m = m.join(told, key, "left").join(close, ["congress", "speaker_last_name"], "left")
-    return m.select(*pairs.columns, F.coalesce("_hit", "_t", "_f").alias("_m")).select(*pairs.columns, "_m.*")
+    m = m.select(*pairs.columns, F.coalesce("_hit", "_t", "_f").alias("_m")).select(*pairs.columns, "_m.*")
+    known = rel.first_by(members.select(*_MEMBER), ["bioguide_id"], ["last_name", "first_name"])
+    return m.join(known, "bioguide_id", "left").select(*pairs.columns, *_MEMBER, "match_score", "match_type")
 
 
 def match_speakers(sentences: DataFrame, hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame, cutoff: float = 85.0) -> DataFrame:
