@@ -9,9 +9,6 @@ from .catalog import Tables
 
 # ---- transcripts ------------------------------------------------------------
 
-TURN_SPEAKER = {"user": "Mr. Smith", "assistant": "Ms. Van Orden"}
-
-
 def transcripts(t: Tables) -> DataFrame:
     """One transcript per conversation turn: (conv_id, turn, raw_text)."""
     who = (
