@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import quality, secrets, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +29,74 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+_W = r"[^\x20\x09-\x0D]+"
+
+
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+OP2_SQL = rf"""
+with d as (
+  select doc_id, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '{_W}') as words,
+         string_split(coalesce(text, ''), chr(10)) as lines
+  from documents),
+w as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from d),
+win as (
+  select doc_id, i, string_agg(word, ' ') over o as win, count(*) over o as k
+  from w window o as (partition by doc_id order by i rows between current row and {quality.WINDOW - 1} following)),
+rep as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, win) as c from win where k = {quality.WINDOW}) where c > 1),
+cov as (
+  select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + {quality.WINDOW})) as p from rep) group by doc_id),
+l as (select doc_id, unnest(lines) as line from d),
+j as (
+  select doc_id, line, len(regexp_extract_all(line, '{_W}')) as n,
+         len(regexp_extract_all(line, {_lit(quality.PILED_MARKS)})) as piled,
+         len(regexp_extract_all(line, {_lit(quality.SEPARATOR)})) as parted,
+         {" or ".join(f"contains(lower(line), {_lit(p)})" for p in quality.NOTICES)} as notice
+  from l),
+s as (
+  select doc_id, sum(length(line)) as line_chars,
+         coalesce(sum(length(line)) filter (where (piled > 0 and piled * {quality.WORDS_PER_PILE} >= n)
+           or (parted > 0 and parted * {quality.WORDS_PER_SEPARATOR} >= n) or (length(line) <= {quality.NOTICE_LINE} and notice)), 0) as lost,
+         count(*) filter (where n > 0) as with_word, count(distinct line) filter (where n > 0) as different
+  from j group by doc_id),
+m as (
+  select d.doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+         (with_word - different)::bigint as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words, lost, line_chars
+  from d join s using (doc_id) left join cov using (doc_id)),
+b as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and 100 * lost <= {quality.MAX_LOST_PERCENT} * line_chars as kept
+from b
+"""
+
+
+@_query("op2_quality", OP2_SQL)
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and verdict of the line-first quality rules for every document."""
+    done = quality.assess(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query("op10_secrets")
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document: counts per base kind and the spans spelled out."""
+    done = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: int):
+        return F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long")
+
+    return done.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.spelled(F.col("base_spans")), 256).alias("base_sha256"),
+        secrets.spelled(F.col("spans")).alias("spans"),
+    )
