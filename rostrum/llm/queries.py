@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, simhash
+from . import packing, quality, secrets, simhash, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,42 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.spelled(F.col("base_spans")), 256).alias("base_sha256"),
         secrets.spelled(F.col("spans")).alias("spans"),
     )
+
+
+#: Host, path prefix and verdict.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+OP4_SQL = """
+with u as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+p as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from u),
+r(h, p, verdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+m as (
+  select page_id, h || p as rule, verdict,
+         row_number() over (partition by page_id order by len(string_split(h, '.')) desc, length(p) desc) as n
+  from (select p.page_id, p.host, p.path as path, r.h, r.p, r.verdict from p, r)
+  where (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+select p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') as verdict
+from p left join m on p.page_id = m.page_id and m.n = 1
+"""
+
+
+@_query("op4_url_filter", OP4_SQL)
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict and deciding rule for the url of every page."""
+    done = urls.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return done.select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all document pieces in sequences of 2,048 tokens."""
+    return packing.pack_documents(_read(spark, sf_dir, "documents"))
