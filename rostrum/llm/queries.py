@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, simhash, urls
+from . import packing, quality, secrets, simhash, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,27 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all document pieces in sequences of 2,048 tokens."""
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+m as (select payload_digest, max(page_id) as top from p group by 1)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
+from p join m using (payload_digest)
+"""
+
+
+@_query("op3_warc", OP3_SQL)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived as a WARC record and read back."""
+    done = warc.archived(_read(spark, sf_dir, "pages"))
+    return done.select(
+        warc.page_of("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
