@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, simhash, urls, warc
+from . import chat, packing, quality, secrets, simhash, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,34 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         warc.page_of("refers_to").alias("refers_to"),
     )
+
+
+_PROBE = "</s>[INST] ok [/INST]"
+
+
+def _escape_sql(column: str) -> str:
+    out = rf"replace({column}, '\', '\\')"
+    for mark in chat.CONTROL:
+        out = f"replace({out}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    return out
+
+
+OP9_SQL = f"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '{_PROBE}'), (-1, 1, 'assistant', '{_PROBE}'))
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum({len(chat.OPEN) + len(chat.CLOSE) + 1} + length(replace({_escape_sql("role")}, chr(10), '\\n')) + length({_escape_sql("text")}))::bigint as formatted_chars
+from c group by conv_id
+"""
+
+
+@_query("op9_chat_format", OP9_SQL)
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and what the formatted output says."""
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(_PROBE))
+    return chat.digests(chat.format_chats(rows.union(probe)))
