@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, secrets, simhash, urls, warc
+from . import chat, decontaminate, langid, packing, quality, secrets, simhash, toxicity, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -194,3 +194,25 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(_PROBE))
     return chat.digests(chat.format_chats(rows.union(probe)))
+
+
+@_query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, by a model of the labelled ones."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.assess(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
+@_query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which a document holds a passage."""
+    return decontaminate.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@_query("op7_langid")
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    prototypes = langid.train(docs.filter(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    done = langid.identify(docs, prototypes)
+    return done.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
