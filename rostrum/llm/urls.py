@@ -101,13 +101,15 @@ def judge(pages: DataFrame, rules: Iterable[Rule], url_col: str = "url", default
 def judge_by_join(pages: DataFrame, rules: DataFrame, key: str, url_col: str = "url", default: str = "allow") -> DataFrame:
     """(key, host, path, rule, verdict) for a rule table (host, path, verdict) of any size; `key` names a url.
 
-    Each url offers its host suffixes; an equi-join brings the rules of those hosts, the longest one
+    Each url offers its host suffixes, as long as rules have them; an equi-join brings the rules of those hosts, the longest one
     that fits stays. Hosts with many rules or urls are split by Spark's skew handling.
     """
     host, path = host_and_path(F.col(url_col))
     named = pages.select(F.col(key), host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.", -1)
-    suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    deepest = rules.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 1
+    first = F.greatest(F.lit(1), F.size(labels) - deepest + 1)
+    suffix = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     offers = named.select(key, "host", "path", F.explode(suffix).alias("_host"))
     table = rules.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("verdict").alias("_verdict"))
     fits = offers.join(table, "_host").filter(F.expr("startswith(path, _path)"))
