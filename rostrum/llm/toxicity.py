@@ -16,11 +16,11 @@ from .stage import staged
 #: Labelled documents that a model is fitted on at most, drawn by hash of their id, and its features.
 MAX_LABELLED, MAX_FEATURES = 20_000, 20_000
 #: A feature occurs in so many labelled documents, and is so many standard errors of log-odds from neutral.
-MIN_DOCS, SCREEN = 5, 2.5
+MIN_DOCS, SCREEN = 5, 2.0
 #: Occurrences of toxic-leaning words from which a toxic document has grade 2, and grade 3.
 GRADE_AT, LEANING = (2, 4), 6.0
 TOP = 3
-PREFIXES = (4, 5)
+PREFIXES = (3, 4, 5)
 ROUNDS, RATE, PENALTY = 300, 0.1, 5e-5
 REMEMBERED = 500_000
 
