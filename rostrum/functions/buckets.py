@@ -52,6 +52,7 @@ def cut(x, edges: list[float], labels: list[str]) -> Column:
 
 def role_label(chair, ranking) -> Column:
     """Committee role; the ranking-member label wins if both flags are set."""
+    # The three labels.
     return (
         F.when(ranking == 1, "Ranking Member (Minority Lead)")
         .when(chair == 1, "Committee Chair (Majority Lead)")

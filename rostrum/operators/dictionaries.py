@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from . import relational as rel
 
-MAX_TERMS = 5_000
 # Spelling variants and the term each one counts towards.
 VARIANTS = {
     "antidiscrimination": "anti-discrimination",
@@ -40,11 +39,11 @@ def normalized_terms(raw: DataFrame) -> DataFrame:
     return rel.first_by(terms, ["version", "term"], ["original"]).select("version", "term", "original")
 
 
-def term_list(terms: DataFrame) -> list[str]:
-    """The distinct terms as a list; a dictionary is refused when it is too long to be one."""
-    rows = terms.select("term").distinct().orderBy("term").limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms")
+def term_list(terms: DataFrame, limit: int = 5_000) -> list[str]:
+    """The distinct terms as a list on the driver, `limit` at most; operators on terms take tables of any size."""
+    rows = terms.select("term").distinct().orderBy("term").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} terms")
     return [r["term"] for r in rows]
 
 

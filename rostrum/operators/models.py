@@ -17,29 +17,47 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import relational as rel
 
-MAX_TERMS = 400
+#: Dummy columns that one dense solve on the driver takes; its matrix has the square of that.
+MAX_DUMMIES = 400
 ROUNDS_PER_WRITE = 3
 _SCHEMA = "term string, estimate double, std_error double, t_value double, p_value double, conf_low double, conf_high double"
 
 
+def _beta_tail(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_tail(b, a, 1 - x)
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))) / a
+    c, d, out = 1.0, 1 / (1 - (a + b) * x / (a + 1)), 0.0
+    out = d
+    for m in range(1, 10_000):
+        up = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d, c = 1 / (1 + up * d), 1 + up / c
+        out *= d * c
+        down = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d, c = 1 / (1 + down * d), 1 + down / c
+        out *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return front * out
+
+
 def t_sf2(t: float, df: int) -> float:
-    """Two-sided tail of Student's t; the normal beyond 2,000 degrees of freedom."""
-    t = abs(t)
-    if df > 2000:
-        return math.erfc(t / math.sqrt(2))
-    theta = math.atan2(t, math.sqrt(df))
-    c, s = math.cos(theta), math.sin(theta)
-    if df % 2:
-        term, total = c, 0.0 if df == 1 else c
-        for k in range(3, df - 1, 2):
-            term *= (k - 1) / k * c * c
-            total += term
-        return max(0.0, 1 - 2 / math.pi * (theta + s * total))
-    term, total = 1.0, 1.0
-    for k in range(2, df - 1, 2):
-        term *= (k - 1) / k * c * c
-        total += term
-    return max(0.0, 1 - s * total)
+    """Two-sided tail of Student's t."""
+    return _beta_tail(df / 2, 0.5, df / (df + t * t))
+
+
+def t_quantile(df: int, tail: float = 0.05) -> float:
+    """The value that |t| exceeds with probability `tail`."""
+    lo, hi = 0.0, 1.0
+    while t_sf2(hi, df) > tail:
+        hi *= 2
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if t_sf2(mid, df) > tail else (lo, mid)
+    return hi
 
 
 @dataclass
@@ -56,10 +74,11 @@ class Fit:
 
     def rows(self, beta=None, vcov=None, terms=None):
         beta, vcov, terms = self.beta if beta is None else beta, self.vcov if vcov is None else vcov, terms or self.terms
+        width = t_quantile(self.df) if self.df > 0 else float("nan")
         for i, name in enumerate(terms):
             se = math.sqrt(max(vcov[i, i], 0.0))
             t = float(beta[i]) / se if se > 0 else float("nan")
-            yield (name, float(beta[i]), se, t, t_sf2(t, self.df) if se > 0 else None, float(beta[i]) - 1.96 * se, float(beta[i]) + 1.96 * se)
+            yield (name, float(beta[i]), se, t, t_sf2(t, self.df) if se > 0 else None, float(beta[i]) - width * se, float(beta[i]) + width * se)
 
     def table(self) -> DataFrame:
         return self.spark.createDataFrame(list(self.rows()), _SCHEMA)
@@ -127,15 +146,15 @@ def _numeric(df: DataFrame, y: str, xs: list[str], keep: list[str]) -> DataFrame
     return df.select(*cols, *others).dropna()
 
 
-def with_dummies(df: DataFrame, factors: list[str]) -> tuple[DataFrame, list[str]]:
-    """0/1 columns for all but the first level of each factor."""
+def with_dummies(df: DataFrame, factors: list[str], limit: int = MAX_DUMMIES) -> tuple[DataFrame, list[str]]:
+    """0/1 columns for all but the first level of each factor, `limit` columns at most."""
     names: list[str] = []
     for f in factors:
         for level in rel.levels(df, f)[1:]:
             name = f"{f}{level}"
             df = df.withColumn(name, (F.col(f) == F.lit(level)).cast("double"))
             names.append(name)
-    if len(names) > MAX_TERMS:
+    if len(names) > limit:
         raise ValueError(f"{len(names)} dummy columns: absorb the largest factor instead")
     return df, names
 
@@ -174,8 +193,8 @@ def absorb(df: DataFrame, cols: list[str], effects: list[str], tol: float = 1e-8
         first = current.groupBy(effects[0]).agg(*[F.abs(F.avg(c)).alias(c) for c in cols])
         worst = first.agg(F.greatest(*[F.max(c) for c in cols], F.lit(0.0)).alias("w")).first()["w"] or 0.0
         if worst < tol:
-            break
-    return current
+            return current
+    raise RuntimeError(f"fixed effects did not settle in {rounds} rounds: group means still reach {worst:.3g}")
 
 
 def ols_absorbed(df: DataFrame, y: str, xs: list[str], effects: list[str], cluster: str | None = None, tol: float = 1e-8) -> Fit:

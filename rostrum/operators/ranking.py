@@ -1,7 +1,6 @@
 """Ranks, quantiles and ROC from counts per distinct value, without sorting a group in one task.
 
-Rows are first reduced to one row per (group, value). A group with many distinct
-values is then cut into value blocks; cumulative counts run inside blocks and over
+Rows are first reduced to one row per (group, value). Every group is then cut into value blocks; cumulative counts run inside blocks and over
 the block totals. The cut points come from values picked by their hash, so a task
 that is run again finds the same cut points.
 """
@@ -11,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLIT_OVER = 200_000
 SAMPLE = 16_384
 BLOCKS = 256
 _ALL = "_all"
 
 
 def cumulative(
-    df: DataFrame, keys: list[str], value: str, weights: dict[str, Column] | None = None, *, split_over: int = SPLIT_OVER
+    df: DataFrame, keys: list[str], value: str, weights: dict[str, Column] | None = None, *, sample: int = SAMPLE
 ) -> DataFrame:
     """One row per (keys, value) with, for every weight w: w, w_before and w_total.
 
@@ -32,9 +30,9 @@ def cumulative(
         .groupBy(*ks, value)
         .agg(*[F.sum(w).alias(name) for name, w in weights.items()])
     )
-    large = counts.groupBy(*ks).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > split_over)
-    every = F.greatest(F.lit(1), F.floor(F.col("_d") / F.lit(min(SAMPLE, split_over)))).cast("bigint")
-    picked = counts.join(large, ks).filter(F.pmod(F.xxhash64(*ks, value), every) == 0)
+    sizes = counts.groupBy(*ks).agg(F.count(F.lit(1)).alias("_d"))
+    every = F.greatest(F.lit(1), F.floor(F.col("_d") / F.lit(sample))).cast("bigint")
+    picked = counts.join(sizes, ks).filter(F.pmod(F.xxhash64(*ks, value), every) == 0)
     at = F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)])
     cuts = picked.groupBy(*ks).agg(F.percentile(F.col(value).cast("double"), at).alias("_cuts"))
     # Number of cut points below the value, by halving steps.

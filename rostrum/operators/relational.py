@@ -13,8 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 10_000
-
 
 def _cols(items) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in items]
@@ -163,11 +161,11 @@ def best_and_worst(df: DataFrame, score: str, ties: list[str], k: int = 10) -> D
     return side("top", F.desc(score)).unionByName(side("bottom", F.asc(score)))
 
 
-def levels(df: DataFrame, col: str) -> list:
-    """Distinct values of a category column, refused when there are too many to be one."""
-    rows = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{col} has more than {MAX_LEVELS} values and is not a category")
+def levels(df: DataFrame, col: str, limit: int = 10_000) -> list:
+    """Distinct values of a category column, which become columns; `limit` bounds how many."""
+    rows = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{col} has more than {limit} values and is not a category")
     return sorted(r[0] for r in rows)
 
 

@@ -22,15 +22,6 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
 
-    def spread(self, name: str) -> DataFrame:
-        """A text table whose rows cost much CPU: small inputs are dealt out to all cores.
-
-        A table with at least as many splits as cores is read as it is, without a shuffle.
-        """
-        df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)

@@ -16,7 +16,7 @@ def transcripts(t: Tables) -> DataFrame:
         .when(F.col("role") == "assistant", "Ms. Van Orden")
         .otherwise("The Chairman")
     )
-    return t.spread("conversations").select(
+    return t.conversations.select(
         "conv_id",
         "turn",
         F.concat(F.lit("    "), who, F.lit(". "), F.col("text"), F.lit("\nContents .... 5\n")).alias("raw_text"),

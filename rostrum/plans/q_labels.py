@@ -24,7 +24,7 @@ fr as (select *, round(n / greatest(n_words, 1)::double * 1000000, 3) as per_mil
 
 
 def _freq(t: Tables) -> DataFrame:
-    return dic.term_frequency(t.spread("documents"), ["doc_id", "lang", "source"], "text", list(TERMS))
+    return dic.term_frequency(t.documents, ["doc_id", "lang", "source"], "text", list(TERMS))
 
 
 def _versions(t: Tables) -> DataFrame:
@@ -142,7 +142,7 @@ def roc_auc(t: Tables) -> DataFrame:
     sql=f"with {PRED_SQL}, s as (select distinct score from pr) select score as threshold, round((select count_if(quality = 1 and pr.score >= s.score) / count_if(quality = 1)::double from pr), 6) as tpr, round((select count_if(quality = 0 and pr.score >= s.score) / count_if(quality = 0)::double from pr), 6) as fpr from s",
 )
 def roc_points(t: Tables) -> DataFrame:
-    return _rounded(ranking.roc_points(predictions(t), "quality", "score", split_over=50))
+    return _rounded(ranking.roc_points(predictions(t), "quality", "score", sample=50))
 
 
 @query("agreement", sql=f"with {PRED_SQL} select source, round(avg((quality = pred)::int) * 100, 6) as agree_pct, round((1 - avg((quality = pred)::int)) * 100, 6) as disagree_pct, round(avg(quality), 6) as mean_a, round(avg(pred), 6) as mean_b from pr group by 1")
@@ -196,7 +196,7 @@ def vowel_share(s: pd.Series) -> pd.Series:
 
 @query("score_batch", sql="select doc_id, round((length(text) - length(regexp_replace(text, '[aeiou]', '', 'g'))) / greatest(length(text), 1)::double, 6) as probability, ((length(text) - length(regexp_replace(text, '[aeiou]', '', 'g'))) / greatest(length(text), 1)::double > 0.3)::int as label from documents")
 def score_batch(t: Tables) -> DataFrame:
-    s = labels.score_text(t.spread("documents").select("doc_id", "text"), "text", vowel_share, 0.3)
+    s = labels.score_text(t.documents.select("doc_id", "text"), "text", vowel_share, 0.3)
     return s.select("doc_id", F.round("probability", 6).alias("probability"), "label")
 
 

@@ -370,7 +370,7 @@ def pct_rank(t: Tables) -> DataFrame:
 def pct_rank_large(t: Tables) -> DataFrame:
     """Ranks within three big groups, cut into value blocks."""
     cols = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_extendedprice")
-    r = ranking.percent_rank_avg(cols, ["l_returnflag"], "l_extendedprice", "pr", split_over=10_000)
+    r = ranking.percent_rank_avg(cols, ["l_returnflag"], "l_extendedprice", "pr", sample=10_000)
     return r.select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", F.round("pr", 6).alias("pr"))
 
 

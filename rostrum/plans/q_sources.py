@@ -233,7 +233,7 @@ def _land(t: Tables, name: str, copies: int = 2) -> str:
 @query("stream_dedupe", sql="select event_id, user_id, event_type, strftime(ts, '%Y-%m') as month from events")
 def stream_dedupe(t: Tables) -> DataFrame:
     landed, out, ck = _land(t, "landed"), scratch(t, "fresh"), scratch(t, "ck")
-    ingest.append_new(t.spark, landed, EVENTS, out, ck, key=["event_id"], time_col="ts", delay="60 days", files_per_batch=1)
+    ingest.append_new(t.spark, landed, EVENTS, out, ck, key=["event_id"], time_col="ts", files_per_batch=1)
     return t.spark.read.parquet(out).select("event_id", "user_id", "event_type", "month")
 
 

@@ -212,7 +212,7 @@ def pass_rate(t: Tables) -> DataFrame:
 
 @query("quantiles", sql="select l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) as p10, round(quantile_cont(l_extendedprice, 0.9), 4) as p90 from lineitem group by 1")
 def quantiles(t: Tables) -> DataFrame:
-    q = ranking.quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p90": 0.9}, split_over=5_000)
+    q = ranking.quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p90": 0.9}, sample=5_000)
     return q.withColumns({c: F.round(c, 4) for c in ("p10", "p90")})
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, names
+from ..functions import dates, names, text
 from ..operators import relational as rel
 from ..operators import members
 from .catalog import Tables, query
@@ -57,10 +57,10 @@ def existing_columns(t: Tables) -> DataFrame:
     return rel.existing(t.documents, ["doc_id", "speaker", "lang"])
 
 
-@query("speaker_type_filter", sql="select conv_id, turn from conversations where role = 'assistant' and text is not null and trim(text) <> ''")
+@query("speaker_type_filter", sql="select conv_id, turn from conversations where role = 'assistant' and regexp_matches(text, '\\S')")
 def speaker_type_filter(t: Tables) -> DataFrame:
     c = t.conversations.filter(F.col("role") == "assistant")
-    return c.filter(F.trim("text") != "").select("conv_id", "turn")
+    return c.filter(text.strip(F.col("text")) != "").select("conv_id", "turn")
 
 
 @query(

@@ -86,7 +86,7 @@ def sentence_numbers(t: Tables) -> DataFrame:
 )
 def document_sentences(t: Tables) -> DataFrame:
     """One row per document to one row per sentence, columns kept."""
-    s = transcripts.to_sentences(t.spread("documents").select("doc_id", "text"))
+    s = transcripts.to_sentences(t.documents.select("doc_id", "text"))
     return s.select("doc_id", "sent_pos", F.md5("sentence").alias("digest"))
 
 
@@ -163,7 +163,7 @@ def keyword_rate_by_speaker(t: Tables) -> DataFrame:
 {RATE_SQL.format(g='source, lang').replace('select source, lang, mean,', 'select source, lang, round(mean, 6) as mean,', 1)}""",
 )
 def keyword_rate_by_source(t: Tables) -> DataFrame:
-    s = transcripts.to_sentences(t.spread("documents").select("doc_id", "lang", "source", "text"))
+    s = transcripts.to_sentences(t.documents.select("doc_id", "lang", "source", "text"))
     s = s.withColumn("hit", text.has_keyword(F.col("sentence"), EVIDENCE))
     return _rounded(stats.proportion_stats(s, ["source", "lang"], "hit"))
 
@@ -182,7 +182,7 @@ def keyword_rate_by_source(t: Tables) -> DataFrame:
 )
 def keyword_presets(t: Tables) -> DataFrame:
     """Documents hit by each preset keyword list, in one pass."""
-    docs = t.spread("documents").select("text")
+    docs = t.documents.select("text")
     hits = F.array(
         *[
             F.struct(
@@ -260,5 +260,5 @@ select doc_id, len(w)::bigint as n_tokens, i::bigint as chunk_no, md5(array_to_s
 from nz, lateral (select unnest(range((len(w) + 499) // 500)) as i)""",
 )
 def token_chunks(t: Tables) -> DataFrame:
-    d = transcripts.token_chunks(t.spread("documents").select("doc_id", "text"), 500)
+    d = transcripts.token_chunks(t.documents.select("doc_id", "text"), 500)
     return d.select("doc_id", "n_tokens", "chunk_no", F.md5("chunk").alias("digest"))

@@ -32,22 +32,46 @@ def _finish(query) -> None:
 
 
 def append_new(
-    spark: SparkSession, landed: str, schema: str | T.StructType, out: str, checkpoint: str, *, key: list[str], time_col: str, delay: str, files_per_batch: int | None = None
+    spark: SparkSession, landed: str, schema: str | T.StructType, out: str, checkpoint: str, *, key: list[str], time_col: str, files_per_batch: int | None = None
 ) -> None:
-    """Append records not seen before, partitioned by month.
+    """Append every record whose key has not been seen before, however late it lands.
 
-    State is kept only within `delay` of the newest record; `delay` must cover how far
-    apart copies of a record, or late records, can be.
+    A batch keeps its keys once, the earliest record by `time_col`, and drops those that earlier
+    batches wrote. It goes to its own folder, partitioned by month, and a batch that is run again
+    overwrites that folder and reads only the ones before it. Of what was written, only
+    the key columns are read. The output has the columns of the source, `month` and `batch`.
     """
-    df = _source(spark, landed, schema, files_per_batch).withColumn(time_col, F.col(time_col).cast("timestamp"))
-    fresh = df.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(key)
-    fresh = fresh.withColumn("month", F.date_format(time_col, "yyyy-MM"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rest = sorted(c for c in batch.columns if c not in key and c != time_col)
+        fresh = rel.first_by(batch, key, [time_col, *rest])
+        earlier = _batches_before(batch.sparkSession, out, batch_id)
+        if earlier:
+            seen = batch.sparkSession.read.option("basePath", out).parquet(*earlier).select(*key)
+            fresh = fresh.join(seen, key, "left_anti")
+        month = F.date_format(F.col(time_col).cast("timestamp"), "yyyy-MM")
+        fresh.withColumn("month", month).write.mode("overwrite").partitionBy("month").parquet(f"{out}/batch={batch_id}")
+
     _finish(
-        fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .partitionBy("month").outputMode("append").trigger(availableNow=True).start()
+        _source(spark, landed, schema, files_per_batch).writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def _batches_before(spark: SparkSession, out: str, batch_id: int) -> list[str]:
+    """Folders of earlier batches that hold files, as the file system lists them."""
+    paths = []
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(out)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k in range(batch_id):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{out}/batch={k}")
+        # A batch without new records has no month folder and so no schema.
+        if fs.exists(folder) and any(s.isDirectory() for s in fs.listStatus(folder)):
+            paths.append(f"{out}/batch={k}")
+    return paths
+
+
 def upsert_log(
     spark: SparkSession, landed: str, schema: str | T.StructType, out: str, checkpoint: str, *, key: list[str], modified: str, files_per_batch: int | None = None
 ) -> None:

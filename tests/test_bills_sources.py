@@ -22,7 +22,7 @@ def test_citations(spark):
 
 
 def test_page_counts(spark):
-    for text, want in {"iv+120 p.": 124, "5-9": 5, "xix+1,200 p., 10-20": 1230, "none": 0}.items():
+    for text, want in {"iv+120 p.": 124, "5-9": 5, "xix+1,200 p., 10-20": 1230, "12345 p.": 12345, "1,234,567 p.": 1234567, "none": 0}.items():
         assert one(spark, b.page_count(F.lit(text))) == want
 
 
@@ -94,7 +94,7 @@ def test_streams_resume(spark, tmp_path):
     def land(rows):
         spark.createDataFrame(rows, "id long, ts string, v string").withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(landed)
 
-    run = lambda: ingest.append_new(spark, landed, schema, out, ck, key=["id"], time_col="ts", delay="90 days")
+    run = lambda: ingest.append_new(spark, landed, schema, out, ck, key=["id"], time_col="ts")
     land([(1, "2024-01-01", "a"), (2, "2024-01-05", "a"), (1, "2024-01-02", "b")])
     run()
     land([(2, "2024-01-06", "c"), (3, "2024-02-01", "c")])
@@ -117,3 +117,18 @@ def test_json_and_messages(spark, tmp_path):
     writers.to_messages(df, str(tmp_path / "m"), "sys", "q", "a")
     line = spark.read.text(str(tmp_path / "m")).first().value
     assert line == '{"messages":[{"role":"system","content":"sys"},{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}'
+
+def test_append_keeps_late_keys_and_survives_a_repeat(spark, tmp_path):
+    landed, out, ck = (str(tmp_path / x) for x in ("landed", "out", "ck"))
+    schema = "id long, ts timestamp, v string"
+
+    def land(rows):
+        spark.createDataFrame(rows, "id long, ts string, v string").selectExpr("id", "timestamp(ts) as ts", "v").coalesce(1).write.mode("append").parquet(landed)
+        ingest.append_new(spark, landed, schema, out, ck, key=["id"], time_col="ts")
+
+    land([(3, "2024-06-01 00:00:00", "newest"), (3, "2024-06-02 00:00:00", "copy")])
+    land([(2, "2020-01-01 00:00:00", "late"), (3, "2024-06-01 00:00:00", "copy")])
+    land([(3, "2021-01-01 00:00:00", "copy")])
+    land([(1, "1999-12-31 00:00:00", "latest to land"), (2, "2020-01-01 00:00:00", "copy")])
+    got = sorted((r.id, r.v, r.month) for r in spark.read.parquet(out).collect())
+    assert got == [(1, "latest to land", "1999-12"), (2, "late", "2020-01"), (3, "newest", "2024-06")]

@@ -50,16 +50,16 @@ def test_blocks_give_the_plain_window_result(spark, span):
     assert same(got.l, g.shift(1)) and same(got.n, g.shift(-1)) and same(got.i, g.cumcount() + 1)
 
 
-@pytest.mark.parametrize("split_over", [10, 100_000])
-def test_ranks_and_quantiles_with_hot_group(spark, split_over):
+@pytest.mark.parametrize("sample", [10, 100_000])
+def test_ranks_and_quantiles_with_hot_group(spark, sample):
     rnd = random.Random(5)
     rows = [(i, "hot" if i % 4 else "cold", None if i % 17 == 0 else round(rnd.gauss(0, 10), 1)) for i in range(900)]
     pdf = pd.DataFrame(rows, columns=["i", "g", "x"])
     df = spark.createDataFrame(rows, "i int, g string, x double")
-    got = ranking.percent_rank_avg(df, ["g"], "x", "pr", split_over=split_over).orderBy("i").toPandas()
+    got = ranking.percent_rank_avg(df, ["g"], "x", "pr", sample=sample).orderBy("i").toPandas()
     want = pdf.groupby("g").x.rank(pct=True)
     assert np.allclose(got.pr, want, equal_nan=True)
-    q = ranking.quantiles(df, ["g"], "x", {"a": 0.1, "b": 0.5, "c": 0.9}, split_over=split_over).toPandas().set_index("g")
+    q = ranking.quantiles(df, ["g"], "x", {"a": 0.1, "b": 0.5, "c": 0.9}, sample=sample).toPandas().set_index("g")
     for name, p in (("a", 0.1), ("b", 0.5), ("c", 0.9)):
         assert np.allclose(q[name], pdf.groupby("g").x.quantile(p)[q.index])
 
@@ -70,7 +70,7 @@ def test_auc_brute_force(spark):
     pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
     want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
     df = spark.createDataFrame(rows, "y int, s double")
-    assert ranking.auc(df, "y", "s", split_over=3).first().auc == pytest.approx(want)
+    assert ranking.auc(df, "y", "s", sample=3).first().auc == pytest.approx(want)
 
 
 def test_two_way_effects_equal_dense_regression(spark):
