@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -152,11 +152,16 @@ def top_k(df: DataFrame, key: str, k: int) -> DataFrame:
     return counts.orderBy(F.desc("count"), key).limit(k)
 
 
+def placed(groups: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """A table of groups in order, with each one's place; made for categories, whose number is bounded."""
+    return groups.withColumn(out, F.row_number().over(Window.orderBy(*order))).orderBy(out)
+
+
 def best_and_worst(df: DataFrame, score: str, ties: list[str], k: int = 10) -> DataFrame:
     """Top k and bottom k rows by a score, tagged by side and rank."""
     def side(name: str, order):
         cut = df.orderBy(order, *ties).limit(k).withColumn("side", F.lit(name))
-        return cut
+        return cut.withColumn("rank", F.row_number().over(Window.partitionBy("side").orderBy(order, *ties)))
 
     return side("top", F.desc(score)).unionByName(side("bottom", F.asc(score)))
 

@@ -76,19 +76,43 @@ def enrich(sentences: DataFrame, s: Sources) -> DataFrame:
     return covariates(matching.without_late_witnesses(match(named, s)), s)
 
 
-def run(texts: DataFrame, s: Sources, out_dir: str, *, sample_size: int = 10_000, seed: int = 42) -> dict[str, DataFrame]:
-    """Texts to written stage tables: sentences, enriched, sample. Finished stages are reused.
-
-    Each stage is a Parquet table in the shared `out_dir`, so a lost executor costs
-    only the tasks it was running.
+def run(
+    texts: DataFrame, s: Sources, out_dir: str, *, congresses: list[int] | None = None, chamber: str | None = None, sample_size: int = 10_000, seed: int = 42
+) -> dict[str, DataFrame]:
+    """Texts to written stage tables and a report: sentences, enriched, sample, report.
+
+    Only hearings of the wanted congresses and chamber are read. The raw sentences are reused while
+    their texts, hearings and filters are the same; what is derived from them is built anew.
+    A sentence_id names a sentence in every table. Each stage is a Parquet table in the shared
+    `out_dir`, so a lost executor costs only the tasks it was running.
     """
     spark = texts.sparkSession
-    wanted = relational.keep_in(relational.substantial(texts), s.hearings, "hearing_id")
-    sentences = stage.cached(spark, f"{out_dir}/sentences", lambda: transcripts.sentence_records(wanted))
-    enriched = stage.cached(spark, f"{out_dir}/enriched", lambda: enrich(sentences, s), partition_by=["congress"])
-    matched = enriched.filter(F.col("bioguide_id").isNotNull())
-    key = ["hearing_id", "chunk_pos", "sent_pos"]
-    sample = stage.cached(
-        spark, f"{out_dir}/sample", lambda: sampling.stratified(matched, "congress", key, sample_size, seed)
+    hearings = s.hearings
+    if congresses:
+        hearings = hearings.filter(F.col("congress").isin(list(congresses)))
+    if chamber:
+        hearings = hearings.filter(F.lower("chamber") == chamber.lower())
+    wanted = relational.keep_in(relational.substantial(texts), hearings, "hearing_id")
+    name = F.concat_ws("-", "hearing_id", "chunk_pos", "sent_pos").alias("sentence_id")
+    sentences = stage.cached(
+        spark, f"{out_dir}/sentences", lambda: transcripts.sentence_records(wanted).select(name, "*"), token=stage.token_of(texts, s.hearings, congresses, chamber)
     )
-    return {"sentences": sentences, "enriched": enriched, "sample": sample}
+    enriched = _written(enrich(sentences, s), f"{out_dir}/enriched", ["congress"])
+    matched = enriched.filter(F.col("bioguide_id").isNotNull())
+    sample = _written(sampling.stratified(matched, "congress", ["sentence_id"], sample_size, seed), f"{out_dir}/sample")
+    return {"sentences": sentences, "enriched": enriched, "sample": sample, "report": report(enriched)}
+
+
+def _written(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def report(enriched: DataFrame) -> DataFrame:
+    """Rows and share by match type, party, chamber and congress: (item, value, n, share)."""
+    kinds = {"match_type": "unmatched", "party": "none", "chamber": "none", "congress": "none"}
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.coalesce(F.col(c).cast("string"), F.lit(d)).alias("value")) for c, d in kinds.items()]))
+    counts = enriched.select(cells.alias("_c")).groupBy("_c.item", "_c.value").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.filter(F.col("item") == "match_type").agg(F.sum("n")).scalar()
+    return counts.withColumn("share", F.col("n") / total.cast("double"))

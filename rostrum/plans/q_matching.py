@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions.barrier import computed_once
 from ..operators import matching, members, ranking
 from ..operators import relational as rel
 from . import compose
+from ..session import checkpoint_dir
 from .catalog import Tables, query
 from .fixtures import congress_sql, orders_c
 from .q_tables import COMMITTEES_SQL, HEARINGS_SQL, committees, hearings
@@ -451,3 +454,22 @@ def enrich_all(t: Tables) -> DataFrame:
         "seniority", F.round("seniority_rs", 6).alias("seniority_rs"), "female", "district_code",
         F.round("vote_pct", 6).alias("vote_pct"), "chairspeech",
     )
+
+
+@query(
+    "full_pipeline",
+    sql=f"""with {ENRICHED_SQL},
+ cells as (select unnest([{{'item': 'match_type', 'value': coalesce(match_type, 'unmatched')}}, {{'item': 'party', 'value': coalesce(party, 'none')}},
+   {{'item': 'chamber', 'value': coalesce(chamber, 'none')}}, {{'item': 'congress', 'value': coalesce(congress::varchar, 'none')}}], recursive := true) from enriched),
+ counts as (select item, value, count(*)::bigint as n from cells group by 1, 2)
+ select item, value, n, round(n / (select count(*) from enriched)::double, 6) as share from counts""",
+)
+def full_pipeline(t: Tables) -> DataFrame:
+    """Transcripts to the written tables and their report, as a user runs it."""
+    spoken = sentence_rows(t).filter("sent_no < 7")
+    said = F.concat(F.lit("    "), "speaker", F.lit(". The member speaks about part "), "l_partkey", F.lit(" and then goes on at some length for the record of this hearing."))
+    lines = spoken.select("hearing_id", F.struct("sent_no", "sent_tie", said.alias("line")).alias("x"))
+    # A hearing has as many lines as its order, seven at most.
+    texts = lines.groupBy("hearing_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n").alias("raw_text"))
+    out = compose.run(texts, sources(t), f"{checkpoint_dir(t.spark)}/pipeline-{uuid.uuid4().hex}", sample_size=100)
+    return out["report"].withColumn("share", F.round("share", 6))

@@ -110,7 +110,7 @@ def multi_file(t: Tables) -> DataFrame:
     path = scratch(t, "many")
     t.lineitem.select("l_orderkey", "l_quantity", "l_returnflag").write.partitionBy("l_returnflag").option("header", True).csv(path)
     df = readers.csv_union(t.spark, f"{path}/*/*.csv", "l_orderkey bigint, l_quantity double")
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "l_returnflag=([A-Z]+)", 1)
+    folder = F.regexp_extract(F.col("file_path"), "l_returnflag=([A-Z]+)", 1)
     return df.withColumn("folder", folder).groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
@@ -128,15 +128,15 @@ def tolerant_scan(t: Tables) -> DataFrame:
     return reader.csv(path).filter(F.col("id") != "id")
 
 
-@query("slice_combine", sql="select o_orderkey, max(o_custkey + 1)::bigint as v from orders group by 1")
+@query("slice_combine", sql="select o_orderkey, o_custkey::bigint as v from orders")
 def slice_combine(t: Tables) -> DataFrame:
-    """Overlapping slices plus an empty file: the last slice wins per key."""
+    """Overlapping slices with columns in another order, and an empty file: the last slice wins per key."""
     path = scratch(t, "slices")
-    for i in (0, 1):
-        t.orders.select("o_orderkey", (F.col("o_custkey") + i).alias("v")).write.option("header", True).csv(f"{path}/slice{i}")
-    t.orders.limit(0).select("o_orderkey", F.col("o_custkey").alias("v")).write.csv(f"{path}/slice2")
-    df = readers.csv(t.spark, f"{path}/slice*", "o_orderkey bigint, v bigint")
-    return rel.last_by(df, ["o_orderkey"], ["v"])
+    v = F.col("o_custkey")
+    t.orders.select("o_orderkey", (v + 1).alias("v")).write.option("header", True).csv(f"{path}/slice0")
+    t.orders.select(v.alias("v"), F.lit("x").alias("more"), "o_orderkey").write.option("header", True).csv(f"{path}/slice1")
+    t.orders.limit(0).select("o_orderkey", v.alias("v")).write.csv(f"{path}/slice2")
+    return readers.slices(t.spark, f"{path}/slice*", "o_orderkey bigint, v bigint", ["o_orderkey"])
 
 
 @query("json_pages", sql="select 'CHRG-' || o_orderkey as \"packageId\", (105 + o_orderkey % 5)::int as congress, o_orderpriority as title from orders")
@@ -147,10 +147,11 @@ def json_pages(t: Tables) -> DataFrame:
         F.concat(F.lit("CHRG-"), "o_orderkey").alias("packageId"), F.col("o_orderpriority").alias("title"),
         (105 + F.col("o_orderkey") % 5).cast("string").alias("congress"), F.lit("2001-01-01").alias("lastModified"),
     )
-    writers.to_json(t.orders.select(F.array(p, p).alias("packages")), path)
-    pages = t.spark.read.schema(schemas.PACKAGE_PAGE).json(path)
-    rows = pages.select(F.explode("packages").alias("p")).select("p.*").withColumn("congress", F.col("congress").try_cast("int"))
-    return rel.last_by(rows, ["packageId"], ["lastModified", "title"]).select("packageId", "congress", "title")
+    # A page is one file with a few thousand packages.
+    page = F.floor(F.col("o_orderkey") / 4_000).alias("page")
+    pages = t.orders.select(page, F.explode(F.array(p, p)).alias("p")).groupBy("page").agg(F.collect_list("p").alias("packages"))
+    pages.repartition("page").write.partitionBy("page").json(path)
+    return readers.packages(t.spark, path).select("packageId", "congress", "title")
 
 
 @query("bill_files", sql="select 'hr' || o_orderkey || '-105' as bill_id, 'B' || o_custkey as sponsor_id from orders")
@@ -167,6 +168,70 @@ def bill_files(t: Tables) -> DataFrame:
     return reader.json(path).select("bill_id", F.col("sponsor.bioguide_id").alias("sponsor_id"))
 
 
+@query("bill_documents", sql="select 'hr' || n_nationkey || '-105' as bill_id, n_name as official_title, 'B' || n_regionkey as sponsor_id, 2::bigint as n_actions from nation")
+def bill_documents(t: Tables) -> DataFrame:
+    """Bill files through the library's reader: one pretty-printed document each, in folders."""
+    path = scratch(t, "documents")
+    k = F.col("n_nationkey").cast("string")
+    action = F.concat(F.lit('{"status": "REPORTED", "acted_at": "2001-01-0'), F.col("n_regionkey") + 1, F.lit('"}'))
+    text = F.concat(
+        F.lit('{\n "bill_id": "hr'), k, F.lit('-105",\n "official_title": "'), "n_name", F.lit('",\n "actions": ['), action, F.lit(",\n  "), action,
+        F.lit('],\n "sponsor": {"bioguide_id": "B'), "n_regionkey", F.lit('"}\n}'),
+    )
+    t.nation.select("n_nationkey", "n_regionkey", text.alias("value")).write.partitionBy("n_regionkey", "n_nationkey").text(path)
+    bills = readers.bills(t.spark, path, "*.txt")
+    return bills.select("bill_id", "official_title", F.col("sponsor.bioguide_id").alias("sponsor_id"), F.size("actions").cast("bigint").alias("n_actions"))
+
+
+@query("hearing_tables", sql="select 'h' || o_orderkey as hearing_id, (105 + o_orderkey % 5)::int as congress, case when o_orderkey % 2 = 0 then 'House' else 'Senate' end as chamber, o_orderstatus || ', \"' || o_orderpriority || '\"' as title from orders")
+def hearing_tables(t: Tables) -> DataFrame:
+    """A dimension table through the library's reader: columns in another order, quotes and commas."""
+    folder = scratch(t, "tables")
+    k = F.col("o_orderkey")
+    rows = t.orders.select(
+        F.concat("o_orderstatus", F.lit(', "'), "o_orderpriority", F.lit('"')).alias("title"), (105 + k % 5).alias("congress"), F.lit("x").alias("unused"),
+        F.when(k % 2 == 0, "House").otherwise("Senate").alias("chamber"), F.concat(F.lit("h"), k).alias("hearing_id"),
+    )
+    writers.to_csv(rows, f"{folder}/hearings.csv")
+    return readers.table(t.spark, folder, "hearings")
+
+
+@query("hearing_text_files", sql="select 'h' || conv_id || '-' || turn as hearing_id, md5(text) as digest from conversations where role = 'user' and text is not null")
+def hearing_text_files(t: Tables) -> DataFrame:
+    """Quoted multi-line transcripts, the wanted hearings only."""
+    path = f"{scratch(t, 'texts')}/texts.csv"
+    hearing = F.concat(F.lit("h"), "conv_id", F.lit("-"), "turn").alias("hearing_id")
+    writers.to_csv(t.conversations.select(hearing, F.col("text").alias("raw_text")), path)
+    ids = t.conversations.filter("role = 'user' and text is not null").select(hearing)
+    return readers.hearing_texts(t.spark, path, ids).select("hearing_id", F.md5("raw_text").alias("digest"))
+
+
+@query("ideology_rows", sql="select (100 + s_suppkey % 20)::int as congress, 'B' || s_suppkey as bioguide_id, round(s_acctbal / 10000, 6) as nominate_dim1 from supplier where s_suppkey % 3 > 0 and 100 + s_suppkey % 20 between 105 and 114")
+def ideology_rows(t: Tables) -> DataFrame:
+    """Ideology scores of one chamber and a range of congresses."""
+    path = scratch(t, "ideology")
+    k = F.col("s_suppkey")
+    rows = t.supplier.select(
+        F.when(k % 3 > 0, "House").otherwise("Senate").alias("chamber"), (100 + k % 20).alias("congress"), F.concat(F.lit("B"), k).alias("bioguide_id"),
+        F.round(F.col("s_acctbal") / 10000, 6).alias("nominate_dim1"),
+    )
+    writers.to_csv(rows, path)
+    return readers.ideology(t.spark, path, (105, 114)).select("congress", "bioguide_id", "nominate_dim1")
+
+
+@query("election_rows", sql="select (2000 + c_custkey % 10)::int as year, 'S' || c_nationkey as state_po, c_custkey::varchar as district, c_acctbal::double as candidatevotes, (c_acctbal + 1000)::double as totalvotes from customer where c_custkey % 7 > 0")
+def election_rows(t: Tables) -> DataFrame:
+    """Election results; every seventh line has two fields too many and is dropped."""
+    path = scratch(t, "elections")
+    k = F.col("c_custkey")
+    line = F.concat_ws(",", 2000 + k % 10, F.concat(F.lit("S"), "c_nationkey"), k, "c_acctbal", F.col("c_acctbal") + 1000, F.when(k % 7 == 0, "x,y"))
+    head = "year,state_po,district,candidatevotes,totalvotes"
+    # One file with one header line, as such tables come.
+    whole = t.spark.createDataFrame([(0, head)], "n int, value string").unionByName(t.customer.select(F.lit(1).alias("n"), line.alias("value")))
+    whole.repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(path)
+    return readers.elections(t.spark, path)
+
+
 @query("xml_scan", sql="select o_orderkey::varchar as id, o_custkey::varchar as first_person, 2::bigint as n_people from orders")
 def xml_scan(t: Tables) -> DataFrame:
     """Hearing XML with repeated participants."""

@@ -330,8 +330,8 @@ k as (select l_suppkey, round(p * 100, 1) as pct, n from s where n >= 5)"""
 @query(
     "leaderboard",
     sql=LEADER_SQL
-    + """ select * from (select *, 'top' as side from k order by pct desc, l_suppkey limit 10)
-union all select * from (select *, 'bottom' as side from k order by pct, l_suppkey limit 10)""",
+    + """ select * from (select *, 'top' as side, row_number() over (order by pct desc, l_suppkey)::int as rank from k order by rank limit 10)
+union all select * from (select *, 'bottom' as side, row_number() over (order by pct, l_suppkey)::int as rank from k order by rank limit 10)""",
 )
 def leaderboard(t: Tables) -> DataFrame:
     s = t.lineitem.groupBy("l_suppkey").agg(
@@ -350,7 +350,8 @@ def first_n(t: Tables) -> DataFrame:
 
 @query(
     "ordered_categories",
-    sql="select p_type as category, round(avg((l_returnflag = 'R')::int), 6) as rate from lineitem join part on p_partkey = l_partkey group by 1",
+    sql="""with r as (select p_type as category, round(avg((l_returnflag = 'R')::int), 6) as rate from lineitem join part on p_partkey = l_partkey group by 1)
+select category, rate, row_number() over (order by rate desc, category)::int as place from r""",
 )
 def ordered_categories(t: Tables) -> DataFrame:
     """Categories in order of their rate."""
@@ -358,8 +359,7 @@ def ordered_categories(t: Tables) -> DataFrame:
     rates = j.groupBy(F.col("p_type").alias("category")).agg(
         F.round(F.avg((F.col("l_returnflag") == "R").cast("double")), 6).alias("rate")
     )
-    ordered = rates.orderBy(F.desc("rate"), "category")
-    return ordered
+    return rel.placed(rates, [F.desc("rate"), F.col("category")])
 
 
 @query("ordered_master", sql="select o_orderkey, o_orderpriority, o_orderdate::date::varchar as d from orders")
@@ -369,9 +369,10 @@ def ordered_master(t: Tables) -> DataFrame:
     )
 
 
-@query("frequency", sql="select p_brand, count(*)::bigint as count from part where p_brand is not null group by 1")
+@query("frequency", sql="select *, row_number() over (order by count desc, p_brand)::int as place from (select p_brand, count(*)::bigint as count from part where p_brand is not null group by 1)")
 def frequency(t: Tables) -> DataFrame:
-    return t.part.filter(F.col("p_brand").isNotNull()).groupBy("p_brand").count().orderBy(F.desc("count"), "p_brand")
+    counts = t.part.filter(F.col("p_brand").isNotNull()).groupBy("p_brand").count()
+    return rel.placed(counts, [F.desc("count"), F.col("p_brand")])
 
 
 @query("distinct_counts", sql="select count(distinct o_custkey)::bigint as n_members, count(distinct o_orderpriority)::bigint as n_titles, count(distinct o_orderdate)::bigint as n_days from orders")

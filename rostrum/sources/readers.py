@@ -94,16 +94,58 @@ def xml_full_text(spark: SparkSession, path: str, row_tag: str, key: str, node:
     return df.select(key, F.array_join(node, " ").alias("raw_text"))
 
 
-def csv_union(spark: SparkSession, glob: str, schema: str | T.StructType) -> DataFrame:
-    """Many CSV files with the file name kept."""
-    df = spark.read.schema(schema).option("header", True).option("escape", '"').csv(glob)
-    return df.select("*", F.col("_metadata.file_name").alias("file_name"))
+def _by_header(spark: SparkSession, glob: str) -> dict[tuple[str, ...], list[str]]:
+    """Files of a glob grouped by their header columns; empty files are left out.
+
+    Reads the first line of each file and nothing else.
+    """
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(glob)
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[tuple[str, ...], list[str]] = {}
+    pending = sorted(fs.globStatus(pattern) or [], key=lambda s: s.getPath().toString())
+    while pending:
+        status = pending.pop(0)
+        name = status.getPath().getName()
+        if name.startswith(("_", ".")):
+            continue
+        if status.isDirectory():
+            pending = sorted(fs.listStatus(status.getPath()), key=lambda s: s.getPath().toString()) + pending
+        elif status.getLen():
+            stream = fs.open(status.getPath())
+            try:
+                line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+            finally:
+                stream.close()
+            if line:
+                header = tuple(c.strip().strip('"') for c in line.lstrip("\ufeff").split(","))
+                found.setdefault(header, []).append(status.getPath().toString())
+    return found
+
+
+def csv_union(spark: SparkSession, glob: str, schema: str | T.StructType, *, tolerant: bool = False) -> DataFrame:
+    """Many CSV files with the file name and path kept; columns are found by each file's own header.
+
+    Files may order their columns differently, lack some or have more. `tolerant` drops malformed
+    rows and corrupt files.
+    """
+    want = schemas.struct(schema)
+    out = spark.createDataFrame([], T.StructType([*want.fields, T.StructField("file_name", T.StringType()), T.StructField("file_path", T.StringType())]))
+    for header, files in _by_header(spark, glob).items():
+        as_text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        reader = spark.read.schema(as_text).option("header", True).option("escape", '"').option("enforceSchema", True)
+        if tolerant:
+            reader = reader.option("mode", "DROPMALFORMED").option("columnPruning", False).option("ignoreCorruptFiles", True)
+        meta = F.col("_metadata")
+        named = reader.csv(files).select("*", meta["file_name"].alias("file_name"), meta["file_path"].alias("file_path"))
+        extra = T.StructType([T.StructField("file_name", T.StringType()), T.StructField("file_path", T.StringType())])
+        out = out.unionByName(schemas.conform(named, T.StructType([*want.fields, *extra.fields])))
+    return out
 
 
 def slices(spark: SparkSession, glob: str, schema: str | T.StructType, key: list[str]) -> DataFrame:
-    """Slice files combined: empty and corrupt ones are skipped, keys kept once (last file wins)."""
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("ignoreCorruptFiles", True).option("mode", "DROPMALFORMED")
-    df = reader.csv(glob).select("*", F.col("_metadata.file_name").alias("_file")).dropna(subset=key)
+    """Slice files combined: empty and corrupt ones are skipped, keys kept once (last file by path wins)."""
+    df = csv_union(spark, glob, schema, tolerant=True).drop("file_name").withColumnRenamed("file_path", "_file").dropna(subset=key)
     rest = [c for c in df.columns if c not in key and c != "_file"]
     return rel.last_by(df, key, ["_file", *rest]).drop("_file")
 

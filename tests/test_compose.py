@@ -42,8 +42,28 @@ def test_end_to_end(spark, sources, tmp_path):
     assert (smith.minority, doe.minority, smith.chairspeech, smith.vote_pct, str(smith.hearing_date)) == (0, 0, 1, 60.0, "2017-05-01")
     assert doe.committee_code is None and doe.vote_pct is None
     assert out["sample"].count() == 4
-    again = compose.run(texts.filter(F.lit(False)), sources, str(tmp_path), sample_size=4)
-    assert again["enriched"].count() == out["enriched"].count()
+    assert out["sentences"].select("sentence_id").distinct().count() == out["sentences"].count()
+    report = {(r["item"], r.value): r.n for r in out["report"].collect()}
+    assert report[("match_type", "congress_exact")] == 3 and sum(n for (item, _), n in report.items() if item == "congress") == out["enriched"].count()
+
+
+def test_sentences_are_reused_only_for_the_same_inputs(spark, sources, tmp_path):
+    import os
+
+    filler = "This is a long sentence about data and evidence. " * 3
+    path = str(tmp_path / "texts")
+    spark.createDataFrame([("h1", f"    Mr. Smith. {filler}"), ("h2", f"    Ms. Doe. {filler}")], "hearing_id string, raw_text string").write.parquet(path)
+    texts, out = spark.read.parquet(path), str(tmp_path / "out")
+
+    def files():
+        return sorted(f for f in os.listdir(f"{out}/sentences") if f.startswith("part-"))
+
+    assert compose.run(texts, sources, out, sample_size=4)["sample"].count() == 4
+    first = files()
+    assert compose.run(texts, sources, out, sample_size=2, seed=1)["sample"].count() == 2 and files() == first
+    only = compose.run(texts, sources, out, congresses=[115], chamber="house")
+    assert {r.hearing_id for r in only["enriched"].collect()} == {"h1"} and files() != first
+    assert compose.run(texts.filter("hearing_id = 'h2'"), sources, out)["enriched"].select("hearing_id").distinct().count() == 1
 
 
 def test_stage_is_rebuilt_when_older_than_its_input(spark, tmp_path):
