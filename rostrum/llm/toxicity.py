@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .stage import staged
 
 #: Labelled documents that a model is fitted on at most, drawn by hash of their id, and its features.
-MAX_LABELLED, MAX_FEATURES = 20_000, 20_000
+MAX_LABELLED, MAX_FEATURES = 20_000, 8_000
 #: A feature occurs in so many labelled documents, and is so many standard errors of log-odds from neutral.
 MIN_DOCS, SCREEN = 5, 2.0
 #: Occurrences of toxic-leaning words from which a toxic document has grade 2, and grade 3.
@@ -71,24 +71,27 @@ class Model:
         return float(sum(self.weights[f] * (1 + np.log(n)) for f, n in found.items()))
 
 
-def fit(rows: list[dict[str, int]], toxic: np.ndarray, lean: dict[str, float]) -> Model:
-    """Maximum likelihood of the cumulative-link model on `rows` of screened features.
+def fit(sizes: np.ndarray, col: np.ndarray, counts: np.ndarray, toxic: np.ndarray, names: list[str], lean: np.ndarray) -> Model:
+    """Maximum likelihood of the cumulative-link model on sparse rows of screened features.
+
+    Row k has sizes[k] entries in turn: numbers of features, `col`, and their counts. names and lean
+    describe the features.
 
     Severity of a toxic document, 1 to 3, goes by how often it uses features that lean clearly to toxic
     documents; others have grade 0. Adam on all rows, with an L2 penalty. Without labels of both
     kinds there is nothing to tell apart: the model then says grade 0.
     """
-    n = len(rows)
+    n = len(sizes)
     if not n or not 0 < toxic.sum() < n:
         return Model({}, np.full(TOP, 20.0))
-    uses = np.array([max((c for f, c in r.items() if lean.get(f, 0) >= LEANING), default=0) for r in rows])
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    uses = np.zeros(n, dtype=np.int64)
+    clear = lean[col] >= LEANING
+    np.maximum.at(uses, row[clear], counts[clear])
     y = np.where(toxic > 0, 1 + (uses >= GRADE_AT[0]) + (uses >= GRADE_AT[1]), 0)
-    place = {f: k for k, f in enumerate(sorted(lean))}
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    col = np.array([place[f] for r in rows for f in r], dtype=np.int64)
-    val = np.array([1 + np.log(c) for r in rows for c in r.values()])
+    val = (1 + np.log(counts)).astype(np.float32)
     at = np.arange(n)
-    w, first, gaps = np.zeros(len(place)), np.log((y == 0).mean() / (y > 0).mean()), np.zeros(TOP - 1)
+    w, first, gaps = np.zeros(len(names)), np.log((y == 0).mean() / (y > 0).mean()), np.zeros(TOP - 1)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, np.zeros(1), gaps)]
     for step in range(1, ROUNDS + 1):
         cuts = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
@@ -109,7 +112,7 @@ def fit(rows: list[dict[str, int]], toxic: np.ndarray, lean: dict[str, float]) -
             v += 0.01 * (g * g - v)
             moved.append(RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8))
         w, first, gaps = w + moved[0], first + moved[1][0], gaps + moved[2]
-    return Model({f: float(w[k]) for f, k in place.items() if abs(w[k]) > 1e-4}, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
+    return Model({f: float(w[k]) for k, f in enumerate(names) if abs(w[k]) > 1e-4}, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -160,16 +163,20 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col:
     lean = ((F.log(a / c) - F.log(b / d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)).alias("lean")
     picked = summed.select("feature", lean).filter(F.abs("lean") >= SCREEN).orderBy(F.abs("lean").desc(), "feature").limit(MAX_FEATURES)
     leans = {r.feature: r.lean for r in picked.collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(leans))
+    names = sorted(leans)
+    shared = docs.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(names)})
 
     def reduce(batches: Iterator[pa.RecordBatch]):
+        place = shared.value
         for b in batches:
-            kept = [{f: n for f, n in fs.items() if f in shared.value} for fs in unpacked(b)]
-            cols = [b.column(0), b.column(1), pa.array([list(k) for k in kept], pa.list_(pa.string())), pa.array([list(k.values()) for k in kept], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "y", "features", "counts"])
-
-    rows = sorted({r.id: r for r in sample.mapInArrow(reduce, "id long, y int, features array<string>, counts array<int>").collect()}.values(), key=lambda r: r.id)
-    return fit([dict(zip(r.features, r.counts)) for r in rows], np.array([r.y for r in rows]), leans)
+            kept = [[(place[f], n) for f, n in fs.items() if f in place] for fs in unpacked(b)]
+            cols = [b.column(0), b.column(1), *(pa.array([np.array([x[i] for x in k], np.int32).tobytes() for k in kept], pa.binary()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "y", "col", "counts"])
+
+    found = sample.mapInArrow(reduce, "id long, y int, col binary, counts binary").toPandas().drop_duplicates("id").sort_values("id")
+    col, counts = (np.frombuffer(b"".join(found[c]), np.int32) for c in ("col", "counts"))
+    sizes = found["col"].map(len).to_numpy(np.int64) // 4
+    return fit(sizes, col, counts, found["y"].to_numpy(), names, np.array([leans[f] for f in names]))
 
 
 def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

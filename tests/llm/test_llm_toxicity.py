@@ -25,15 +25,17 @@ def test_held_out_accuracy(spark):
 
 def test_gradient_reaches_ordered_severity():
     rng = random.Random(1)
-    rows, toxic = [], []
+    sizes, col, counts, toxic = [], [], [], []
     for k in range(600):
         n = rng.choice([0, 0, 0, 1, 2, 5])
-        counts = Counter(rng.choice("abcdefgh") for _ in range(20))
+        words = Counter(rng.choice("abcdefgh") for _ in range(20))
         if n:
-            counts["vile"] = n
-        rows.append(dict(counts))
+            words["vile"] = n
+        sizes.append(len(words))
+        col += ["abcdefgh".index(w) if w != "vile" else 8 for w in words]
+        counts += words.values()
         toxic.append(int(n > 0))
-    model = toxicity.fit(rows, np.array(toxic), {"vile": 9.0, "a": 0.1})
+    model = toxicity.fit(*(np.array(x) for x in (sizes, col, counts, toxic)), [*"abcdefgh", "vile"], np.array([0.1] * 8 + [9.0]))
     score = [model.score(Counter({b"vile": n} if n else {b"a": 1})) for n in (0, 1, 2, 5)]
     severity = model.over(np.array(score)).sum(axis=1)
     assert list(severity) == sorted(severity) and severity[0] < 0.5 < severity[1] and severity[3] > 2
