@@ -21,6 +21,7 @@ MIN_SHARED = 1_000
 ARCHIVE_BYTES = 256 << 20
 SPLIT_BYTES = 16 << 20
 READ_BYTES = 1 << 20
+MAX_TASKS = 10_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:rostrum:page:"
@@ -152,16 +153,17 @@ def records_in(source: _Source, start: int, end: int) -> Iterator[tuple[int, byt
     Looks for gzip magic and decodes what follows; the magic can also stand inside compressed
     data, which does not decode to a WARC header. Behind a record the next one is expected at once.
     """
-    pos = start
+    pos, end = start, min(end, source.size)
     while pos < end:
-        window = source.read(pos, min(READ_BYTES // 2, end - pos + len(MAGIC) - 1))
-        hit = window.find(MAGIC)
-        if hit < 0:
-            pos += max(1, len(window) - len(MAGIC) + 1)
-            continue
-        pos += hit
-        if pos >= end:
-            return
+        if source.read(pos, len(MAGIC)) != MAGIC:  # behind a record this is rare
+            window = source.read(pos, min(READ_BYTES // 2, end - pos + len(MAGIC) - 1))
+            hit = window.find(MAGIC)
+            if hit < 0:
+                pos += max(1, len(window) - len(MAGIC) + 1)
+                continue
+            pos += hit
+            if pos >= end:
+                return
         found = _member(source, pos)
         if found is None:
             pos += 1
@@ -194,7 +196,9 @@ def read(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, with_
     """
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     ranges = manifest.filter("bytes > 0").select("path", F.explode(starts).alias("start"))
-    ranges = ranges.withColumn("end", F.col("start") + split_bytes).repartition(F.col("path"), F.col("start"))
+    ranges = ranges.withColumn("end", F.col("start") + split_bytes)
+    # The ranges are a few bytes each but stand for much reading: a task for every one, up to a bound.
+    ranges = ranges.repartition(max(1, min(ranges.count(), MAX_TASKS)))
     schema = SCHEMA + (", payload binary" if with_payload else "")
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
     types = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.bool_(), pa.binary()][: len(names)]
