@@ -86,64 +86,81 @@ def disambiguated(open_names: DataFrame, lookup: DataFrame, out: str = "hit") ->
     return best.select(*open_names.columns, _hit(F.col("_m"), F.lit(100.0), F.col("_l")).alias(out))
 
 
-def df_conf(df: DataFrame, key: str) -> str:
-    return df.sparkSession.conf.get(key)
+# ---- similarity join ------------------------------------------------------------------
 
 
-# ---- similarity join ------------------------------------------------------------------
+#: Shared tokens that a candidate pair shows, by gram length; the guaranteed number is at least that.
+_SHOWN = {3: 3, 2: 2, 1: 1}
+
+
+def _shared_grams(q: int, total: str, c: float) -> str:
+    """Grams of q letters that two strings of `total` letters share at least, if they reach the cutoff.
+
+    Their common subsequence has L = ceil(c * total / 2) letters; a letter outside it breaks q grams
+    of its own string and q - 1 of the other.
+    """
+    return f"({2 * q - 1} * cast(ceil(({total}) * {c / 2:.12f}D - 1e-9D) as int) - {q - 1} * ({total}) - {q - 1})"
+
+
+def _gram_length(total: str, c: float) -> str:
+    """The longest grams of which a pair of that total length shares more than it has to show."""
+    return f"(case when {_shared_grams(3, total, c)} > {_SHOWN[3]} then 3 when {_shared_grams(2, total, c)} > {_SHOWN[2]} then 2 else 1 end)"
+
+
+def _gram_tokens(df: DataFrame, col: str, c: float) -> DataFrame:
+    """A row per (string, gram length that some partner calls for, gram): `_id`, `_n`, `_q`, `_t`, `_tok`.
+
+    A gram carries its occurrence number in the string. `_t` is the least number of grams shared with a
+    partner of that gram length.
+    """
+    lo = f"_n + greatest(1, cast(ceil(_n * {c / (2 - c):.12f}D - 1e-9D) as int))"
+    hi = f"_n + greatest(1, cast(floor(_n * {(2 - c) / c:.12f}D + 1e-9D) as int))"
+    bound = "case q " + " ".join(f"when {q} then {_shared_grams(q, 's', c)}" for q in _SHOWN) + " end"
+    least = f"array_min(transform(filter(sequence({lo}, greatest({lo}, {hi})), s -> {_gram_length('s', c)} = q), s -> {bound}))"
+    kinds = F.expr(f"filter(transform(array(1, 2, 3), q -> named_struct('q', q, 't', {least})), x -> x.t is not null and x.q <= _n)")
+    x = df.select("*", F.explode(kinds).alias("_k")).select(*df.columns, F.col("_k.q").alias("_q"), F.col("_k.t").alias("_t"))
+    grams = computed_once(x, {"_g": F.expr(f"transform(sequence(1, _n - _q + 1), i -> substr({col}, i, _q))")})
+    numbered = F.expr("transform(_g, (g, i) -> concat(g, '#', size(filter(slice(_g, 1, i), x -> x = g))))")
+    return grams.withColumn("_tok", F.explode(numbered)).drop("_g")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str, cutoff: float) -> DataFrame:
     """Exact similarity join: all distinct (block, a, b) with similarity >= cutoff, scored.
 
-    Similarity is 200 * LCS / (len a + len b), so a pair that reaches the cutoff differs
-    by at most D = (1 - cutoff/100) * (len a + len b) inserted or deleted letters. If `b`
-    is cut into D + 1 pieces, one piece must survive unchanged in `a`, shifted by no more
-    than the edits allow. Both sides are therefore joined on (block, lengths, piece
-    number, piece text); blocks are never crossed. Candidates whose edit distance or letter
-    counts, two lower bounds of D, are too far apart go before the costlier score is computed.
+    Similarity is 200 * LCS / (len a + len b). A pair that reaches the cutoff shares a known
+    number of letter grams, three, two or one letter long by the length of the pair. With grams in order
+    of their rarity, it must then share some among the rarest of each string, so only those
+    are joined: common grams are never keys, no string falls back to an empty one, and a
+    string takes as many rows as it has letters. Candidates travel as hashes of their strings; pairs
+    that show too few shared grams go at once, and a lower bound of the edits goes before the score.
     """
     if not 50 < cutoff <= 100:
         raise ValueError("cutoff must be above 50")
     c = cutoff / 100.0
-    d = f"cast(floor({1 - c:.10f}D * (la + lb) + 1e-9D) as int)"
-    lo, hi = f"cast(ceil({{}} * {c / (2 - c):.10f}D - 1e-9D) as int)", f"cast(floor({{}} * {(2 - c) / c:.10f}D + 1e-9D) as int)"
-
-    def other_lengths(length: str) -> str:
-        return f"sequence(greatest(1, {lo.format(length)}), greatest(1, {hi.format(length)}))"
-
-    def distinct_names(df, col, own):
-        return df.select(*block, col, F.length(col).alias(own)).filter(F.col(own) > 0).distinct()
-
-    lefts, rights = distinct_names(left, a, "la"), distinct_names(right, b, "lb")
-
-    def pieces(mine, others, own, other):
-        x = mine.withColumn(other, F.explode(F.expr(other_lengths(own))))
-        # Only lengths that occur on the other side of the block can match.
-        x = x.join(others.select(*block, other).distinct(), [*block, other], "left_semi")
-        # Short strings at low cutoffs may have fewer letters than pieces; they share one empty piece.
-        x = x.withColumn("_d", F.expr(d)).withColumn("_k", F.explode(F.expr("if(_d + 1 > lb, array(-1), sequence(0, _d))")))
-        start, stop = "if(_k < 0, 0, cast(floor(_k * lb / (_d + 1)) as int))", "if(_k < 0, 0, cast(floor((_k + 1) * lb / (_d + 1)) as int))"
-        return x.withColumn("_p", F.expr(start)).withColumn("_w", F.expr(f"{stop} - _p"))
-
-    keys = [*block, "la", "lb", "_k", "_piece"]
-    right_pieces = pieces(rights, lefts, "lb", "la").withColumn("_piece", F.expr(f"substr({b}, _p + 1, _w)"))
-    first = "greatest(0, _p - cast(floor((_d - (la - lb)) / 2) as int))"
-    final = "least(la - _w, _p + cast(floor((_d + (la - lb)) / 2) as int))"
-    cuts = (
-        f"case when _k < 0 then array('') when {first} > {final} then cast(array() as array<string>) "
-        f"else array_distinct(transform(sequence({first}, {final}), s -> substr({a}, s + 1, _w))) end"
-    )
-    left_pieces = pieces(lefts, rights, "la", "lb").withColumn("_piece", F.explode(F.expr(cuts)))
-    # Pieces are few bytes but much comparing, so they keep the full number of partitions.
-    parts = int(df_conf(left, "spark.sql.shuffle.partitions"))
-    cand = left_pieces.select(*keys, a).repartition(parts, *keys).join(right_pieces.select(*keys, b), keys)
+
+    def named(df, col):
+        known = df.select(*block, col).filter(F.length(col) > 0).distinct()
+        return known.withColumns({"_id": F.xxhash64(*block, col), "_n": F.length(col)})
+
+    lefts, rights = named(left, a), named(right, b)
+    left_tokens, right_tokens = _gram_tokens(lefts, a, c).drop(a), _gram_tokens(rights, b, c).drop(b)
+    rarity = left_tokens.select("_q", "_tok").union(right_tokens.select("_q", "_tok")).groupBy("_q", "_tok").agg(F.count(F.lit(1)).alias("_f"))
+    shown = F.expr("case _q " + " ".join(f"when {q} then {k}" for q, k in _SHOWN.items()) + " end")
+
+    def rare(tokens, side):
+        ranked = tokens.join(rarity, ["_q", "_tok"]).groupBy(*block, "_id", "_n", "_q", "_t").agg(F.sort_array(F.collect_list(F.struct("_f", "_tok"))).alias("_all"))
+        first = F.slice("_all", F.lit(1), F.least(F.size("_all"), F.size("_all") - F.col("_t") + shown))
+        return ranked.select(*block, "_q", F.explode(first["_tok"]).alias("_tok"), F.col("_id").alias(f"_id{side}"), F.col("_n").alias(f"_n{side}"))
+
+    met = rare(left_tokens, "a").join(rare(right_tokens, "b"), [*block, "_q", "_tok"])
+    met = met.filter(F.expr(f"{_gram_length('_na + _nb', c)} = _q and least(_na, _nb) >= (_na + _nb) * {c / 2:.12f}D - 1e-9D"))
+    pairs = met.groupBy("_ida", "_idb", "_q").agg(F.count(F.lit(1)).alias("_shared")).filter(F.col("_shared") >= shown).select("_ida", "_idb")
+    cand = pairs.join(lefts.select(*block, a, F.col("_id").alias("_ida")), "_ida")
+    other = rights.select(*[F.col(k).alias(f"_r_{k}") for k in block], b, F.col("_id").alias("_idb"))
+    cand = cand.join(other, "_idb").filter(F.expr(" and ".join(["true", *[f"{k} <=> _r_{k}" for k in block]]))).select(*block, a, b)
     total = F.length(a) + F.length(b)
     edits = F.lit(1 - c) * total + 1e-9
-    cand = cand.filter(F.levenshtein(a, b) <= edits).select(*block, a, b).distinct().repartition(parts, *block, a)
-    common = F.size(F.array_intersect(names.letter_bag(a), names.letter_bag(b)))
-    cand = computed_once(cand, {"_common": common}).filter(total - 2 * F.col("_common") <= edits).drop("_common")
-    scored = computed_once(cand, {"score": names.similarity(F.col(a), F.col(b))})
+    scored = cand.filter(F.levenshtein(a, b) <= edits).withColumn("score", names.long_similarity(F.col(a), F.col(b)))
     return scored.filter(F.col("score") >= cutoff)
 
 

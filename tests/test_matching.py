@@ -46,6 +46,27 @@ def test_similar_pairs_equals_brute_force(spark, cutoff):
     assert all(abs(x.score - 200 * lcs(x.a, x.b) / (len(x.a) + len(x.b))) < 1e-9 for x in rows)
 
 
+@pytest.mark.parametrize("cutoff", [70.0, 85.0])
+def test_similar_long_titles_equal_brute_force(spark, cutoff):
+    rnd = random.Random(5)
+    words = ["COMMITTEE", "ON", "THE", "BUDGET", "OF", "AND", "HEALTH", "AIR", "TRADE", "ENERGY", "AAAA"]
+    base = [" ".join(rnd.choice(words) for _ in range(rnd.randint(3, 9))) for _ in range(40)]
+
+    def vary(s):
+        s = list(s)
+        for _ in range(rnd.randint(0, len(s) // 4)):
+            i = rnd.randrange(len(s))
+            s[i : i + rnd.randint(0, 1)] = rnd.choice("ABCDE ")
+        return "".join(s)
+
+    left = [vary(x) for x in base * 2]
+    want = {(x, y) for x in left for y in base if x and 200 * lcs(x, y) / (len(x) + len(y)) >= cutoff}
+    l = spark.createDataFrame([(x,) for x in left], "a string")
+    r = spark.createDataFrame([(x,) for x in base], "b string")
+    rows = matching.similar_pairs(l, r, [], "a", "b", cutoff).collect()
+    assert {(x.a, x.b) for x in rows} == want and len(rows) == len(want) > 40
+
+
 M = "bioguide_id string, congress int, last_name_upper string, last_name string, first_name string, party string, state string"
 
 
