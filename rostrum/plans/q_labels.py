@@ -10,6 +10,7 @@ from ..functions import text
 from ..operators import dictionaries as dic
 from ..operators import labels, quality, ranking
 from ..operators import relational as rel
+from .q_matching import LCS_SQL
 from .catalog import Tables, query
 from .fixtures import congress_sql, orders_c
 from .q_text import _rounded
@@ -211,7 +212,19 @@ def exact_titles(t: Tables) -> DataFrame:
     return out.filter(F.col("how") == "exact").select("p_partkey", "matched", "how")
 
 
-@query("fuzzy_titles")
+@query(
+    "fuzzy_titles",
+    sql=f"""with p as (select p_partkey, substr(p_name, 1, 2) || substr(p_name, 4) as title, p_name from part),
+n as (select *, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) as a, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) as b from p),
+r as (select b, min(p_partkey) as matched from n group by 1),
+open as (select distinct a from n where a not in (select b from r)),
+near as (select a, b from open, r where levenshtein(a, b) <= 0.15 * (length(a) + length(b)) + 1e-9),
+scored as (select a, b, 200.0::double * {LCS_SQL} / (length(a) + length(b)) as score from near),
+best as (select a, arg_min(b, (-score, b)) as b, max(score) as score from scored where score >= 85 group by 1)
+select p_partkey, title, coalesce(e.matched, m.matched) as matched, round(case when e.b is not null then 100.0 else best.score end, 6)::double as score,
+       case when e.b is not null then 'exact' when m.matched is not null then 'closest' else 'none' end as how
+from n left join r e on e.b = n.a left join best on best.a = n.a and e.b is null left join r m on m.b = best.b""",
+)
 def fuzzy_titles(t: Tables) -> DataFrame:
     """Titles that lost a letter, matched to the closest catalogue title."""
     name = F.col("p_name")

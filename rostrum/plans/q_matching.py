@@ -187,7 +187,7 @@ leg as (select * from meta where sent_no < 7)
 """
 
 # Similarity in DuckDB: LCS by nested list_reduce, only for pairs close in length.
-_LCS = """list_reduce(range(1, len(a) + 1), lambda prev, i: list_reduce(range(1, len(b) + 1), lambda acc, j:
+LCS_SQL = """list_reduce(range(1, len(a) + 1), lambda prev, i: list_reduce(range(1, len(b) + 1), lambda acc, j:
    list_append(acc, case when substr(a, i::int, 1) = substr(b, j::int, 1) then prev[j] + 1 else greatest(prev[j + 1], acc[-1]) end), [0::bigint]), list_resize([0::bigint], len(b) + 1, 0))[-1]"""
 
 MATCH_SQL = BASE_SQL + """,
@@ -207,7 +207,7 @@ told as (select congress, full_nm, arg_min(bid, rk) as bid from told0 group by a
 fz as (select distinct o.congress, o.full_nm as a, l.nm as b from op o join (select distinct congress, nm from lookup) l on l.congress = o.congress
    where (o.congress, o.full_nm) not in (select (congress, full_nm) from told) and 200.0 * least(length(o.full_nm), length(l.nm)) / (length(o.full_nm) + length(l.nm)) >= 85
      and levenshtein(o.full_nm, l.nm) <= 0.15 * (length(o.full_nm) + length(l.nm)) + 1e-9),
-sc as (select *, 200.0::double * (case when a = b then length(a) else """ + _LCS + """ end) / (length(a) + length(b)) as score from fz),
+sc as (select *, 200.0::double * (case when a = b then length(a) else """ + LCS_SQL + """ end) / (length(a) + length(b)) as score from fz),
 bestf as (select congress, a, arg_min(b, (-score, b)) as b, max(score) as score from sc where score >= 85 group by 1, 2),
 fuz as (select f.congress, f.a, f.score, cu.bid from bestf f join cu on cu.congress = f.congress and cu.nm = f.b),
 mt as (select st.hearing_id, st.full_nm, st.committee_code, coalesce(a_bid, c_bid, b_bid, t.bid, f.bid) as bid,
