@@ -123,7 +123,10 @@ def _tiles(fps: DataFrame) -> DataFrame:
     """(cell, sub, fps, nodes): cells cut by hash into tiles of about TILE fingerprints."""
     cuts = fps.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("cuts"))
     placed = fps.join(cuts, "cell").withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("cuts")))
-    return placed.groupBy("cell", "sub").agg(F.collect_list(F.struct("fp", "node")).alias("rows")).select("cell", "sub", "rows.fp", "rows.node")
+    # A key of its own: rows dealt out by cell for the join must be dealt anew, or a large cell stays in one task.
+    tile = F.concat_ws(":", "cell", "sub").alias("tile")
+    rows = placed.groupBy(tile).agg(F.min("cell").alias("cell"), F.min("sub").alias("sub"), F.collect_list(F.struct("fp", "node")).alias("rows"))
+    return rows.select("cell", "sub", "rows.fp", "rows.node")
 
 
 def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
