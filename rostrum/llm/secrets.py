@@ -18,8 +18,12 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE = 12
 
-#: Candidates of the battery: runs of encoding characters with letters and digits.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Candidates of the battery: runs of encoding characters with letters and digits. '=' only pads a
+#: token's end, so a value right behind `name=` is a token of its own.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: A token with characters of both groups fits no encoding; its runs without one of them are tested.
+GLUE = ("[+/]", "[_-]")
+RUNS = (r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}+={0,2}", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+={0,2}")
 #: Encodings by the first pattern that fits, with their alphabets in order.
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
@@ -176,11 +180,25 @@ def _discoveries(tested: Column) -> Column:
     return F.concat(*[band(*x) for x in LEVELS])
 
 
+def _candidates(found: Column) -> Column:
+    """The tokens, and in place of one that fits no encoding its maximal runs of one alphabet, which may overlap."""
+
+    def runs(x: Column) -> Column:
+        own = F.concat(*[find(x["value"], pattern, 3) for pattern in RUNS])
+        return F.transform(own, lambda r: F.struct((x["start"] + r["start"]).alias("start"), r["kind"].alias("kind"), (x["start"] + r["end"]).alias("end"), r["value"].alias("value")))
+
+    glued = lambda x: x["value"].rlike(GLUE[0]) & x["value"].rlike(GLUE[1])
+    return F.flatten(F.transform(found, lambda x: F.when(glued(x), runs(x)).otherwise(F.array(x))))
+
+
 def random_tokens(text: Column) -> Column:
     """Spans of tokens that look random: they fit the uniform law in all three tests, and ordinary
     text is rejected at the false-discovery level of their length."""
 
-    def judge(found: Column) -> Column:
+    def judge(tokens: Column) -> Column:
+        return let(_candidates(tokens), tried)
+
+    def tried(found: Column) -> Column:
         tested = F.filter(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), battery(x["value"]).alias("test"))), lambda x: x["test"].isNotNull())
 
         def consistent(x: Column) -> Column:

@@ -56,6 +56,34 @@ def test_battery_finds_random_tokens_and_leaves_text(spark):
     assert not [i for i in hit if i >= n]
 
 
+def test_values_behind_a_name_and_in_a_path_are_found(spark):
+    rng = random.Random(13)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    known = "wJalrXUtnFEMI/K7MDENG/bPxRfiCY3xQ9LpZ8KEY"
+    forms = ("AWS_SECRET_ACCESS_KEY={}", "x?sig={}", "auth={}", "?id=7&sig={}==&v=2", "https://example.com/some-long-page/{}/view", "a_b/{}", "é😀 x={} y")
+    rows, value = [], {}
+    for form in forms:
+        for _ in range(30):
+            t = "".join(rng.choice(alnum) for _ in range(40))
+            value[len(rows)] = t
+            rows.append((len(rows), form.format(t), "own"))
+    value[len(rows)] = known
+    rows.append((len(rows), f"AWS_SECRET_ACCESS_KEY={known}", "own"))
+    plain = ["annual_report_2023_final/version-2-of-the-text", "config_value_number_2=annual_report_2023_final_version", "https://example.com/some-long-page/2024/another-long-page-name"]
+    rows += [(len(rows) + i, t, "own") for i, t in enumerate(plain)]
+    found = {}
+    for r in secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect():
+        found[r.doc_id] = [(s.start, s.end) for s in r.spans if s.kind == 3]
+    for k in range(len(forms)):
+        at = range(30 * k, 30 * k + 30)
+        whole = [i for i in at if any(s <= rows[i][1].index(value[i]) and e >= rows[i][1].index(value[i]) + 40 for s, e in found[i])]
+        assert len(whole) >= 27, forms[k]
+    assert found[30 * len(forms)] == [(22, 22 + len(known))]
+    assert not any(found[i] for i in range(30 * len(forms) + 1, len(rows)))
+    masked = secrets.redact(spark.createDataFrame([(1, f"AWS_SECRET_ACCESS_KEY={known}\n")], "doc_id long, text string")).first()
+    assert masked.text == "AWS_SECRET_ACCESS_KEY=[SECRET]\n"
+
+
 def test_redact_masks_spans_and_counts_again(spark):
     text = 'é token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" und AKIAABCDEFGHIJKLMN1. Ende'
     df = spark.createDataFrame([(1, text, "a", len(text)), (2, None, "b", 0), (3, "nothing", "c", 7)], "doc_id long, text string, lang string, n_chars long")
