@@ -196,7 +196,8 @@ def _leaks(index: Index, texts: list[str | None]) -> list[tuple]:
             at += 1
         bounds = np.concatenate([[0], np.cumsum([len(c) for c in codes])])[::2]
         for window, edits, start, end in search(index, np.concatenate(codes)):
-            k = int(np.searchsorted(bounds, start, side="right")) - 1
+            # A placement may begin or end in the padding by its edits; its middle lies in the text it is of.
+            k = int(np.searchsorted(bounds, (start + end) // 2, side="right")) - 1
             p = places[k]
             lo, hi = max(0, start - int(bounds[k])), min(len(p), end - int(bounds[k]))
             if hi <= lo:

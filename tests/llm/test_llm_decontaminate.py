@@ -70,6 +70,21 @@ def test_chunks_and_blocks_change_nothing(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == set(range(len(docs))) - {r[0] for r in whole}
 
 
+def test_cut_items_are_found_wherever_their_text_stands_in_a_chunk():
+    rng = random.Random(31)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    for size in (30, 60, 100):
+        item = letters(size)
+        index = d.build([(1, item)])
+        for cut in range(int(index.budget[0]) + 2):
+            for text in (item[cut:] + letters(50), letters(50) + item[: size - cut], item[cut:]):
+                want = [(1, 1, 1, cut)] if cut <= index.budget[0] or placed(list(item), list(text)) <= index.budget[0] else []
+                alone = d._leaks(index, [text])
+                assert [r[1:5] for r in alone] == want
+                late = d._leaks(index, [letters(150), text, letters(40)])
+                assert [r[1:] for r in late] == [r[1:] for r in alone] and all(r[0] == 1 for r in late)
+
+
 def test_spans_are_places_in_the_text():
     passage = "Whoever reads this passage, twice or more, will surely remember it for the rest of the day; they said so themselves yesterday."
     text = "é😀. " * 30 + passage + " -- end"
