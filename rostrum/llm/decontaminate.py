@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of a q-gram; of a benchmark window and the step between windows; edits allowed per letter.
-Q, WINDOW, STEP, EDIT_RATE = 10, 100, 50, 0.08
+#: Letters of a q-gram; of a benchmark window, of which one begins at every letter; edits allowed per letter.
+Q, WINDOW, EDIT_RATE = 10, 100, 0.08
 #: Benchmark text that is indexed, collected and broadcast at a time; larger benchmarks take several passes.
 BLOCK_CHARS = 2_000_000
 CHUNK_CHARS = 2 << 20
@@ -66,62 +66,90 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Windows of benchmark items and where each q-gram stands in them."""
+    """Benchmark items, a window from every letter of them on, and where each q-gram stands in an item."""
 
-    items: np.ndarray  # item number of each window
     names: list  # item_id of each item
+    letters: np.ndarray  # of all items, one behind the other
+    begin: np.ndarray  # where each item's letters begin
+    size: np.ndarray  # letters of each item's windows
     n_windows: np.ndarray  # windows of each item
-    windows: list[np.ndarray]
-    budget: np.ndarray  # edits allowed in each window
-    need: np.ndarray  # q-grams a region must share with it
+    first_window: np.ndarray  # number of each item's first window
+    allowed: np.ndarray  # edits allowed in each item's windows
+    need: np.ndarray  # q-grams a region must share with one of them
+    longest: int  # letters of the longest item
     hashes: np.ndarray
     first: np.ndarray
-    window_of: np.ndarray
+    item_of: np.ndarray
     place_of: np.ndarray
     sieve: np.ndarray
 
+    @property
+    def items(self) -> np.ndarray:
+        """Item number of each window."""
+        return np.repeat(np.arange(len(self.names)), self.n_windows)
+
+    @property
+    def budget(self) -> np.ndarray:
+        """Edits allowed in each window."""
+        return np.repeat(self.allowed, self.n_windows)
+
+    @property
+    def windows(self) -> list[np.ndarray]:
+        at = np.arange(self.n_windows.sum()) - np.repeat(self.first_window - self.begin, self.n_windows)
+        return [self.letters[a : a + n] for a, n in zip(at, np.repeat(self.size, self.n_windows))]
+
 
 def build(rows: list[tuple]) -> Index:
     """Index of (item_id, text) rows. Items of fewer than Q letters and digits cannot be told from
     chance and have no window."""
-    items, names, counts, windows = [], [], [], []
+    names, texts = [], []
     for name, text in rows:
         codes = folded(text or "")[0]
-        if len(codes) < Q:
-            continue
-        last = max(0, len(codes) - WINDOW)
-        starts = sorted({*range(0, last + 1, STEP), last})
-        for s in starts:
-            items.append(len(names))
-            windows.append(codes[s : s + WINDOW])
-        counts.append(len(starts))
-        names.append(name)
-    sizes = np.array([len(w) for w in windows], dtype=np.int64)
-    budget = (sizes * EDIT_RATE).astype(np.int64)
+        if len(codes) >= Q:
+            names.append(name)
+            texts.append(codes)
+    length = np.array([len(c) for c in texts], dtype=np.int64)
+    size = np.minimum(length, WINDOW)
+    n_windows = length - size + 1
+    budget = (size * EDIT_RATE).astype(np.int64)
     # k edits destroy k * Q of the window's q-grams at most.
-    budget = np.minimum(budget, np.maximum(0, (sizes - Q) // Q))
-    need = sizes - Q + 1 - budget * Q
-    each = [grams(w) for w in windows]
+    budget = np.minimum(budget, np.maximum(0, (size - Q) // Q))
+    need = size - Q + 1 - budget * Q
+    each = [grams(c) for c in texts]
     flat = np.concatenate(each) if each else np.zeros(0, np.uint64)
-    window_of = np.repeat(np.arange(len(windows)), [len(e) for e in each])
+    item_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(e) for e in each])
     place_of = np.concatenate([np.arange(len(e)) for e in each]) if each else np.zeros(0, np.int64)
     order = np.argsort(flat, kind="stable")
     hashes, first = np.unique(flat[order], return_index=True)
     sieve = np.zeros(1 << SIEVE_BITS, dtype=bool)
     sieve[_slot(hashes)] = True
-    return Index(np.array(items, np.int64), names, np.array(counts, np.int64), windows, budget, need, hashes, np.append(first, len(flat)), window_of[order], place_of[order], sieve)
-
-
-def _align(index: Index, text: np.ndarray, window: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(edits, start, end) of the best placement of each window on the diagonals low .. low + width - 1.
+    return Index(
+        names,
+        np.concatenate(texts) if texts else np.zeros(0, np.uint16),
+        np.cumsum(length) - length,
+        size,
+        n_windows,
+        np.cumsum(n_windows) - n_windows,
+        budget,
+        need,
+        int(length.max(initial=0)),
+        hashes,
+        np.append(first, len(flat)),
+        item_of[order],
+        place_of[order],
+        sieve,
+    )
+
+
+def _align(pattern: np.ndarray, text: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the best placement of each window, a row of `pattern`, on the diagonals low .. low + width - 1.
 
     Dynamic programming over the band, all candidates of one window length at a time: a row per
     letter of the window, a column per diagonal. Letters of the text before and behind are free.
     """
-    size = len(index.windows[window[0]])
-    pattern = np.stack([index.windows[w] for w in window])
+    size = pattern.shape[1]
     steps = np.arange(width)
-    cost = np.zeros((len(window), width), dtype=np.int32)
+    cost = np.zeros((len(pattern), width), dtype=np.int32)
     origin = np.tile(low[:, None] + steps, 1)
     far = np.int32(1 << 20)
     for i in range(size):
@@ -141,12 +169,13 @@ def _align(index: Index, text: np.ndarray, window: np.ndarray, low: np.ndarray,
         cost = best + steps.astype(np.int32)
         origin = np.take_along_axis(source, where, axis=1)
     col = cost.argmin(axis=1)
-    pick = np.arange(len(window))
+    pick = np.arange(len(pattern))
     return cost[pick, col], origin[pick, col], low + col + size
 
 
-def search(index: Index, text: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(window, edits, start, end) wherever a window lies in `text` within its edit budget."""
+def search(index: Index, text: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """(text, item, window, edits, start, end) wherever a window lies in a text within its edit budget.
+    `bounds` are the places in `text` where the texts begin, each with WINDOW letters of padding before and behind."""
     h = grams(text)
     if not len(h) or not len(index.hashes):
         return []
@@ -155,29 +184,57 @@ def search(index: Index, text: np.ndarray) -> list[tuple[int, int, int, int]]:
     at[at == len(index.hashes)] = 0
     real = index.hashes[at] == h[hit]
     hit, at = hit[real], at[real]
+    if not len(hit):
+        return []
     times = index.first[at + 1] - index.first[at]
-    entry = np.repeat(index.first[at] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(at) else np.zeros(0, np.int64)
-    window = index.window_of[entry]
-    diagonal = np.repeat(hit, times) - index.place_of[entry] + WINDOW
-    found = []
+    entry = np.repeat(index.first[at] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+    item, place = index.item_of[entry].astype(np.int64), index.place_of[entry]
+    hit = np.repeat(hit, times)
+    # Diagonals count from the text's own beginning, so what is found does not depend on the texts before it.
+    own = np.maximum(np.searchsorted(bounds, hit, side="right") - 1, 0)
+    shift = index.longest + WINDOW
     # Bands overlap by half: the diagonals of a placement with k edits span k at most.
-    half = index.budget[window] + 1
-    band = diagonal // half
-    key = np.concatenate([window * (1 << 40) + band, window * (1 << 40) + band - 1])
-    key, shared = np.unique(key, return_counts=True)
-    w, b = key >> 40, key & ((1 << 40) - 1)
-    enough = shared >= index.need[w]
-    w, b = w[enough], b[enough]
-    groups: dict[tuple, list[int]] = {}
-    for k, x in enumerate(w.tolist()):
-        groups.setdefault((len(index.windows[x]), int(index.budget[x])), []).append(k)
-    for (_, budget), which in groups.items():
-        for s in range(0, len(which), 2_048):
-            part = np.array(which[s : s + 2_048])
-            low = b[part] * (budget + 1) - WINDOW - budget
-            edits, start, end = _align(index, text, w[part], low, 2 * (budget + 1) + 2 * budget)
-            for k in np.flatnonzero(edits <= budget):
-                found.append((int(w[part[k]]), int(edits[k]), max(0, int(start[k])), min(len(text), int(end[k]))))
+    band = (hit - bounds[own] - place + shift) // (index.allowed[item] + 1)
+    own, item, place, band = np.tile(own, 2), np.tile(item, 2), np.tile(place, 2), np.concatenate([band, band - 1])
+    order = np.lexsort((place, band, item, own))
+    own, item, place, band = own[order], item[order], place[order], band[order]
+    # A window holds enough q-grams of a band where it holds some run of `need` consecutive ones. The
+    # windows that hold a run are an interval, and both its ends grow along a band: each window is taken once.
+    fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])])
+    group = np.cumsum(fresh)
+    run = np.arange(len(group))
+    to = run + index.need[item] - 1
+    run = run[to < len(group)]
+    to = to[run]
+    same = group[run] == group[to]
+    run, to = run[same], to[same]
+    first = np.maximum(place[to] - (index.size[item[run]] - Q), 0)
+    last = np.minimum(place[run], index.n_windows[item[run]] - 1)
+    some = first <= last
+    run, first, last = run[some], first[some], last[some]
+    if not len(run):
+        return []
+    again = np.concatenate([[False], group[run[1:]] == group[run[:-1]]])
+    first = np.where(again, np.maximum(first, np.concatenate([[0], last[:-1] + 1])), first)
+    times = np.maximum(last - first + 1, 0)
+    found = []
+    size, budget = index.size[item[run]], index.allowed[item[run]]
+    for n, k in sorted(set(zip(size.tolist(), budget.tolist()))):
+        these = np.flatnonzero((size == n) & (budget == k))
+        ends = np.cumsum(times[these])
+        for s in range(0, int(ends[-1]), 2_048):
+            nth = np.arange(s, min(s + 2_048, int(ends[-1])))
+            pick = np.searchsorted(ends, nth, side="right")
+            of = these[pick]
+            window = first[of] + nth - (ends[pick] - times[of])
+            x = run[of]
+            low = bounds[own[x]] + band[x] * (k + 1) - shift - k + window
+            pattern = index.letters[(index.begin[item[x]] + window)[:, None] + np.arange(n)]
+            edits, start, end = _align(pattern, text, low, 2 * (k + 1) + 2 * k)
+            good = edits <= k
+            x = x[good]
+            number = index.first_window[item[x]] + window[good]
+            found += zip(*(v.tolist() for v in (own[x], item[x], number, edits[good], np.maximum(start[good], 0), np.minimum(end[good], len(text)))))
     return found
 
 
@@ -186,23 +243,20 @@ def _leaks(index: Index, texts: list[str | None]) -> list[tuple]:
     out: dict[tuple, list] = {}
     at = 0
     while at < len(texts):
-        codes, places, owner, size = [], [], [], 0
-        while at < len(texts) and (not codes or size + len(texts[at] or "") <= CHUNK_CHARS):
+        codes, places, owner, size = [np.zeros(WINDOW, np.uint16)], [], [], 0
+        while at < len(texts) and (not owner or size + len(texts[at] or "") <= CHUNK_CHARS):
             c, p = folded(texts[at] or "")
             codes += [c, np.zeros(WINDOW, np.uint16)]  # no window fits across two texts
             places.append(p)
             owner.append(at)
             size += len(c) + WINDOW
             at += 1
-        bounds = np.concatenate([[0], np.cumsum([len(c) for c in codes])])[::2]
-        for window, edits, start, end in search(index, np.concatenate(codes)):
-            # A placement may begin or end in the padding by its edits; its middle lies in the text it is of.
-            k = int(np.searchsorted(bounds, (start + end) // 2, side="right")) - 1
+        bounds = np.cumsum([len(c) for c in codes])[:-1:2]
+        for k, item, window, edits, start, end in search(index, np.concatenate(codes), bounds):
             p = places[k]
             lo, hi = max(0, start - int(bounds[k])), min(len(p), end - int(bounds[k]))
             if hi <= lo:
                 continue
-            item = int(index.items[window])
             row = out.setdefault((owner[k], item), [{}, int(p[lo]), int(p[hi - 1]) + 1])
             row[0][window] = min(edits, row[0].get(window, edits))
             row[1], row[2] = min(row[1], int(p[lo])), max(row[2], int(p[hi - 1]) + 1)
@@ -224,7 +278,8 @@ SCHEMA = "doc_id long, item_id long, windows_found int, windows int, edits int,
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """SCHEMA: a row per document row and benchmark item of which it holds a window or more.
 
-    Items are cut into overlapping windows of WINDOW letters and digits. A text region that lies
+    Every WINDOW consecutive letters and digits of an item are a window, and a shorter item is one, so
+    a quote of WINDOW letters is found wherever in the item it begins. A text region that lies
     within k edits of a window shares all but k * Q of its q-grams, on diagonals that span k at most;
     regions that do are aligned, and reported if they need EDIT_RATE edits per letter at most. Case,
     punctuation and white space do not count. start and end are code points of the whole text.

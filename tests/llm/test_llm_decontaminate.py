@@ -85,6 +85,19 @@ def test_cut_items_are_found_wherever_their_text_stands_in_a_chunk():
                 assert [r[1:] for r in late] == [r[1:] for r in alone] and all(r[0] == 1 for r in late)
 
 
+def test_quotes_of_a_window_are_found_at_every_offset():
+    rng = random.Random(41)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    item = letters(260)
+    index = d.build([(1, item), (2, letters(400))])
+    texts = [letters(60) + item[at : at + 100] + letters(60) for at in range(161)]
+    got = {r: (name, of, start, end) for r, name, _, of, _, start, end in d._leaks(index, texts)}
+    assert sorted(got) == list(range(161))
+    assert all(name == 1 and of == 161 and start <= 60 and end >= 160 for name, of, start, end in got.values())
+    spoilt = [letters(60) + edited(rng, item[at : at + 100], 8) + letters(60) for at in range(161)]
+    assert {r[0] for r in d._leaks(index, spoilt)} == set(range(161))
+
+
 def test_spans_are_places_in_the_text():
     passage = "Whoever reads this passage, twice or more, will surely remember it for the rest of the day; they said so themselves yesterday."
     text = "é😀. " * 30 + passage + " -- end"
