@@ -8,7 +8,7 @@ rows are finished inside (key, block) windows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SPAN = 1 << 16
@@ -20,13 +20,15 @@ def with_ordered(
     pos: str,
     *,
     span: int = DEFAULT_SPAN,
+    block: Column | None = None,
     running: dict[str, str] | None = None,
     carry: dict[str, str] | None = None,
     lag: dict[str, str] | None = None,
     lead: dict[str, str] | None = None,
     number: str | None = None,
 ) -> DataFrame:
-    """Add order-dependent columns over `pos` (unique and integral inside a key).
+    """Add order-dependent columns over `pos`, unique inside a key: integral and cut into blocks of
+    `span`, or a struct with `block`, a column that never falls as `pos` grows.
 
     running: {out: value}  inclusive running sum, null counts as 0
     carry:   {out: value}  last non-null value so far
@@ -35,7 +37,7 @@ def with_ordered(
     """
     running, carry, lag, lead = running or {}, carry or {}, lag or {}, lead or {}
     blk = "_block"
-    rows = df.withColumn(blk, F.floor(F.col(pos) / F.lit(span)))
+    rows = df.withColumn(blk, F.floor(F.col(pos) / F.lit(span)) if block is None else block)
 
     aggs = []
     if number:

@@ -7,11 +7,11 @@ Line tables (one row per line) go through `carry_speaker` instead.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, text
-from .ordered import with_ordered
+from .ordered import DEFAULT_SPAN, with_ordered
 
 
 def segment(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
@@ -64,7 +64,7 @@ def without_sentences(hearings: DataFrame, records: DataFrame, key: str) -> Data
     return hearings.join(records.select(key).distinct(), key, "left_anti")
 
 
-def carry_speaker(lines: DataFrame, keys: list[str], pos: str, line: str, *, span: int) -> DataFrame:
+def carry_speaker(lines: DataFrame, keys: list[str], pos: str, line: str, *, span: int = DEFAULT_SPAN, block: Column | None = None) -> DataFrame:
     """Line table -> the lines spoken, each with its speaker and speech number.
 
     The current speaker is carried over any number of lines, and a hearing of any
@@ -73,7 +73,7 @@ def carry_speaker(lines: DataFrame, keys: list[str], pos: str, line: str, *, spa
     kept = lines.filter(text.is_spoken_line(F.col(line))).withColumn("_mark", text.line_speaker(F.col(line)))
     kept = kept.withColumn("_is_mark", F.col("_mark").isNotNull().cast("bigint"))
     out = with_ordered(
-        kept, keys, pos, span=span, running={"chunk_id": "_is_mark"}, carry={"speaker": "_mark"}
+        kept, keys, pos, span=span, block=block, running={"chunk_id": "_is_mark"}, carry={"speaker": "_mark"}
     )
     said = F.when(F.col("_mark").isNotNull(), text.line_rest(F.col(line))).otherwise(text.strip(F.col(line)))
     return (

@@ -46,10 +46,12 @@ def carry_speaker(t: Tables) -> DataFrame:
     lines = t.conversations.select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("ln", "body"))
     lines = lines.select(
         "conv_id",
-        (F.col("turn") * 1048576 + F.col("ln")).alias("pos"),
+        F.struct("turn", "ln").alias("at"),
         F.concat(F.when(F.col("ln") == 0, F.coalesce(head, F.lit(""))).otherwise(""), "body").alias("line"),
     )
-    return transcripts.carry_speaker(lines, ["conv_id"], "pos", "line", span=1048576)
+    block = F.struct("at.turn", F.floor(F.col("at.ln") / 1048576).alias("part"))
+    out = transcripts.carry_speaker(lines, ["conv_id"], "at", "line", block=block)
+    return out.select("conv_id", (F.col("at.turn") * 1048576 + F.col("at.ln")).alias("pos"), "chunk_id", "speaker", "said")
 
 
 @query(
@@ -64,6 +66,13 @@ def sentence_records(t: Tables) -> DataFrame:
     return transcripts.sentence_records(transcript_rows(t))
 
 
+def number_sentences(sentences: DataFrame) -> DataFrame:
+    """sentence_id by (turn, chunk_pos, sent_pos) within conv_id, in blocks of a turn's speeches."""
+    s = sentences.withColumn("pos", F.struct("turn", "chunk_pos", "sent_pos"))
+    block = F.struct("turn", F.floor(F.col("chunk_pos") / 65536).alias("part"))
+    return ordered.with_ordered(s, ["conv_id"], "pos", block=block, number="sentence_id").drop("pos")
+
+
 @query(
     "sentence_numbers",
     sql=f"""with {SENTENCES_SQL}
@@ -72,12 +81,7 @@ select conv_id, turn, sent_pos,
 )
 def sentence_numbers(t: Tables) -> DataFrame:
     """Running sentence number per hearing, however long the hearing is."""
-    s = transcripts.sentence_records(transcript_rows(t)).withColumn(
-        "pos", F.col("turn") * 2**40 + F.col("chunk_pos") * 2**24 + F.col("sent_pos")
-    )
-    return ordered.with_ordered(s, ["conv_id"], "pos", span=2**40, number="sentence_id").select(
-        "conv_id", "turn", "sent_pos", "sentence_id"
-    )
+    return number_sentences(transcripts.sentence_records(transcript_rows(t))).select("conv_id", "turn", "sent_pos", "sentence_id")
 
 
 @query(

@@ -110,3 +110,18 @@ def test_committee_code(spark):
     codes = {"hsag00": "HSAG", "HsAg00": "HSAG", "hsag15": "", "hs": "", None: "", "12345": ""}
     df = spark.createDataFrame([(c,) for c in codes], "c string")
     assert {r.c: r.p for r in df.select("c", names.parent_committee(F.col("c")).alias("p")).collect()} == codes
+
+
+def test_numbers_and_speakers_of_very_long_turns(spark):
+    from types import SimpleNamespace
+
+    from rostrum.plans import q_text
+
+    rows = [(1, 1, 0, 0), (1, 0, 70_000, 0), (1, 0, 70_000, 2**24), (1, 0, 70_001, 0), (1, 0, 2**18, 5), (1, 2, 0, 0)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, chunk_pos int, sent_pos int")
+    got = q_text.number_sentences(df).orderBy("sentence_id").collect()
+    assert [tuple(r)[:4] for r in got] == sorted(rows) and [r.sentence_id for r in got] == list(range(1, 7))
+    turns = [(1, 0, "user", "first" + "\n" * (2**20 + 5) + "last"), (1, 1, "system", "second"), (1, 2, "assistant", "third")]
+    t = SimpleNamespace(conversations=spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
+    said = {r.said: (r.chunk_id, r.speaker) for r in q_text.carry_speaker(t).collect()}
+    assert said == {"first": (1, "Mr. Smith"), "last": (1, "Mr. Smith"), "second": (2, "The Chairman"), "third": (2, "The Chairman")}
