@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, packing, quality, secrets, simhash, toxicity, urls, warc
+from . import chat, decontaminate, langid, packing, quality, ranked, secrets, simhash, toxicity, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -216,3 +216,31 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     prototypes = langid.train(docs.filter(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
     done = langid.identify(docs, prototypes)
     return done.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11_SQL = rf"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') as words
+  from documents),
+s as (select count(*) as n_docs, sum(len(words))::bigint as total from d where len(words) > 0),
+p as (
+  select doc_id, word, n, count(*)::bigint as tf
+  from (select doc_id, len(words) as n, unnest(words) as word from d) group by all),
+f as (select word, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint as w from (select word, count(*) as df from p group by word), s),
+i as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) as word
+  from benchmark),
+x as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // total))))::bigint as score
+  from i join p using (word) join f using (word), s group by item_id, doc_id)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from x where score > 0 qualify rank <= 10
+"""
+
+
+@_query("op11_nra_search", OP11_SQL)
+def op11_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that answer each benchmark item best."""
+    return ranked.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
