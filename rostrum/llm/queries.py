@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, packing, quality, ranked, secrets, simhash, toxicity, urls, warc
+from . import chat, decontaminate, langid, packing, passages, prefixes, quality, ranked, secrets, simhash, toxicity, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -244,3 +244,56 @@ from x where score > 0 qualify rank <= 10
 def op11_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents that answer each benchmark item best."""
     return ranked.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+#: crc32 of an ASCII string, as the table-free division by the reversed polynomial.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::ubigint, [ascii(x)::ubigint for x in string_split({0}, '')]),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::ubigint for _ in range(8)]), lambda c, z: xor(c >> 1, 3988292384::ubigint * (c & 1)))))"""
+
+OP12_SQL = f"""
+with c as (
+  select conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as own,
+         ({_CRC32.format("conv_id::varchar")} % {prefixes.HEADS})::int as h
+  from conversations where conv_id is not null group by conv_id),
+r as (
+  select c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) as turns
+  from c left join c b on b.conv_id = c.conv_id - c.conv_id % {prefixes.HUNDRED}),
+m as (select conv_id, turns, d, d = len(turns) as ends, turns[1:d] as said from (select *, unnest(range(0, len(turns) + 1)) as d from r)),
+n as (
+  select d, said, min(conv_id) as top, count(*) as n_convs, case when d > 0 then length(said[d].text) else 0 end as chars,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256
+  from m group by d, said),
+k as (select n.*, p.top as parent, (select count(*) from n ch where ch.d = n.d + 1 and ch.said[1:n.d] = n.said) as n_children
+      from n left join n p on p.d = n.d - 1 and p.said = n.said[1:n.d - 1]),
+s as (
+  select a.top, a.d, sum((u.n_children = 0)::int)::bigint as n_leaves, sum((u.n_convs - 1) * u.chars)::bigint as saved
+  from k u join k a on a.d <= u.d and a.said = u.said[1:a.d] group by a.top, a.d)
+select k.top as conv_id, k.d as depth, k.parent as parent_conv_id, n_convs, n_children, n_leaves, saved as saved_tokens, ends_sha256
+from k join s on s.top = k.top and s.d = k.d
+"""
+
+
+@_query("op12_prefix_trie", OP12_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefixes.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') as words from documents),
+w as (select doc_id, unnest(range(1, len(words) - {passages.WINDOW - 2})) as i, words from d where len(words) >= {passages.WINDOW}),
+h as (select doc_id, i, array_to_string(words[i:i + {passages.WINDOW - 1}], ' ') as win from w),
+f as (select win, min(doc_id) as lo from h group by win),
+r as (select doc_id, list(i) as starts from (select doc_id, i from h join f using (win) where doc_id > lo) group by doc_id),
+c as (select doc_id, list(distinct p) as gone from (select doc_id, unnest(range(s, s + {passages.WINDOW})) as p from (select doc_id, unnest(starts) as s from r)) group by doc_id),
+e as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as p, gone from d left join c using (doc_id)),
+k as (select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as n from e where gone is null or not list_contains(gone, p) group by doc_id)
+select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (doc_id)
+"""
+
+
+@_query("op13_passages", OP13_SQL)
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that a document of a smaller id has as well."""
+    return passages.remove_repeats(_read(spark, sf_dir, "documents"))
