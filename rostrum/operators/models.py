@@ -1,16 +1,19 @@
 """Linear and logistic models from distributed sums.
 
-One aggregate gives the k x k cross-products of the regressors; only that small matrix
-reaches the driver. Fixed effects are absorbed by group means, so a factor with millions
-of levels costs a groupBy and a join, not millions of columns.
+One pass gives the k x k cross-products of the regressors, centred batch by batch; only that small matrix
+reaches the driver. One fixed effect is absorbed by group means, two by solving for their levels on a
+table of level pairs, so a factor with millions of levels costs groupBys and a join, not millions of columns.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +22,8 @@ from . import relational as rel
 
 #: Dummy columns that one dense solve on the driver takes; its matrix has the square of that.
 MAX_DUMMIES = 400
-ROUNDS_PER_WRITE = 3
+#: Groups in which the tasks' cross-products are added up before the driver does.
+MERGE = 4
 _SCHEMA = "term string, estimate double, std_error double, t_value double, p_value double, conf_low double, conf_high double"
 
 
@@ -99,16 +103,77 @@ class Fit:
         return out
 
 
-def _sums(df: DataFrame, cols: list[str], weights: Column | None = None) -> tuple[np.ndarray, int]:
-    """Cross-product matrix of the columns and the number of rows, in one pass."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"s{i}_{j}") for i, j in pairs]
-    ).first()
-    m = np.zeros((len(cols), len(cols)))
-    for i, j in pairs:
-        m[i, j] = m[j, i] = row[f"s{i}_{j}"] or 0.0
-    return m, row["n"]
+@dataclass
+class Moments:
+    """Count, means and centred cross-products of some columns; two of them add up without cancellation."""
+
+    n: int
+    mean: np.ndarray
+    m2: np.ndarray
+
+    @staticmethod
+    def of(x: np.ndarray) -> Moments:
+        mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+        return Moments(len(x), mean, (x - mean).T @ (x - mean))
+
+    def __add__(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        if not self.n or not other.n:
+            return self if self.n else other
+        apart = other.mean - self.mean
+        return Moments(n, self.mean + apart * (other.n / n), self.m2 + other.m2 + np.outer(apart, apart) * (self.n * other.n / n))
+
+    def raw(self) -> np.ndarray:
+        """Cross-products about zero."""
+        return self.m2 + self.n * np.outer(self.mean, self.mean)
+
+    def packed(self) -> list[float]:
+        return [*self.mean, *self.m2[np.triu_indices(len(self.mean))]]
+
+    @staticmethod
+    def unpacked(n: int, values: np.ndarray, k: int) -> Moments:
+        m2 = np.zeros((k, k))
+        m2[np.triu_indices(k)] = values[k:]
+        return Moments(n, values[:k].copy(), m2 + np.triu(m2, 1).T)
+
+
+def moments(df: DataFrame, cols: list[str], factors: dict[str, list] | None = None) -> Moments:
+    """Moments of numeric columns without nulls, and of a 0/1 column for each listed level of each factor, in one pass.
+
+    Every Arrow batch is centred by itself and added to the task's moments; tasks' moments are added in
+    MERGE groups, so what reaches the driver depends on the columns alone. Dummies exist only inside a batch.
+    """
+    factors = factors or {}
+    k = len(cols) + sum(len(v) for v in factors.values())
+    schema = "n long, packed array<double>"
+
+    def add_up(batches: Iterator[pa.RecordBatch]):
+        total = Moments(0, np.zeros(k), np.zeros((k, k)))
+        for b in batches:
+            for n, packed in zip(b.column("n").to_pylist(), b.column("packed")):
+                total += Moments.unpacked(n, packed.values.to_numpy(), k)
+        return total
+
+    def row(total: Moments) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.n], pa.int64()), pa.array([total.packed()], pa.list_(pa.float64()))], ["n", "packed"])
+
+    def partial(batches: Iterator[pa.RecordBatch]):
+        total = Moments(0, np.zeros(k), np.zeros((k, k)))
+        for b in batches:
+            x = np.empty((b.num_rows, k))
+            for i in range(len(cols)):
+                x[:, i] = b.column(i).to_numpy(zero_copy_only=False)
+            at = len(cols)
+            for i, values in enumerate(factors.values()):
+                codes = pc.index_in(b.column(len(cols) + i), pa.array(values, b.schema.field(len(cols) + i).type)).to_numpy(zero_copy_only=False)
+                x[:, at : at + len(values)] = codes[:, None] == np.arange(len(values))
+                at += len(values)
+            total += Moments.of(x)
+        yield row(total)
+
+    parts = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)], *factors).mapInArrow(partial, schema)
+    merged = parts.repartition(MERGE).mapInArrow(lambda batches: iter([row(add_up(batches))]), schema)
+    return add_up(iter([pa.RecordBatch.from_pylist([r.asDict() for r in merged.collect()] or [{"n": 0, "packed": [0.0] * (k + k * (k + 1) // 2)}])]))
 
 
 def _independent(gram: np.ndarray, terms: list[str]) -> list[int]:
@@ -127,17 +192,25 @@ def _independent(gram: np.ndarray, terms: list[str]) -> list[int]:
     return kept
 
 
-def _solve(df: DataFrame, y: str, xs: list[str], absorbed: int, total_ss: float | None = None) -> tuple[Fit, np.ndarray]:
-    m, n = _sums(df, [*xs, y])
-    kept = _independent(m[:-1, :-1], xs)
-    xtx, xty = m[np.ix_(kept, kept)], m[kept, -1]
-    inv = np.linalg.inv(xtx)
+def _solve(spark: SparkSession, m: Moments, xs: list[str], absorbed: int = 0, intercept: bool = True) -> tuple[Fit, np.ndarray]:
+    """Least squares from the moments of the regressors and, last, the outcome. With an intercept, centred ones."""
+    gram = m.m2 if intercept else m.raw()
+    kept = _independent(gram[:-1, :-1], xs)
+    xty = gram[kept, -1]
+    inv = np.linalg.inv(gram[np.ix_(kept, kept)])
     beta = inv @ xty
-    rss = float(m[-1, -1] - beta @ xty)
-    dof = n - len(kept) - absorbed
-    tss = float(m[-1, -1]) if total_ss is None else total_ss
-    fit = Fit(df.sparkSession, [xs[i] for i in kept], beta, inv * (rss / dof), n, dof, 1 - rss / tss if tss > 0 else float("nan"))
-    return fit, inv
+    rss = float(gram[-1, -1] - beta @ xty)
+    terms = [xs[i] for i in kept]
+    if intercept:
+        mid = m.mean[kept]
+        edge = -inv @ mid
+        inv = np.block([[np.array([[1 / m.n - mid @ edge]]), edge[None, :]], [edge[:, None], inv]])
+        beta = np.concatenate([[m.mean[-1] - mid @ beta], beta])
+        terms = ["(Intercept)", *terms]
+    dof = m.n - len(terms) - absorbed
+    tss = float(gram[-1, -1])
+    noise = rss / dof if dof > 0 else float("nan")
+    return Fit(spark, terms, beta, inv * noise, m.n, dof, 1 - rss / tss if tss > 0 else float("nan")), inv
 
 
 def _numeric(df: DataFrame, y: str, xs: list[str], keep: list[str]) -> DataFrame:
@@ -146,27 +219,22 @@ def _numeric(df: DataFrame, y: str, xs: list[str], keep: list[str]) -> DataFrame
     return df.select(*cols, *others).dropna()
 
 
-def with_dummies(df: DataFrame, factors: list[str], limit: int = MAX_DUMMIES) -> tuple[DataFrame, list[str]]:
-    """0/1 columns for all but the first level of each factor, `limit` columns at most."""
-    names: list[str] = []
-    for f in factors:
-        for level in rel.levels(df, f)[1:]:
-            name = f"{f}{level}"
-            df = df.withColumn(name, (F.col(f) == F.lit(level)).cast("double"))
-            names.append(name)
-    if len(names) > limit:
-        raise ValueError(f"{len(names)} dummy columns: absorb the largest factor instead")
-    return df, names
+def dummies(df: DataFrame, factors: list[str], limit: int = MAX_DUMMIES) -> dict[str, list]:
+    """All but the first level of each factor, `limit` in all at most."""
+    found = {f: rel.levels(df, f)[1:] for f in factors}
+    if (n := sum(map(len, found.values()))) > limit:
+        raise ValueError(f"{n} dummy columns: absorb the largest factor instead")
+    return found
 
 
 def ols(df: DataFrame, y: str, xs: list[str], factors: list[str] | None = None) -> Fit:
-    """Least squares with an intercept and factor dummies; dependent columns are left out."""
+    """Least squares with an intercept and factor dummies; dependent columns are left out. One pass over the rows."""
     base = _numeric(df, y, xs, factors or [])
-    base, dummies = with_dummies(base, factors or [])
-    base = base.withColumn("(Intercept)", F.lit(1.0))
-    var = base.agg((F.var_pop(y) * F.count(y)).alias("v")).first()["v"]
-    fit, _ = _solve(base, y, ["(Intercept)", *xs, *dummies], 0, total_ss=var)
-    return fit
+    found = dummies(base, factors or [])
+    m = moments(base, [*xs, y], found)
+    names = [*xs, *(f"{f}{level}" for f, values in found.items() for level in values)]
+    order = [i for i in range(len(m.mean)) if i != len(xs)] + [len(xs)]  # the outcome last
+    return _solve(df.sparkSession, Moments(m.n, m.mean[order], m.m2[np.ix_(order, order)]), names)[0]
 
 
 def demean(df: DataFrame, cols: list[str], by: str) -> DataFrame:
@@ -177,28 +245,65 @@ def demean(df: DataFrame, cols: list[str], by: str) -> DataFrame:
     return out.select(*rest, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols])
 
 
-def absorb(df: DataFrame, cols: list[str], effects: list[str], tol: float = 1e-8, rounds: int = 200) -> DataFrame:
-    """Remove one or two sets of fixed effects; two need alternating rounds.
+def two_way_effects(df: DataFrame, cols: list[str], effects: list[str], tol: float = 1e-10, rounds: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Least-squares effects of two factors on each column: (first level, _a_col...) and (second level, _b_col...).
 
-    Every few rounds the rows are written to the checkpoint folder, so the plan does not
-    grow and a lost executor does not restart the iteration.
+    The rows are added up once, to counts and sums per pair of levels. The first factor is eliminated and the
+    second one's equations are solved by preconditioned conjugate gradients, all columns at a time; a
+    step is two sums over the pairs, and vectors are tables of levels. Rows are not touched again.
     """
+    one, two = effects
+    mid = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    cells = df.groupBy(F.col(one).alias("_i"), F.col(two).alias("_j")).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), *[F.sum(F.col(c) - F.lit(mid[c])).alias(f"s{k}") for k, c in enumerate(cols)])
+    cells = cut_lineage(cells)
+    ks = range(len(cols))
+    each = lambda f: [f(k) for k in ks]
+    firsts = cells.groupBy("_i").agg(F.sum("_n").alias("_ni"), *each(lambda k: F.sum(f"s{k}").alias(f"t{k}")))
+    firsts = cut_lineage(firsts.select("_i", "_ni", *each(lambda k: (F.col(f"t{k}") / F.col("_ni")).alias(f"m{k}"))))
+    right = cells.join(firsts, "_i").groupBy("_j").agg(F.sum("_n").alias("_nj"), *each(lambda k: F.sum(F.col(f"s{k}") - F.col("_n") * F.col(f"m{k}")).alias(f"r{k}")))
+    state = cut_lineage(right.select("_j", "_nj", *each(lambda k: F.lit(0.0).alias(f"g{k}")), *each(lambda k: F.col(f"r{k}")), *each(lambda k: (F.col(f"r{k}") / F.col("_nj")).alias(f"p{k}"))))
+    rz = np.array([x or 0.0 for x in state.agg(*each(lambda k: F.sum(F.col(f"r{k}") * F.col(f"p{k}")))).first()])
+    spread = df.agg(*each(lambda k: (F.var_pop(cols[k]) * F.count(cols[k])).alias(f"v{k}"))).first()
+    enough = np.array([tol**2 * (v or 0.0) for v in spread])
+    sizes = firsts.select("_i", "_ni")
+    for _ in range(rounds):
+        going = rz > enough
+        if not going.any():
+            break
+        along = cells.join(state.select("_j", *each(lambda k: F.col(f"p{k}"))), "_j").groupBy("_i").agg(*each(lambda k: F.sum(F.col("_n") * F.col(f"p{k}")).alias(f"t{k}")))
+        along = along.join(sizes, "_i").select("_i", *each(lambda k: (F.col(f"t{k}") / F.col("_ni")).alias(f"t{k}")))
+        back = cells.select("_i", "_j", "_n").join(along, "_i").groupBy("_j").agg(*each(lambda k: F.sum(F.col("_n") * F.col(f"t{k}")).alias(f"u{k}")))
+        state = cut_lineage(state.join(back, "_j").select("_j", "_nj", *each(lambda k: F.col(f"g{k}")), *each(lambda k: F.col(f"r{k}")), *each(lambda k: F.col(f"p{k}")), *each(lambda k: (F.col("_nj") * F.col(f"p{k}") - F.col(f"u{k}")).alias(f"q{k}"))))
+        products = ("p{0} * q{0}", "p{0} * r{0}", "r{0} * r{0} / _nj", "r{0} * q{0} / _nj", "q{0} * q{0} / _nj")
+        pq, pr, rr, rq, qq = np.array(state.agg(*[F.sum(F.expr(e.format(k))) for e in products for k in ks]).first()).reshape(5, -1)
+        # From the vectors as they are, so that rounding can slow the steps down but not lead them astray.
+        step = np.where(going & (pq > 0) & (rr > enough), pr / np.where(pq > 0, pq, 1.0), 0.0)
+        rz = np.where(step != 0, np.maximum(rr - 2 * step * rq + step**2 * qq, 0.0), 0.0)
+        turn = rz / np.where(rr > 0, rr, 1.0)
+        residual = lambda k: F.col(f"r{k}") - F.lit(float(step[k])) * F.col(f"q{k}")
+        state = state.select(
+            "_j", "_nj", *each(lambda k: (F.col(f"g{k}") + F.lit(float(step[k])) * F.col(f"p{k}")).alias(f"g{k}")), *each(lambda k: residual(k).alias(f"r{k}")),
+            *each(lambda k: (residual(k) / F.col("_nj") + F.lit(float(turn[k])) * F.col(f"p{k}")).alias(f"p{k}")))
+    else:
+        raise RuntimeError(f"fixed effects did not settle in {rounds} rounds")
+    seconds = cut_lineage(state.select("_j", *each(lambda k: F.col(f"g{k}"))))
+    rest = cells.join(seconds, "_j").groupBy("_i").agg(F.sum("_n").alias("_ni"), *each(lambda k: F.sum(F.col(f"s{k}") - F.col("_n") * F.col(f"g{k}")).alias(f"t{k}")))
+    first = rest.select(F.col("_i").alias(one), *[(F.col(f"t{k}") / F.col("_ni") + F.lit(mid[c])).alias(f"_a_{c}") for k, c in enumerate(cols)])
+    return cut_lineage(first), seconds.select(F.col("_j").alias(two), *[F.col(f"g{k}").alias(f"_b_{c}") for k, c in enumerate(cols)])
+
+
+def absorb(df: DataFrame, cols: list[str], effects: list[str], tol: float = 1e-10) -> DataFrame:
+    """Columns without one or two sets of fixed effects; the rows are joined to the effects, never written."""
     if len(effects) == 1:
         return demean(df, cols, effects[0])
-    current = df
-    for _ in range(rounds // ROUNDS_PER_WRITE):
-        for by in list(effects) * ROUNDS_PER_WRITE:
-            current = demean(current, cols, by)
-        current = cut_lineage(current)
-        first = current.groupBy(effects[0]).agg(*[F.abs(F.avg(c)).alias(c) for c in cols])
-        worst = first.agg(F.greatest(*[F.max(c) for c in cols], F.lit(0.0)).alias("w")).first()["w"] or 0.0
-        if worst < tol:
-            return current
-    raise RuntimeError(f"fixed effects did not settle in {rounds} rounds: group means still reach {worst:.3g}")
+    first, second = two_way_effects(df, cols, effects, tol)
+    out = df.join(first, effects[0]).join(second, effects[1])
+    return out.select(*[c for c in df.columns if c not in cols], *[(F.col(c) - F.col(f"_a_{c}") - F.col(f"_b_{c}")).alias(c) for c in cols])
 
 
-def ols_absorbed(df: DataFrame, y: str, xs: list[str], effects: list[str], cluster: str | None = None, tol: float = 1e-8) -> Fit:
-    """Least squares with absorbed fixed effects, optionally with cluster-robust errors.
+def ols_absorbed(df: DataFrame, y: str, xs: list[str], effects: list[str], cluster: str | None = None, tol: float = 1e-10) -> Fit:
+    """Least squares with one or two absorbed fixed effects, optionally with cluster-robust errors.
 
     The cluster correction is G/(G-1) * (n-1)/(n-k), k counting the regressors and, for
     effects not nested in the cluster, the absorbed levels.
@@ -207,10 +312,11 @@ def ols_absorbed(df: DataFrame, y: str, xs: list[str], effects: list[str], clust
     base = _numeric(df, y, xs, keep)
     sizes = base.agg(*[F.countDistinct(e).alias(e) for e in effects]).first()
     absorbed = sum(sizes[e] for e in effects) - (len(effects) - 1)
+    effects = sorted(effects, key=lambda e: -sizes[e])  # the one with more levels is eliminated
     flat = absorb(base, [y, *xs], effects, tol)
-    fit, inv = _solve(flat, y, xs, absorbed)
+    fit, inv = _solve(df.sparkSession, moments(flat, [*xs, y]), xs, absorbed, intercept=False)
     if cluster:
-        _cluster_errors(fit, inv, flat, y, cluster, 0 if cluster in effects else absorbed)
+        _cluster_errors(fit, inv, flat, y, cluster, absorbed - sizes[cluster] if cluster in effects else absorbed)
     return fit
 
 
@@ -219,7 +325,8 @@ def _cluster_errors(fit: Fit, inv: np.ndarray, df: DataFrame, y: str, cluster: s
     resid = df.withColumn("_e", e)
     one = lambda t: F.lit(1.0) if t == "(Intercept)" else F.col(t)
     scores = resid.groupBy(cluster).agg(*[F.sum(F.col("_e") * one(t)).alias(f"u{i}") for i, t in enumerate(fit.terms)])
-    meat, g = _sums(scores, [f"u{i}" for i in range(len(fit.terms))])
+    found = moments(scores, [f"u{i}" for i in range(len(fit.terms))])
+    meat, g = found.raw(), found.n
     k = len(fit.terms) + absorbed
     fit.vcov = inv @ meat @ inv * (g / (g - 1)) * ((fit.n - 1) / (fit.n - k))
     fit.df = g - 1
@@ -227,8 +334,8 @@ def _cluster_errors(fit: Fit, inv: np.ndarray, df: DataFrame, y: str, cluster: s
 
 def ols_clustered(df: DataFrame, y: str, xs: list[str], cluster: str) -> Fit:
     """Least squares with an intercept and cluster-robust errors."""
-    base = _numeric(df, y, xs, [cluster]).withColumn("(Intercept)", F.lit(1.0))
-    fit, inv = _solve(base, y, ["(Intercept)", *xs], 0)
+    base = _numeric(df, y, xs, [cluster])
+    fit, inv = _solve(df.sparkSession, moments(base, [*xs, y]), xs)
     _cluster_errors(fit, inv, base, y, cluster, 0)
     return fit
 
