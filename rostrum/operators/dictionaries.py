@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from . import relational as rel
@@ -47,27 +54,149 @@ def term_list(terms: DataFrame, limit: int = 5_000) -> list[str]:
     return [r["term"] for r in rows]
 
 
+class TermTrie:
+    """Terms as paths of words: a state per word sequence that begins a term, steps as a sorted table of (state, word)."""
+
+    def __init__(self, terms: list[str]):
+        paths = [t.split(" ") for t in terms]
+        self.words = sorted({w for p in paths for w in p})
+        code = {w: i for i, w in enumerate(self.words)}
+        states: dict[tuple, int] = {(): 0}
+        for p in paths:
+            for k in range(1, len(p) + 1):
+                states.setdefault(tuple(p[:k]), len(states))
+        size = max(1, len(self.words))
+        steps = sorted((states[p[:-1]] * size + code[p[-1]], s) for p, s in states.items() if p)
+        self.step, self.to = (np.array([x[i] for x in steps], np.int64) for i in (0, 1))
+        self.term = np.full(len(states), -1, np.int64)
+        self.term[[states[tuple(p)] for p in paths]] = np.arange(len(paths))
+        self.longest = max(map(len, paths), default=0)
+
+    def hits(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, count) of the terms in each row's words; a row's occurrences of a term share no word and no blank."""
+        codes = pc.index_in(words.flatten(), pa.array(self.words, pa.string())).fill_null(-1).to_numpy().astype(np.int64)
+        lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        row_of = np.repeat(np.arange(len(words)), lengths)
+        end = np.repeat(np.cumsum(lengths), lengths)
+        at, state, size = np.flatnonzero(codes >= 0), None, max(1, len(self.words))
+        state = np.zeros(len(at), np.int64)
+        found = []
+        for depth in range(self.longest):
+            on = at + depth < end[at]
+            at, state = at[on], state[on]
+            word = codes[at + depth]
+            key = state * size + word
+            k = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
+            real = (self.step[k] == key) & (word >= 0)
+            at, state = at[real], self.to[k[real]]
+            whole = self.term[state] >= 0
+            found.append((row_of[at[whole]], self.term[state[whole]], at[whole], np.full(whole.sum(), depth + 1)))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        row, term, place, n = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((place, term, row))
+        row, term, place, n = row[order], term[order], place[order], n[order]
+        same = np.concatenate([[False], (row[1:] == row[:-1]) & (term[1:] == term[:-1])])
+        near = same & (place - np.concatenate([[0], place[:-1]]) <= n)
+        counted = np.ones(len(row), bool)
+        last = -1  # the occurrence counted last, for those that follow one closely
+        for i in np.flatnonzero(near).tolist():
+            if not near[i - 1]:
+                last = i - 1
+            counted[i] = place[i] - place[last] > n[i]
+            last = i if counted[i] else last
+        row, term = row[counted], term[counted]
+        first = np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])[: len(row)]
+        return row[first], term[first], np.diff(np.append(np.flatnonzero(first), len(row)))
+
+
+#: Characters of terms that are broadcast together; larger dictionaries are counted in several scans.
+TRIE_CHARS = 32 << 20
+#: Rows that leave a task at a time when absent terms are filled in.
+FILL_ROWS = 200_000
+
+
+def _dictionary_slices(terms: DataFrame | list[str]) -> Iterator[list[str]]:
+    """Distinct terms, in lists of about TRIE_CHARS characters."""
+    if isinstance(terms, list):
+        chars = sum(map(len, terms))
+        n = max(1, -(-chars // TRIE_CHARS))
+        yield from (terms[k::n] for k in range(n))
+        return
+    some = terms.select("term").filter(F.length("term") > 0)
+    n = max(1, -(-int(some.agg(F.sum(F.length("term"))).first()[0] or 0) // TRIE_CHARS))
+    for k in range(n):
+        yield [r[0] for r in some.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k).distinct().orderBy("term").collect()]
+
+
+def term_counts(speeches: DataFrame, key: list[str], text_col: str, terms: DataFrame | list[str]) -> DataFrame:
+    """(key..., term, n): whole-word counts of the terms that occur, and under a null term each key's number of words.
+
+    Each speech is normalized and matched against a trie of words where it lies, with the whole dictionary in one
+    pass over its words; only counts are shuffled. A term never spans two speeches. `terms`: a list, or a table
+    with the column `term`, of any size.
+    """
+    norm = text.normalize_terms(F.col(text_col))
+    n_words = F.greatest(F.size(F.split(F.concat(F.lit(" "), norm, F.lit(" ")), " ")) - 2, F.lit(0)).cast("bigint")
+    rows = speeches.select(*key, norm.alias("_t"), n_words.alias("_w"))
+    parts = []
+    for k, some in enumerate(_dictionary_slices(terms)):
+        shared = speeches.sparkSession.sparkContext.broadcast((some, vars(TermTrie(some))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, with_words=k == 0):
+            names, state = shared.value
+            trie = TermTrie.__new__(TermTrie)
+            vars(trie).update(state)
+            for b in batches:
+                row, term, n = trie.hits(pc.split_pattern(pc.fill_null(b.column(len(key)), ""), " "))
+                said = pa.array(names, pa.string()).take(pa.array(term))
+                if with_words:
+                    row = np.concatenate([row, np.arange(b.num_rows)])
+                    said = pa.concat_arrays([said, pa.nulls(b.num_rows, pa.string())])
+                    n = np.concatenate([n, b.column(len(key) + 1).fill_null(0).to_numpy(zero_copy_only=False)])
+                keys = [b.column(i).take(pa.array(row)) for i in range(len(key))]
+                yield pa.RecordBatch.from_arrays([*keys, said, pa.array(n, pa.int64())], names=[*key, "term", "n"])
+
+        schema = T.StructType([*(speeches.schema[c] for c in key), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
+        parts.append(rows.mapInArrow(run, schema))
+    return functools.reduce(DataFrame.union, parts).groupBy(*key, "term").agg(F.sum("n").alias("n"))
+
+
 def term_frequency(speeches: DataFrame, key: list[str], text_col: str, terms: list[str]) -> DataFrame:
     """Whole-word count and rate per million words of every term per hearing.
 
-    Each speech is normalized and counted where it lies; only (hearing, term) counts are
-    shuffled. A term never spans two speeches. Terms that do not occur have a count of 0.
+    Counts are those of `term_counts`. Terms that do not occur have a count of 0, so there are as many rows as hearings
+    times terms: they are filled in beside each hearing's counts, without a join.
     """
-    norm = speeches.select(*key, F.concat(F.lit(" "), text.normalize_terms(F.col(text_col)), F.lit(" ")).alias("_t"))
-    counts = F.array(*[text.count_substring(F.col("_t"), F.lit(f" {t} ")) for t in terms])
-    per_speech = norm.select(*key, counts.alias("_c"), F.greatest(F.size(F.split("_t", " ")) - 2, F.lit(0)).cast("bigint").alias("_w"))
-    sums = [F.sum(F.col("_c")[i]).alias(f"_c{i}") for i in range(len(terms))]
-    per_key = per_speech.groupBy(*key).agg(F.sum("_w").alias("n_words"), *sums)
-    cells = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"_c{i}").alias("n")) for i, t in enumerate(terms)]))
+    counts = term_counts(speeches, key, text_col, terms)
+    said = F.col("term").isNotNull()
+    one = F.collect_list(F.when(said, F.struct("term", "n")))
+    per_key = counts.groupBy(*key).agg(F.sum(F.when(~said, F.col("n"))).alias("n_words"), one.alias("_c"))
+    flat = per_key.select(*key, "n_words", F.col("_c.term").alias("_term"), F.col("_c.n").alias("_n"))
+    shared = speeches.sparkSession.sparkContext.broadcast(list(terms))
+
+    def fill(batches: Iterator[pa.RecordBatch]):
+        names = pa.array(shared.value, pa.string())
+        step = max(1, FILL_ROWS // max(1, len(names)))
+        for b in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            found, counted = b.column(len(key) + 1), b.column(len(key) + 2)
+            n = np.zeros((b.num_rows, len(names)), np.int64)
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+            n[row, pc.index_in(found.flatten(), names).to_numpy(zero_copy_only=False).astype(np.int64)] = counted.flatten().to_numpy(zero_copy_only=False)
+            which = pa.array(np.repeat(np.arange(b.num_rows), len(names)))
+            cells = [b.column(i).take(which) for i in range(len(key) + 1)]
+            yield pa.RecordBatch.from_arrays([*cells, names.take(pa.array(np.tile(np.arange(len(names)), b.num_rows))), pa.array(n.ravel())], names=[*key, "n_words", "term", "n"])
+
+    schema = T.StructType([*(speeches.schema[c] for c in key), T.StructField("n_words", T.LongType()), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
     rate = F.round(F.col("n") / F.greatest(F.col("n_words"), F.lit(1)) * 1_000_000, 3)
-    return per_key.select(*key, "n_words", cells.alias("_x")).select(*key, "n_words", "_x.*").withColumn("per_million", rate)
+    return flat.mapInArrow(fill, schema).withColumn("per_million", rate)
 
 
 def version_rates(freq: DataFrame, key: list[str], versions: DataFrame) -> DataFrame:
     """Mean rate per hearing over the terms of each cumulative version k (lists 1..k)."""
-    last = versions.agg(F.max("version")).first()[0]
+    last = versions.agg(F.max("version")).scalar()
     spread = versions.groupBy("term").agg(F.min("version").alias("_v"))
-    spread = spread.select("term", F.explode(F.sequence(F.col("_v"), F.lit(last))).alias("version"))
+    spread = spread.select("term", F.explode(F.sequence(F.col("_v"), last)).alias("version"))
     return freq.join(spread, "term").groupBy(*key, "version").agg(F.avg("per_million").alias("mean_rate"))
 
 

@@ -42,6 +42,26 @@ def term_frequency(t: Tables) -> DataFrame:
     return _freq(t).drop("lang", "source")
 
 
+#: Two thousand phrases of one to four words, drawn from the documents themselves.
+_PHRASES = """ph as (select string_split({norm}, ' ') as w, doc_id from documents), pt as (
+  select distinct array_to_string(w[7:6 + doc_id % 4 + 1], ' ') as term from ph where len(w) >= 10 order by term limit 2000)"""
+
+
+@query(
+    "term_frequency_many",
+    sql=f"""with {_PHRASES.format(norm=NORM)}, nd as (select lang, ' ' || {NORM} || ' ' as t from documents),
+e as (select lang, term, ((length(t) - length(replace(t, ' ' || term || ' ', ''))) // (length(term) + 2))::bigint as n, greatest(len(string_split(t, ' ')) - 2, 0)::bigint as w from nd, pt)
+select lang, term, sum(n)::bigint as n, sum(w)::bigint as n_words from e group by all""",
+)
+def term_frequency_many(t: Tables) -> DataFrame:
+    """Counts of two thousand phrases, of up to four words, in each language: one pass over the words whatever their number."""
+    words = F.split(text.normalize_terms(F.col("text")), " ")
+    phrase = F.array_join(F.slice(words, F.lit(7), (F.col("doc_id") % 4 + 1).cast("int")), " ")
+    terms = t.documents.filter(F.size(words) >= 10).select(phrase.alias("term")).distinct().orderBy("term").limit(2_000)
+    got = dic.term_frequency(t.documents, ["lang"], "text", dic.term_list(terms))
+    return got.select("lang", "term", "n", "n_words")
+
+
 @query(
     "dict_versions",
     sql=f"with {FREQ_SQL}, k as (select unnest([1, 2, 3])::int as version) select doc_id, version, round(avg(per_million), 6) as mean_rate from fr join k on v <= version group by 1, 2",

@@ -1,3 +1,7 @@
+import collections
+import random
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,6 +91,31 @@ def test_term_frequency_whole_words(spark):
     assert got == {"due process": (2, 8), "process": (3, 8), "zzz": (0, 8)}
 
 
+def test_terms_of_any_number_equal_counting_one_by_one(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: rng.choice(["a", "b", "ab", "c", "É", "d-e", "x1"])
+    rows = [(rng.choice(["h", "i", None]), " ".join(word() + rng.choice(["", ".", "  "]) for _ in range(rng.randrange(0, 60)))) for _ in range(150)]
+    rows += [("h", None), ("h", ""), ("only", "zzz"), ("j", "a " * 40), ("j", "a b " * 30)]
+    terms = sorted({" ".join(rng.choice(["a", "b", "ab", "c", "d", "e", "x1"]) for _ in range(rng.randrange(1, 5))) for _ in range(400)} | {"never said", "a a", "a b a"})
+    want, words = collections.Counter(), collections.Counter()
+    for h, t in rows:
+        norm = re.sub(" +", " ", re.sub("[^A-Za-z0-9 ]", "", (t or "").lower().replace("-", " "))).strip()
+        words[h] += len(norm.split(" ")) if t is not None else 0
+        for x in terms:
+            want[h, x] += f" {norm} ".count(f" {x} ")
+    df = spark.createDataFrame(rows, "h string, t string").repartition(4)
+    for chars in (1 << 20, 300):  # at once, and in several scans
+        monkeypatch.setattr(dictionaries, "TRIE_CHARS", chars)
+        monkeypatch.setattr(dictionaries, "FILL_ROWS", 50)
+        got = dictionaries.term_frequency(df, ["h"], "t", terms).collect()
+        assert {(r.h, r.term): r.n for r in got} == dict(want) and {r.h: r.n_words for r in got} == dict(words)
+        table = spark.createDataFrame([(x,) for x in [*terms, None, "", "a"]], "term string")
+        sparse = dictionaries.term_counts(df, ["h"], "t", table).collect()
+        assert {(r.h, r.term): r.n for r in sparse if r.term} == {k: n for k, n in want.items() if n}
+    empty = dictionaries.term_frequency(df, ["h"], "t", []).count()
+    assert empty == 0 and dictionaries.term_frequency(df.limit(0), ["h"], "t", terms).count() == 0
+
+
 def test_streams_resume(spark, tmp_path):
     landed, out, ck = (str(tmp_path / p) for p in ("in", "out", "ck"))
     schema = T.StructType.fromDDL("id long, ts timestamp, v string")
