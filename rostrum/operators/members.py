@@ -155,6 +155,23 @@ def party_flags(df: DataFrame, majority: dict[int, str] | None = None, unified:
     )
 
 
+def control_flags(df: DataFrame, divided_house: str = "divided_house", divided_senate: str = "divided_senate", dem_majority: str = "dem_maj") -> DataFrame:
+    """trifecta, dem_in_maj and rep_in_maj, 0 or 1, from `dem` and who controls what; null where a value it needs is unknown.
+
+    A trifecta is a president whose party holds both chambers. Whatever is not a Democrat counts as a Republican.
+    """
+    house, senate, maj = F.col(divided_house), F.col(divided_senate), F.col(dem_majority)
+
+    def flag(a: Column, b: Column) -> Column:
+        return (a & b).cast("int")
+
+    return df.withColumns({
+        "trifecta": flag(house == 0, senate == 0),
+        "dem_in_maj": flag(F.col("dem") == 1, maj == 1),
+        "rep_in_maj": flag(F.col("dem") == 0, maj == 0),
+    })
+
+
 def leaders_from_nested(nested: DataFrame, congresses: list[int] | None = None) -> DataFrame:
     """(congress, thomas_id, chair array, ranking_member array) -> one row per role and person."""
     if congresses:

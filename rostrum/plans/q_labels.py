@@ -256,14 +256,44 @@ def fuzzy_titles(t: Tables) -> DataFrame:
 # ---- data quality ------------------------------------------------------------------------------
 
 
+_PROFILED = {"documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}}
+_PROFILED["labels"] = {"doc_id": "bigint", "quality": "int", "toxic": "int"}
+
+
+def _profile_sql(table: str) -> str:
+    """Counts of every column; of the samples, how many there are and how many of them are beginnings of values of the column."""
+    return " union all ".join(
+        f"""select '{table}' as "table", '{c}' as "column", '{kind}' as type, count(*)::bigint as rows, round(1 - count({c}) / count(*)::double, 6) as null_share, count(distinct {c})::bigint as n_distinct, least(3, count(distinct {c}))::int as n_samples, least(3, count(distinct {c}))::bigint as n_real from {table}"""
+        for c, kind in _PROFILED[table].items())
+
+
+@query("profile", sql=" union all ".join(map(_profile_sql, _PROFILED)))
+def profile(t: Tables) -> DataFrame:
+    """Every column of two tables, the texts included. Samples are looked up in the table they come from."""
+    out = None
+    for name in _PROFILED:
+        df = getattr(t, name)
+        p = quality.profile(df)
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.substring(F.col(c).cast("string"), 1, quality.PREVIEW).alias("shown")) for c in df.columns])).alias("x")
+        shown = df.select(cells).select("x.*")
+        asked = p.select("column", F.explode("samples").alias("shown"))
+        real = shown.join(asked, ["column", "shown"], "left_semi").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_real"))
+        part = p.join(real, "column", "left").select(
+            F.lit(name).alias("table"), "column", "type", "rows", F.round("null_share", 6).alias("null_share"), "n_distinct",
+            F.size("samples").alias("n_samples"), F.coalesce("n_real", F.lit(0)).alias("n_real"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query(
-    "profile",
-    sql="""select 'lang' as "column", 'string' as type, round(1 - count(lang) / count(*)::double, 6) as null_share, count(distinct lang)::bigint as n_distinct, min(lang) as low from documents
-union all select 'source', 'string', round(1 - count(source) / count(*)::double, 6), count(distinct source)::bigint, min(source) from documents union all select 'n_chars', 'bigint', round(1 - count(n_chars) / count(*)::double, 6), count(distinct n_chars)::bigint, min(n_chars)::varchar from documents""",
+    "profile_sketched",
+    sql=" union all ".join(f"""select '{c}' as "column", count(*)::bigint as rows, round(1 - count({c}) / count(*)::double, 6) as null_share, true as close from documents""" for c in _PROFILED["documents"]),
 )
-def profile(t: Tables) -> DataFrame:
-    p = quality.profile(t.documents.select("lang", "source", "n_chars"))
-    return p.select("column", "type", F.round("null_share", 6).alias("null_share"), "n_distinct", F.get("samples", F.lit(0)).alias("low"))
+def profile_sketched(t: Tables) -> DataFrame:
+    """Sketches of two halves of the documents put together; distinct counts within 5 % of the exact ones."""
+    halves = [quality.sketches(t.documents.filter(F.col("doc_id") % 2 == k)) for k in (0, 1)]
+    got = quality.from_sketches(halves[0].union(halves[1])).join(quality.profile(t.documents).select("column", F.col("n_distinct").alias("exact")), "column")
+    return got.select("column", "rows", F.round("null_share", 6).alias("null_share"), (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("close"))
 
 
 @query("overview", sql="select count(*)::bigint as rows, count_if(quality is null)::bigint as quality_nulls, count_if(toxic is null)::bigint as toxic_nulls, round(avg(n_chars), 6) as mean_score from documents left join labels using (doc_id)")
@@ -271,10 +301,25 @@ def overview(t: Tables) -> DataFrame:
     return _rounded(quality.overview(t.documents.drop("text").join(t.labels, "doc_id", "left"), ["quality", "toxic"], "n_chars"))
 
 
-@query("required_cols", sql="select unnest(['bioguide_id', 'congress']) as missing")
+_OVERVIEW = "select {0} as item, {1} as value, count(*)::bigint as rows, count_if(toxic is null)::bigint as toxic_nulls, round(avg(n_chars), 6) as mean_score from documents left join labels using (doc_id) group by all"
+
+
+@query("overview_by", sql=" union all ".join([_OVERVIEW.format("'all'", "null::varchar"), *(_OVERVIEW.format(f"'{c}'", f"{c}::varchar") for c in ("lang", "source", "quality"))]))
+def overview_by(t: Tables) -> DataFrame:
+    """The overview of all rows and of the values of three categories, the missing value among them."""
+    d = t.documents.drop("text").join(t.labels, "doc_id", "left")
+    return _rounded(quality.overview_by(d, ["lang", "source", "quality"], ["toxic"], "n_chars"))
+
+
+@query(
+    "required_cols",
+    sql="""select 'doc_id' as "column", 'ok' as state, count(*)::bigint as rows, count(doc_id)::bigint as filled from documents union all select 'text', 'ok', count(*)::bigint, count(text)::bigint from documents
+union all select 'never', 'empty', count(*)::bigint, 0 from documents union all select 'congress', 'absent', count(*)::bigint, 0 from documents""",
+)
 def required_cols(t: Tables) -> DataFrame:
-    miss = quality.missing_columns(t.documents, ["doc_id", "bioguide_id", "congress", "text"])
-    return t.documents.select(F.explode(F.array(*[F.lit(m) for m in miss])).alias("missing")).distinct()
+    """Required columns that are there and filled, there and empty, and not there."""
+    d = t.documents.withColumn("never", F.when(F.length("text") < 0, F.col("lang")))
+    return quality.required_columns(d, ["doc_id", "text", "never", "congress"])
 
 
 @query(
@@ -286,6 +331,36 @@ def constraints(t: Tables) -> DataFrame:
     return quality.violations(t.lineitem, rules)
 
 
+@query(
+    "enriched_rules",
+    sql="""with x as (select l_linenumber - 1 as seniority, l_discount * 1100 as match_score, l_linenumber % 2 as minority, l_linenumber % 3 as dem, (l_returnflag = 'R')::int as leader from lineitem)
+select 'seniority_from_1' as rule, count_if(not seniority >= 1)::bigint as broken from x union all select 'match_score_range', count_if(not (match_score between 0 and 100))::bigint from x
+union all select 'minority_binary', count_if(minority not in (0, 1))::bigint from x union all select 'dem_binary', count_if(dem not in (0, 1))::bigint from x union all select 'leader_binary', count_if(leader not in (0, 1))::bigint from x
+union all select r, 0::bigint from (values ('freshman_binary'), ('chairspeech_binary'), ('rankmemspeech_binary'), ('female_binary')) v(r)""",
+)
+def enriched_rules(t: Tables) -> DataFrame:
+    """The rules of the enriched table, on columns of which some break them."""
+    none = {c: F.lit(None).cast("int") for c in ("freshman", "chairspeech", "rankmemspeech", "female")}
+    x = t.lineitem.select(
+        (F.col("l_linenumber") - 1).alias("seniority"), (F.col("l_discount") * 1100).alias("match_score"), (F.col("l_linenumber") % 2).alias("minority"),
+        (F.col("l_linenumber") % 3).alias("dem"), (F.col("l_returnflag") == "R").cast("int").alias("leader")).withColumns(none)
+    return quality.violations(x, quality.enriched_rules())
+
+
+@query(
+    "null_share_rules",
+    sql="""with x as (select case when l_linenumber > 1 then l_suppkey end as bioguide_id, case when l_quantity > 2 then l_quantity end as nominate_dim1 from lineitem)
+select 'ideology_of_matched' as rule, count(bioguide_id)::bigint as n, round(count_if(bioguide_id is not null and nominate_dim1 is null) / count(bioguide_id)::double, 6) as share, count_if(bioguide_id is not null and nominate_dim1 is null) / count(bioguide_id)::double < 0.05 as ok from x
+union all select 'matched', count(*)::bigint, round(count_if(bioguide_id is null) / count(*)::double, 6), count_if(bioguide_id is null) / count(*)::double < 0.1 from x union all select 'nobody', 0, null, true""",
+)
+def null_share_rules(t: Tables) -> DataFrame:
+    """At most a twentieth of the matched rows lacks a score; a rule that fails and one about no row beside it."""
+    x = t.lineitem.select(F.when(F.col("l_linenumber") > 1, F.col("l_suppkey")).alias("bioguide_id"), F.when(F.col("l_quantity") > 2, F.col("l_quantity")).alias("nominate_dim1"))
+    unmatched = F.col("bioguide_id").isNull()
+    rules = {**quality.null_share_rules(), "matched": (F.lit(True), unmatched, 0.1), "nobody": (F.lit(False), unmatched, 0.5)}
+    return _rounded(quality.share_violations(x, rules))
+
+
 @query(
     "date_bounds",
     sql=f"with x as (select {CONG} as congress, l_shipdate::date as d from lineitem join orders on o_orderkey = l_orderkey) select congress::int as congress, count(*)::bigint as n, count_if(not (d >= make_date((1787 + 2 * congress)::int, 1, 3) and d < make_date((1789 + 2 * congress)::int, 1, 3) + 90))::bigint as outside from x group by 1",

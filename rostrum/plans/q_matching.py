@@ -403,6 +403,20 @@ def minority_flags(t: Tables) -> DataFrame:
     return members.party_flags(look, MAJORITY, UNIFIED)
 
 
+@query(
+    "control_flags",
+    sql="""with x as (select o_orderkey, case o_orderstatus when 'F' then 1 when 'O' then 0 end as dem, o_custkey % 2 as dem_maj, (o_custkey % 3 = 0)::int as divided_house, case when o_custkey % 5 > 0 then (o_custkey % 5 = 1)::int end as divided_senate from orders)
+select o_orderkey, (divided_house = 0 and divided_senate = 0)::int as trifecta, (dem = 1 and dem_maj = 1)::int as dem_in_maj, (dem = 0 and dem_maj = 0)::int as rep_in_maj from x""",
+)
+def control_flags(t: Tables) -> DataFrame:
+    """Trifecta and party-in-majority flags, with unknown parties and chambers among the rows."""
+    c = F.col("o_custkey")
+    x = t.orders.select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0).alias("dem"), (c % 2).alias("dem_maj"),
+        (c % 3 == 0).cast("int").alias("divided_house"), F.when(c % 5 > 0, (c % 5 == 1).cast("int")).alias("divided_senate"))
+    return members.control_flags(x).select("o_orderkey", "trifecta", "dem_in_maj", "rep_in_maj")
+
+
 @query("leader_table", sql=f"with {BASE_SQL} select congress, thomas_id, role, ord::int as ord, bioguide_id from leaders where congress in (105, 106)")
 def leader_table(t: Tables) -> DataFrame:
     return leader_rows(t).filter(F.col("congress").isin(105, 106))

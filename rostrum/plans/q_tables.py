@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, names, text
 from ..operators import relational as rel
-from ..operators import members
+from ..operators import members, quality
 from .catalog import Tables, query
 from .fixtures import congress_sql, orders_c
 
@@ -377,11 +377,7 @@ def frequency(t: Tables) -> DataFrame:
 
 @query("distinct_counts", sql="select count(distinct o_custkey)::bigint as n_members, count(distinct o_orderpriority)::bigint as n_titles, count(distinct o_orderdate)::bigint as n_days from orders")
 def distinct_counts(t: Tables) -> DataFrame:
-    return t.orders.agg(
-        F.countDistinct("o_custkey").alias("n_members"),
-        F.countDistinct("o_orderpriority").alias("n_titles"),
-        F.countDistinct("o_orderdate").alias("n_days"),
-    )
+    return quality.distinct_counts(t.orders, {"n_members": "o_custkey", "n_titles": "o_orderpriority", "n_days": "o_orderdate"})
 
 
 @query(

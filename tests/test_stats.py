@@ -127,3 +127,25 @@ def test_quality_rules(spark):
     df = spark.createDataFrame([(0, 101.0, 2), (3, None, 1)], "seniority int, match_score double, minority int")
     rules = {k: v for k, v in quality.enriched_rules().items() if k in ("seniority_from_1", "match_score_range", "minority_binary")}
     assert {r.rule: r.broken for r in quality.violations(df, rules).collect()} == {"seniority_from_1": 1, "match_score_range": 1, "minority_binary": 1}
+
+
+def test_profile_of_every_type_and_of_merged_sketches(spark):
+    rows = [(1, "a" * 100, {"x": 1}, [1, 2], 0.0, None), (2, "b", {"x": 1}, [1, 2], -0.0, None), (2, None, None, [], float("nan"), None), (3, "b", {"y": 1}, None, float("nan"), None)] * 5
+    df = spark.createDataFrame(rows, "i int, t string, m map<string,int>, l array<int>, d double, `odd name` string")
+    p = {r.column: r for r in quality.profile(df).collect()}
+    assert {c: r.n_distinct for c, r in p.items()} == {"i": 3, "t": 2, "m": 2, "l": 2, "d": 2, "odd name": 0}
+    assert {c: round(r.null_share, 6) for c, r in p.items()} == {"i": 0, "t": 0.25, "m": 0.25, "l": 0.25, "d": 0, "odd name": 1}
+    assert sorted(p["i"].samples) == ["1", "2", "3"] and sorted(p["t"].samples) == ["a" * 40, "b"] and p["odd name"].samples == []
+    big = spark.range(30_000).select("id", (F.col("id") % 7).cast("string").alias("s"))
+    halves = quality.sketches(big.filter("id < 20000")).union(quality.sketches(big.filter("id >= 15000")))
+    got = {r.column: r.n_distinct for r in quality.from_sketches(halves).collect()}
+    assert got["id"] == pytest.approx(30_000, rel=0.05) and got["s"] == 7
+    assert quality.distinct_counts(df, {"a": "t", "b": "odd name"}).first().asDict() == {"a": 2, "b": 0}
+    assert quality.profile(df.limit(0)).count() == 0
+
+
+def test_required_columns_look_at_rows(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "a int, b string")
+    got = {r.column: (r.state, r.rows, r.filled) for r in quality.required_columns(df, ["a", "b", "c"]).collect()}
+    assert got == {"a": ("ok", 2, 2), "b": ("empty", 2, 0), "c": ("absent", 2, 0)}
+    assert {r.state for r in quality.required_columns(df.limit(0), ["a", "c"]).collect()} == {"empty", "absent"}
