@@ -101,7 +101,7 @@ def rolling(h: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
         width, factor = width * 2, factor * factor % (1 << 64)
 
 
-def _least(x: np.ndarray, span: int) -> np.ndarray:
+def _minima(x: np.ndarray, span: int) -> np.ndarray:
     """The minimum of every `span` consecutive numbers."""
     width = 1
     while width * 2 <= span:
@@ -128,7 +128,7 @@ class Chunk:
         self.anchor = np.zeros(0, np.uint64)
         if len(h) < WINDOW:
             return
-        anchor = _least(_mixed(rolling(h, ANCHOR)), WINDOW - ANCHOR + 1)
+        anchor = _minima(_mixed(rolling(h, ANCHOR)), WINDOW - ANCHOR + 1)
         whole = text_of[: len(anchor)] == text_of[WINDOW - 1 :]
         fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text_of[1 : len(anchor)] != text_of[: len(anchor) - 1])]) & whole
         fresh |= whole & ~np.concatenate([[False], whole[:-1]])
@@ -280,16 +280,23 @@ def _marked(docs: DataFrame, sketched: list[np.ndarray] | None, bits: int, with_
     return docs.mapInArrow(run, _MARKED)
 
 
+def _least(rows: DataFrame, key: list[str], out: str) -> DataFrame:
+    """The smallest document of every key that two documents have. Written, so that the join with it reads two plain
+    shuffles and the partition of a common key can be split among tasks."""
+    ends = rows.groupBy(*key).agg(F.min("doc_id").alias(out), F.max("doc_id").alias("_hi"))
+    return staged(ends.filter(F.col(out) < F.col("_hi")).drop("_hi"), "least")
+
+
 def _repeated_by_count(blocks: DataFrame) -> DataFrame:
     """The blocks whose anchor is in two documents or more: what the sketch says, by a shuffle, for texts beyond its size."""
-    several = blocks.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("a")
-    return blocks.join(several, "a", "left_semi")
+    return blocks.join(_least(blocks, ["a"], "lo").select("a"), "a", "left_semi")
 
 
 def _verdicts(blocks: DataFrame) -> DataFrame:
     """(doc_id, k, blocks of (at, n, gone)): blocks that a smaller document has as a whole are gone."""
-    first = blocks.groupBy("b1", "b2").agg(F.min("doc_id").alias("first"))
-    judged = blocks.join(first, ["b1", "b2"]).select("doc_id", "k", F.struct("at", "n", (F.col("first") < F.col("doc_id")).alias("gone")).alias("block"))
+    first = _least(blocks, ["b1", "b2"], "first")
+    gone = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("gone")
+    judged = blocks.join(first, ["b1", "b2"], "left").select("doc_id", "k", F.struct("at", "n", gone).alias("block"))
     return judged.groupBy("doc_id", "k").agg(F.collect_set("block").alias("blocks"))
 
 
@@ -329,8 +336,7 @@ def _open_windows(texts: DataFrame) -> DataFrame:
 def _repeated_windows(windows: DataFrame) -> DataFrame:
     """(doc_id, k, places): windows that also begin in a smaller document. The least document of a window is an aggregate, so common windows meet nowhere as a group."""
     each = windows.select("doc_id", "k", F.explode(F.arrays_zip("at", "w1", "w2")).alias("w")).select("doc_id", "k", "w.at", "w.w1", "w.w2")
-    least = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
-    return each.join(least, ["w1", "w2"]).filter("doc_id > lo").groupBy("doc_id", "k").agg(F.collect_set("at").alias("places"))
+    return each.join(_least(each, ["w1", "w2"], "lo"), ["w1", "w2"]).filter("doc_id > lo").groupBy("doc_id", "k").agg(F.collect_set("at").alias("places"))
 
 
 _DONE = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
