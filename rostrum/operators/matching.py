@@ -184,33 +184,73 @@ def similar_names(open_names: DataFrame, lookup: DataFrame, cutoff: float = 85.0
     )
 
 
+#: The exact rules in order, and the scopes their keys are looked up in.
+_RULES = ("hearing_member_exact", "hearing_member_exact", "committee_chair_exact", "congress_exact", "congress_exact")
+
+
+def _exact_keys() -> Column:
+    """What each exact rule asks for, as (rule, scope, block, name); a rule whose key has a null asks nothing."""
+    full, word = F.col("speaker_last_name"), F.col("speaker_last_word")
+    hearing, congress = F.col("hearing_id").cast("string"), F.col("congress").cast("string")
+    thomas = F.when(full.isin(*names.CHAIR_NAMES), names.parent_committee(F.col("committee_code")))
+    asked = [("h", hearing, full), ("h", hearing, word), ("chair", congress, thomas), ("c", congress, full), ("c", congress, word)]
+    keys = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(scope).alias("scope"), block.alias("block"), name.alias("name")) for k, (scope, block, name) in enumerate(asked)])
+    return F.filter(keys, lambda x: x["block"].isNotNull() & x["name"].isNotNull())
+
+
+def _exact_answers(hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame) -> DataFrame:
+    """(scope, block, name, bioguide_id), unique by its first three: names of one member in a hearing or a congress, first chairs."""
+    order = ["ord", "bioguide_id"] if "ord" in leaders.columns else ["bioguide_id"]
+    first = rel.first_by(leaders.filter(F.col("role") == "chair"), ["congress", "thomas_id"], order)
+    chair = rel.keep_in(first, members, "bioguide_id").select(F.lit("chair").alias("scope"), F.col("congress").cast("string").alias("block"), F.col("thomas_id").alias("name"), "bioguide_id")
+
+    def single(table: DataFrame, block: str, scope: str) -> DataFrame:
+        return unambiguous(table, block).select(F.lit(scope).alias("scope"), F.col(block).cast("string").alias("block"), F.col("last_name_upper").alias("name"), "bioguide_id")
+
+    return single(hearing_map, "hearing_id", "h").unionByName(chair).unionByName(single(lookup, "congress", "c"))
+
+
+def exact_matches(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame, out: str = "_hit") -> DataFrame:
+    """`pairs` with the hit of the first exact rule that has one, all rules in one join and one minimum per pair.
+
+    Keys with a null are never shuffled: a pair whose rules ask nothing only takes part in the minimum.
+    """
+    asked = pairs.select(*pairs.columns, F.explode(_exact_keys()).alias("_k")).select(*pairs.columns, "_k.*")
+    answered = asked.join(_exact_answers(hearing_map, lookup, leaders, members), ["scope", "block", "name"])
+    label = F.get(F.array(*[F.lit(r) for r in _RULES]), F.col("rule"))
+    hit = answered.select(*pairs.columns, F.struct("rule", _hit(F.col("bioguide_id"), F.lit(100.0), label).alias("hit")).alias("_h"))
+    none = pairs.select(*pairs.columns, F.lit(None).cast(hit.schema["_h"].dataType).alias("_h"))
+    return hit.union(none).groupBy(*pairs.columns).agg(F.min("_h").alias("_h")).select(*pairs.columns, F.col("_h.hit").alias(out))
+
+
 def match_pairs(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame, cutoff: float = 85.0) -> DataFrame:
     """The whole cascade for distinct pairs: PAIR columns plus the match columns.
 
-    The exact stages are written to the checkpoint folder, since the later stages read
-    their result several times.
+    The lookup and the exact stage's result are written to the checkpoint folder, since the later stages
+    read them several times. What is decided and what is not go separate ways, so nulls meet no join.
     """
-    m = exact_names(pairs, unambiguous(hearing_map, "hearing_id"), "hearing_id", "hearing_member_exact", "_a")
-    m = chairs(m, leaders, members, "_c")
-    m = exact_names(m, unambiguous(lookup, "congress"), "congress", "congress_exact", "_b")
-    m = cut_lineage(m.select(*pairs.columns, F.coalesce("_a", "_c", "_b").alias("_hit")))
+    lookup = cut_lineage(lookup.select("congress", "last_name_upper", "bioguide_id", "first_name"))
+    m = cut_lineage(exact_matches(pairs, hearing_map, lookup, leaders, members))
     key = ["congress", "speaker_last_name", "speaker_last_word"]
-    left_open = m.filter(
-        F.col("_hit").isNull() & F.col("speaker_last_name").isNotNull() & ~F.col("speaker_last_name").isin(*names.CHAIR_NAMES)
-    ).select(*key).distinct()
-    told = disambiguated(left_open, lookup, "_t")
+    chair = F.coalesce(F.col("speaker_last_name").isin(*names.CHAIR_NAMES), F.lit(True))
+    can = F.col("_hit").isNull() & F.col("congress").isNotNull() & ~chair
+    open_pairs = m.filter(can).drop("_hit")
+    left_open = cut_lineage(open_pairs.select(*key).distinct())
+    told = cut_lineage(disambiguated(left_open, lookup, "_m"))
     rest = left_open.join(told, key, "left_anti")
-    close = similar_names(rest, lookup, cutoff, "_f")
-    m = m.join(told, key, "left").join(close, ["congress", "speaker_last_name"], "left")
-    m = m.select(*pairs.columns, F.coalesce("_hit", "_t", "_f").alias("_m")).select(*pairs.columns, "_m.*")
+    close = rest.join(similar_names(rest, lookup, cutoff, "_m"), ["congress", "speaker_last_name"]).select(*key, "_m")
+    late = open_pairs.join(told.select(*key, "_m").union(close), key, "left").select(*pairs.columns, "_m")
+    settled = m.filter(~can).select(*pairs.columns, F.col("_hit").alias("_m"))
+    done = settled.union(late)
     known = rel.first_by(members.select(*_MEMBER), ["bioguide_id"], ["last_name", "first_name"])
-    return m.join(known, "bioguide_id", "left").select(*pairs.columns, *_MEMBER, "match_score", "match_type")
+    matched = done.filter(F.col("_m").isNotNull()).select(*pairs.columns, "_m.*").join(known, "bioguide_id", "left")
+    return rel.union_all(matched, done.filter(F.col("_m").isNull()).drop("_m")).select(*pairs.columns, *_MEMBER, "match_score", "match_type")
 
 
 def match_speakers(sentences: DataFrame, hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame, cutoff: float = 85.0) -> DataFrame:
-    """Sentences with match columns: decide each distinct pair once, then join back."""
+    """Sentences with match columns: decide each distinct pair once, then join the matched ones back."""
     pairs = sentences.select(*PAIR).distinct()
-    matched = match_pairs(pairs, hearing_map, lookup, leaders, members, cutoff).select(
+    matched = match_pairs(pairs, hearing_map, lookup, leaders, members, cutoff).filter(F.col("bioguide_id").isNotNull()).select(
         "hearing_id",
         "speaker_last_name",
         "committee_code",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, text
 from ..operators import matching, members, relational, sampling, transcripts
+from ..session import cut_lineage
 from ..sources import stage
 
 
@@ -44,8 +45,11 @@ def member_lookup(s: Sources) -> DataFrame:
 
 
 def with_hearing_metadata(sentences: DataFrame, s: Sources) -> DataFrame:
-    """Hearing attributes, one committee, one date and the speaker's name parts."""
-    info = (
+    """Hearing attributes, one committee, one date and the speaker's name parts.
+
+    The attributes are a row per hearing and written once; the sentences meet them as often as they are read.
+    """
+    info = cut_lineage(
         s.hearings.join(members.best_committee(s.committees, s.hearings, s.committee_order), "hearing_id", "left")
         .join(members.resolve_hearing_dates(s.dates, s.hearings, s.known_sessions), "hearing_id", "left")
     )

@@ -306,7 +306,7 @@ def stream_dedupe(t: Tables) -> DataFrame:
 def stream_latest(t: Tables) -> DataFrame:
     landed, out, ck = _land(t, "updates"), scratch(t, "log"), scratch(t, "ck")
     ingest.upsert_log(t.spark, landed, EVENTS, out, ck, key=["user_id"], modified="ts", files_per_batch=1)
-    return ingest.latest(t.spark, out, key=["user_id"], modified="ts").select("user_id", "event_id")
+    return ingest.latest(t.spark, out).select("user_id", "event_id")
 
 
 @query("stream_score", sql="select conv_id, turn, ((length(text) - length(regexp_replace(text, '[aeiou]', '', 'g'))) / greatest(length(text), 1)::double > 0.5)::int as label from conversations")

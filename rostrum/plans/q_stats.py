@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import buckets
 from ..operators import ordered, ranking, sampling, stats
+from ..session import checkpoint_dir
 from .catalog import Tables, query
 from .fixtures import congress_sql, orders_c
 from .q_text import _rounded
@@ -417,7 +420,15 @@ def train_test_split(t: Tables) -> DataFrame:
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@query("block_sample")
+@query("block_sample", sql="select event_id, event_type, 'events.parquet' as file, 0::bigint as start from events order by md5('42|' || event_id) limit 200")
 def block_sample(t: Tables) -> DataFrame:
-    """Fixed number of rows from every input block."""
-    return sampling.block_sample(t.events, ["event_id"], 200).select("event_id", "event_type")
+    """Fixed number of rows from every input block; the file is smaller than a split, so it is one block."""
+    return sampling.block_sample(t.events, ["event_id"], 200).select("event_id", "event_type", "block.file", "block.start")
+
+
+@query("part_sample", sql="with p as (select distinct event_id % 20 as part from events), d as (select part from p order by md5('42|part=' || part) limit 5) select event_id, event_type, (event_id % 20)::int as part from events where event_id % 20 in (select part from d)")
+def part_sample(t: Tables) -> DataFrame:
+    """A quarter of the partitions of a table, drawn by name; the others are not read."""
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/parts-{uuid.uuid4().hex}"
+    t.events.withColumn("part", F.col("event_id") % 20).write.partitionBy("part").parquet(path)
+    return sampling.part_sample(t.spark, path, 5, whole_folders=True).select("event_id", "event_type", "part")

@@ -31,26 +31,83 @@ def _finish(query) -> None:
         raise query.exception()
 
 
+#: Buckets that keys are kept in, and how many runs are put together into one.
+BUCKETS, FAN = 64, 8
+
+
+def runs_before(batch: int, fan: int = FAN) -> list[tuple[int, int]]:
+    """The runs [from, to) that hold all batches before `batch`: fewer than `fan` of each length, lengths being powers of it."""
+    out, at = [], 0
+    while at < batch:
+        size = 1
+        while at % (size * fan) == 0 and at + size * fan <= batch:
+            size *= fan
+        out.append((at, at + size))
+        at += size
+    return out
+
+
+def _completed_by(batch: int, fan: int) -> list[tuple[int, int]]:
+    """The longer runs that batch number `batch` completes, the shorter first."""
+    out, size = [], fan
+    while (batch + 1) % size == 0:
+        out.append((batch + 1 - size, batch + 1))
+        size *= fan
+    return out
+
+
+def _run(root: str, run: tuple[int, int]) -> str:
+    return f"{root}/run={run[0]}-{run[1]}"
+
+
+def _read_runs(spark: SparkSession, root: str, runs: list[tuple[int, int]], schema: T.StructType) -> DataFrame:
+    """The rows of some runs. Their names follow from the batch number, so nothing is listed but what they hold."""
+    parts = [spark.read.schema(schema).parquet(_run(root, r)).withColumn("_to", F.lit(r[1])) for r in runs]
+    return rel.union_all(*parts) if parts else spark.createDataFrame([], T.StructType([*schema, T.StructField("_to", T.IntegerType())]))
+
+
+def _parts_of(run: tuple[int, int], fan: int) -> list[tuple[int, int]]:
+    step = (run[1] - run[0]) // fan
+    return [(a, a + step) for a in range(run[0], run[1], step)]
+
+
 def append_new(
-    spark: SparkSession, landed: str, schema: str | T.StructType, out: str, checkpoint: str, *, key: list[str], time_col: str, files_per_batch: int | None = None
+    spark: SparkSession, landed: str, schema: str | T.StructType, out: str, checkpoint: str, *, key: list[str], time_col: str,
+    files_per_batch: int | None = None, buckets: int = BUCKETS, fan: int = FAN,
 ) -> None:
     """Append every record whose key has not been seen before, however late it lands.
 
-    A batch keeps its keys once, the earliest record by `time_col`, and drops those that earlier
-    batches wrote. It goes to its own folder, partitioned by month, and a batch that is run again
-    overwrites that folder and reads only the ones before it. Of what was written, only
-    the key columns are read. The output has the columns of the source, `month` and `batch`.
+    A batch keeps its keys once, the earliest record by `time_col`, and drops those that earlier batches
+    wrote. It goes to its own folder, partitioned by month, and a batch that is run again overwrites what
+    it wrote. The output has the columns of the source, `month` and `batch`.
+
+    Seen keys lie beside the output in `{out}-keys`, in runs of batches, each partitioned by a bucket of the key. A batch
+    reads only the buckets that its own keys fall into. Whenever `fan` runs of a length are complete they are put together,
+    so after n batches a bucket lies in fewer than fan * log(n) files and a key has been rewritten log(n) times.
     """
+    kept = f"{out}-keys"
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        keys = T.StructType([*(batch.schema[k] for k in key), T.StructField("bucket", T.IntegerType())])
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
         rest = sorted(c for c in batch.columns if c not in key and c != time_col)
-        fresh = rel.first_by(batch, key, [time_col, *rest])
-        earlier = _batches_before(batch.sparkSession, out, batch_id)
-        if earlier:
-            seen = batch.sparkSession.read.option("basePath", out).parquet(*earlier).select(*key)
-            fresh = fresh.join(seen, key, "left_anti")
+        fresh = rel.first_by(batch, key, [time_col, *rest]).withColumn("bucket", bucket)
+        runs = runs_before(batch_id, fan)
+        if runs:
+            fresh = fresh.persist()
+            touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())
+            seen = _read_runs(session, kept, runs, keys).filter(F.col("bucket").isin(touched)).select("bucket", *key)
+            new = fresh.join(seen, ["bucket", *key], "left_anti")
+        else:
+            new = fresh
         month = F.date_format(F.col(time_col).cast("timestamp"), "yyyy-MM")
-        fresh.withColumn("month", month).write.mode("overwrite").partitionBy("month").parquet(f"{out}/batch={batch_id}")
+        new.drop("bucket").withColumn("month", month).write.mode("overwrite").partitionBy("month").parquet(f"{out}/batch={batch_id}")
+        written = session.read.schema(T.StructType([*batch.schema, T.StructField("month", T.StringType())])).parquet(f"{out}/batch={batch_id}")
+        _by_bucket(written.select(*key).withColumn("bucket", bucket), _run(kept, (batch_id, batch_id + 1)))
+        for run in _completed_by(batch_id, fan):
+            _by_bucket(_read_runs(session, kept, _parts_of(run, fan), keys).select(*key, "bucket"), _run(kept, run))
+        fresh.unpersist()
 
     _finish(
         _source(spark, landed, schema, files_per_batch).writeStream.foreachBatch(write)
@@ -58,42 +115,64 @@ def append_new(
     )
 
 
-def _batches_before(spark: SparkSession, out: str, batch_id: int) -> list[str]:
-    """Folders of earlier batches that hold files, as the file system lists them."""
-    paths = []
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(out)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for k in range(batch_id):
-        folder = jvm.org.apache.hadoop.fs.Path(f"{out}/batch={k}")
-        # A batch without new records has no month folder and so no schema.
-        if fs.exists(folder) and any(s.isDirectory() for s in fs.listStatus(folder)):
-            paths.append(f"{out}/batch={k}")
-    return paths
+def _by_bucket(keys: DataFrame, path: str) -> None:
+    """One file a bucket and task; a large bucket is dealt to several tasks by AQE's rebalancing."""
+    keys.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def upsert_log(
-    spark: SparkSession, landed: str, schema: str | T.StructType, out: str, checkpoint: str, *, key: list[str], modified: str, files_per_batch: int | None = None
+    spark: SparkSession, landed: str, schema: str | T.StructType, out: str, checkpoint: str, *, key: list[str], modified: str,
+    files_per_batch: int | None = None, fan: int = FAN,
 ) -> None:
-    """Newest version per key of every batch, written under the batch number.
+    """Newest version per key of every batch, as a log of runs under `out`.
 
-    A batch that is run again overwrites its own folder, so the log holds no copies.
-    Read it with `latest`.
+    A batch that is run again overwrites its own run. Whenever `fan` runs of a length are complete they are put together
+    into one with a single version per key; when all that landed is taken, the whole log is put together once,
+    so `latest` reads one version per key.
     """
+    wide = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def newest(rows: DataFrame) -> DataFrame:
+        """Later batches win ties."""
+        rest = sorted(c for c in wide.names if c not in key and c != modified)
+        return rel.last_by(rows, key, [modified, "_to", *rest]).select(*wide.names)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rest = sorted(c for c in batch.columns if c not in key and c != modified)
-        rel.last_by(batch, key, [modified, *rest]).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        newest(batch.withColumn("_to", F.lit(0))).write.mode("overwrite").parquet(_run(out, (batch_id, batch_id + 1)))
+        for run in _completed_by(batch_id, fan):
+            newest(_read_runs(batch.sparkSession, out, _parts_of(run, fan), wide)).write.mode("overwrite").parquet(_run(out, run))
 
-    _finish(
+    query = (
         _source(spark, landed, schema, files_per_batch).writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+    _finish(query)
+    done = _batches_done(spark, checkpoint)
+    if done and not _exists(spark, f"{out}/whole={done}/_SUCCESS"):
+        newest(_read_runs(spark, out, runs_before(done, fan), wide)).write.mode("overwrite").parquet(f"{out}/whole={done}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _numbers(spark: SparkSession, folder: str, prefix: str = "") -> list[int]:
+    """The numbers that entries of a folder are named by, behind a prefix."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return [int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit()]
+
+
+def _batches_done(spark: SparkSession, checkpoint: str) -> int:
+    """How many batches the stream has committed."""
+    return max(_numbers(spark, f"{checkpoint}/commits"), default=-1) + 1
 
 
-def latest(spark: SparkSession, out: str, *, key: list[str], modified: str) -> DataFrame:
-    """Newest version per key over all batches of the log; later batches win ties."""
-    return rel.last_by(spark.read.parquet(out), key, [modified, "batch"]).drop("batch")
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """Newest version per key, as of the last run of `upsert_log` that ended."""
+    return spark.read.parquet(f"{out}/whole={max(_numbers(spark, out, 'whole='))}")
 
 
 def score(

@@ -138,7 +138,7 @@ def test_upserts_newest_wins(spark, tmp_path):
     for rows in ([(1, "2", "new"), (2, "1", "x")], [(1, "1", "stale"), (2, "3", "y")]):
         spark.createDataFrame(rows, "id long, m string, v string").write.mode("append").parquet(landed)
         ingest.upsert_log(spark, landed, schema, out, ck, key=["id"], modified="m")
-    assert {r.id: r.v for r in ingest.latest(spark, out, key=["id"], modified="m").collect()} == {1: "new", 2: "y"}
+    assert {r.id: r.v for r in ingest.latest(spark, out).collect()} == {1: "new", 2: "y"}
 
 
 def test_json_and_messages(spark, tmp_path):
@@ -161,3 +161,54 @@ def test_append_keeps_late_keys_and_survives_a_repeat(spark, tmp_path):
     land([(1, "1999-12-31 00:00:00", "latest to land"), (2, "2020-01-01 00:00:00", "copy")])
     got = sorted((r.id, r.v, r.month) for r in spark.read.parquet(out).collect())
     assert got == [(1, "latest to land", "1999-12"), (2, "late", "2020-01"), (3, "newest", "2024-06")]
+
+
+def test_runs_of_batches_cover_each_batch_once():
+    for fan in (2, 3, 8):
+        made = set()
+        for batch in range(200):
+            runs = ingest.runs_before(batch, fan)
+            assert [x for a, b in runs for x in range(a, b)] == list(range(batch)) and all(r in made for r in runs)
+            assert len(runs) < fan * 9
+            made.add((batch, batch + 1))
+            for run in ingest._completed_by(batch, fan):
+                assert all(part in made for part in ingest._parts_of(run, fan))
+                made.add(run)
+
+
+def test_batches_read_only_the_buckets_they_touch(spark, tmp_path):
+    landed, out, ck = (str(tmp_path / x) for x in ("landed", "out", "ck"))
+    schema = "id long, ts timestamp, v string"
+    rng = random.Random(3)
+    seen, want = set(), {}
+    for k in range(6):
+        rows = [(rng.choice([None, *range(25)]), f"20{10 + k}-01-0{rng.randrange(1, 9)} 00:00:00", f"{k}-{i:02d}") for i in range(8)]
+        spark.createDataFrame(rows, "id long, ts string, v string").selectExpr("id", "timestamp(ts) as ts", "v").coalesce(1).write.mode("append").parquet(landed)
+        ingest.append_new(spark, landed, schema, out, ck, key=["id"], time_col="ts", buckets=4, fan=2)
+        for i, ts, v in sorted(rows, key=lambda r: (r[1], r[2])):
+            if i is None or i not in seen:  # a null is no key and equals no other
+                want.setdefault((i, k) if i is None else i, (i, v))
+        seen |= {r[0] for r in rows}
+    got = sorted(((r.id, r.v) for r in spark.read.parquet(out).collect()), key=str)
+    assert got == sorted(want.values(), key=str)
+    runs = {p.name for p in (tmp_path / "out-keys").iterdir()}
+    assert {"run=0-2", "run=0-4", "run=4-6", "run=5-6"} <= runs
+    keys = spark.read.parquet(f"{out}-keys/run=0-4")
+    assert keys.filter("id is not null").count() == keys.filter("id is not null").distinct().count() and set(keys.columns) == {"id", "bucket"}
+
+
+def test_log_is_put_together(spark, tmp_path):
+    landed, out, ck = (str(tmp_path / x) for x in ("landed", "out", "ck"))
+    schema = "id long, m long, v string"
+    rng = random.Random(4)
+    best = {}
+    for k in range(5):
+        rows = [(rng.randrange(6), rng.randrange(10), f"{k}{i}") for i in range(4)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landed)
+        ingest.upsert_log(spark, landed, schema, out, ck, key=["id"], modified="m", fan=2)
+        for i, m, v in rows:
+            best[i] = max(best.get(i, (-1,)), (m, k, v))
+        got = ingest.latest(spark, out)
+        assert got.columns == ["id", "m", "v"] and {r.id: (r.m, r.v) for r in got.collect()} == {i: (m, v) for i, (m, _, v) in best.items()}
+        assert got.count() == len(best)
+    assert {"run=0-4", "run=4-5", "whole=5"} <= {p.name for p in (tmp_path / "out").iterdir()}

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -149,3 +150,38 @@ def test_required_columns_look_at_rows(spark):
     got = {r.column: (r.state, r.rows, r.filled) for r in quality.required_columns(df, ["a", "b", "c"]).collect()}
     assert got == {"a": ("ok", 2, 2), "b": ("empty", 2, 0), "c": ("absent", 2, 0)}
     assert {r.state for r in quality.required_columns(df.limit(0), ["a", "c"]).collect()} == {"empty", "absent"}
+
+
+def test_stratified_draws_the_rows_with_the_smallest_draws(spark):
+    sizes = {115: 700, 116: 40, None: 300, 117: 1}
+    rows = [(c, f"{c}-{i}") for c, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "congress int, id string").repartition(5)
+
+    def brute(size, seed):
+        order = lambda r: hashlib.md5(f"{seed}|{r[1]}".encode()).hexdigest()
+        quota, chosen, rest = size // len(sizes), [], []
+        for c in sizes:
+            own = sorted((r for r in rows if r[0] == c), key=order)
+            chosen, rest = chosen + own[:quota], rest + own[quota:]
+        return set(chosen + sorted(rest, key=order)[: size - len(chosen)])
+
+    for size, seed in ((100, 1), (400, 42), (1_000, 7)):
+        got = sampling.stratified(df, "congress", ["id"], size, seed).collect()
+        assert len(got) == size and {tuple(r) for r in got} == brute(size, seed)
+
+
+def test_a_threshold_that_was_too_low_is_raised(spark, monkeypatch):
+    df = spark.range(3_000).select((F.col("id") % 2).alias("s"), F.col("id").cast("string").alias("k"))
+    want = {r.k for r in sampling.stratified(df, "s", ["k"], 900).collect()}
+    monkeypatch.setattr(sampling.math, "sqrt", lambda x: -x / 7)  # less than what is wanted
+    assert {r.k for r in sampling.stratified(df, "s", ["k"], 900).collect()} == want and len(want) == 900
+
+
+def test_blocks_and_files_are_sampled(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1_000).repartition(10).write.parquet(path)
+    got = sampling.block_sample(spark.read.parquet(path), ["id"], 7)
+    assert got.groupBy("block").count().filter("count = 7").count() == 10 and got.count() == 70
+    names = sorted((p.name for p in (tmp_path / "t").glob("*.parquet")), key=lambda n: hashlib.md5(f"42|{n}".encode()).hexdigest())
+    some = sampling.part_sample(spark, path, 3)
+    assert {r.file for r in some.select("file").distinct().collect()} == set(names[:3]) and len(some.inputFiles()) == 3
