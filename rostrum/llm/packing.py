@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,23 +19,42 @@ CAPACITY = 2_048
 END_ID = 0
 #: Pieces that are packed together; one such group is a few megabytes.
 GROUP = 32_768
-#: Rows that leave a tokenizing task at a time.
-BATCH = 4_096
-#: Segments whose ids a Python worker remembers, twice over.
+#: Segments whose ids a Python worker remembers, twice over; REMEMBERED_BYTES bounds them as well.
 REMEMBERED = 500_000
 
 
-class _Unsafe(Exception):
-    """A segment that cannot be encoded by itself."""
+#: Bytes that remembered segments and their ids may take in a Python worker, twice over, and text encoded at a time.
+REMEMBERED_BYTES = 48 << 20
+CHUNK = 4 << 20
+
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: White space beyond ASCII and separators that tokenizers may take for it; texts with any are encoded whole.
+_ODD = "[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def segments(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where segments begin in the bytes of texts that lie one behind the other; `rows` are the texts' beginnings.
+
+    Byte-level BPE takes a word with the blank before it, the white space before that as one piece, and a last
+    white-space character that is no blank by itself. Nothing is joined across these borders.
+    """
+    n = len(data)
+    blank = _BLANK[data]
+    first = np.zeros(n + 1, bool)
+    first[rows] = True
+    ahead = np.append(blank[1:], True) | first[1:]  # what follows is white space, or the text ends
+    cut = first[:-1] | (blank & ~ahead)  # a text begins; the white space that stands before a word
+    cut[1:] |= blank[1:] & ~blank[:-1]  # white space begins
+    cut[1:] |= cut[:-1] & blank[:-1] & ~blank[1:] & (data[:-1] != 0x20)  # the word behind a line end or a tab
+    return np.flatnonzero(cut)
 
 
 class Encoder(dict):
-    """Ids of whole texts as little-endian 32-bit bytes, by way of their blank-separated segments.
+    """Ids of texts as little-endian 32-bit numbers, by way of their `segments`.
 
-    Byte-level BPE never joins text across a single blank or line end between visible
-    characters, so ids of segments, each encoded once and remembered, are the ids of the text.
-    Texts with other white space there are encoded whole. A key is a segment, marked by a
-    leading NUL where no blank stood before it.
+    The different segments of a chunk are found by dictionary encoding, each is encoded once and remembered, and
+    the texts' ids are gathered from them by offsets. Texts with special tokens or white space
+    beyond ASCII are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -45,34 +65,73 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.size = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: bytes) -> bytes:
         found = self.older.get(key)
         if found is None:
-            text = key if key == "\n" else key[1:] if key[:1] == "\0" else f" {key}"
-            if key != "\n":
-                seen = text.lstrip(" ")
-                if not seen or seen[0].isspace() or seen[-1].isspace():
-                    raise _Unsafe
-            found = np.array([t.id for mapped, _ in self.split(text) for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-        if len(self) >= REMEMBERED:
+            found = np.array([t.id for mapped, _ in self.split(key.decode()) for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+        cost = len(key) + len(found) + 150
+        if len(self) >= REMEMBERED or self.size + cost > REMEMBERED_BYTES:
             self.older = dict(self)
             self.clear()
-        self[key] = found
+            self.size = 0
+        if cost <= REMEMBERED_BYTES // 8:
+            self[key] = found
+            self.size += cost
         return found
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and how many each has. No text is null."""
+        texts = pa.concat_arrays([texts]) if texts.offset else texts
+        _, offsets, buffer = texts.buffers()
+        at = np.frombuffer(offsets, np.int32)[: len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(buffer, np.uint8)[: at[-1]] if at[-1] else np.zeros(0, np.uint8)
+        odd = pc.match_substring_regex(texts, _ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = odd.to_numpy(zero_copy_only=False)
+        filled = np.flatnonzero(np.diff(at))
+        cuts = segments(data, at[filled])
+        parts = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(data)).astype(np.int32)), buffer])
+        row = np.searchsorted(at[1:], cuts, side="right")
+        if odd.any():
+            keep = ~odd[row]
+            parts, row = parts.filter(pa.array(keep)), row[keep]
+        coded = parts.dictionary_encode()
+        each = [self[k] for k in coded.dictionary.to_pylist()]
+        index = coded.indices.to_numpy()
+        size = np.array([len(x) // 4 for x in each], np.int64)
+        flat, start = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
+        n = size[index]
+        total = np.cumsum(n)
+        ids = flat[np.repeat(start[index] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
+        counts = np.bincount(row, weights=n, minlength=len(texts)).astype(np.int64)
+        if odd.any():
+            pieces = np.split(ids, np.cumsum(counts)[:-1])
+            for k in np.flatnonzero(odd).tolist():
+                pieces[k] = np.frombuffer(self.whole(texts[k].as_py()), "<u4")
+                counts[k] = len(pieces[k])
+            ids = np.concatenate(pieces)
+        return ids, counts
+
     def ids(self, text: str) -> bytes:
-        if "\0" in text or any(s in text for s in self.special):
-            return self.whole(text)
-        try:
-            return b"".join(map(self.__getitem__, ("\0" + text.replace("\n", " \n \0")).split(" "))) if text else b""
-        except _Unsafe:
-            return self.whole(text)
+        return self.encode(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of about CHUNK bytes, a longer text by itself."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        base = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
+        yield at, texts.slice(at, upto - at)
+        at = upto
 
 
 def _encoder(path: str) -> Encoder:
@@ -92,24 +151,31 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     cut into full pieces after a first piece that holds the remainder, if there is one.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encode = _encoder(path).ids
+        encode = _encoder(path).encode
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = encode(text.as_py() or "") + end
-                n = len(data) // 4
-                at, number = 0, 0
-                while at < n:
-                    size = (n % capacity or capacity) if at == 0 else capacity
-                    for column, value in zip(out, (doc, number, at, size, zlib.crc32(data[4 * at : 4 * (at + size)]))):
-                        column.append(value)
-                    at, number = at + size, number + 1
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+            for first, texts in _slices(pc.fill_null(batch.column(1), "")):
+                ids, counts = encode(texts)
+                n = counts + 1
+                ends = np.cumsum(n)
+                out = np.full(int(ends[-1]), END_ID, "<u4")
+                body = np.ones(len(out), bool)
+                body[ends - 1] = False
+                out[body] = ids
+                # A document's pieces: the remainder first, if there is one, then full ones.
+                pieces_of = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), pieces_of)
+                number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)
+                head = np.where(n % capacity == 0, capacity, n % capacity)[doc]
+                start = np.where(number == 0, 0, head + (number - 1) * capacity)
+                length = np.where(number == 0, head, capacity)
+                at = 4 * ((ends - n)[doc] + start)
+                view = memoryview(out).cast("B")
+                sums = [zlib.crc32(view[a : a + 4 * k]) for a, k in zip(at.tolist(), length.tolist())]
+                cols = [batch.column(0).take(pa.array(first + doc)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return two.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from rostrum.llm import packing
@@ -81,3 +82,25 @@ def test_each_item_goes_where_the_sum_of_squares_is_smallest():
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_white_space_of_any_kind_is_cut_where_the_tokenizer_cuts():
+    plain, own = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    rng = random.Random(9)
+    spaces = [" ", "  ", "   ", "\n", "\n\n", "\n ", " \n", "\t", "\t\t ", "\r\n", " \r\n\r\n  ", "\x0b", "\x0c "]
+    odd = [" ", "  ", "　 ", "\x1c", "\u0085"]
+    texts = ["".join(rng.choice(["ab", "Zé", "1", "'ll", "?!", "中文", "x"]) + rng.choice(spaces + (odd if k % 4 == 0 else [])) for _ in range(rng.randrange(0, 200))) for k in range(80)]
+    texts += [rng.choice(spaces) + t for t in texts[:40]] + ["", *spaces, *odd]
+    for t in texts:
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)[:80]
+    ids, counts = own.encode(pa.array(texts))
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_remembered_bytes_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 20_000)
+    plain, own = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    text = " ".join([f"word{i}" * (i % 7) for i in range(500)] + ["q" * 9_000])
+    assert np.frombuffer(own.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert own.size <= 20_000 and sum(len(k) + len(v) for k, v in own.older.items()) <= 20_000
