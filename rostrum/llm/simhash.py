@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -89,17 +89,24 @@ def _quarters(fps: list[bytes]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp binary, n_shingles, quarters): one row per input row, in one scan without a shuffle."""
+    """(id, fp binary, n_shingles, quarters, k): one row per input row, in one scan without a shuffle.
+
+    k stands for the text beside its id: a hash, the largest number of all for a null.
+    """
 
     def run(batches):
         for b in batches:
             done = [fingerprint(t.as_py(), shingle, words) for t in b.column(1)]
             fps = [x[0] for x in done]
-            cols = [b.column(0), pa.array(fps, pa.binary()), pa.array([x[1] for x in done], pa.int64()), pa.array(_quarters(fps))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "fp", "n_shingles", "quarters"])
+            cols = [b.column(0), pa.array(fps, pa.binary()), pa.array([x[1] for x in done], pa.int64()), pa.array(_quarters(fps)), b.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "fp", "n_shingles", "quarters", "k"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), _text_key(F.col(text_col)).alias("k"))
+    return rows.mapInArrow(run, "id long, fp binary, n_shingles long, quarters long, k long")
 
-    two = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return two.mapInArrow(run, "id long, fp binary, n_shingles long, quarters long")
+
+def _text_key(text: Column) -> Column:
+    return F.when(text.isNotNull(), F.xxhash64(text.cast("string"))).otherwise(F.lit((1 << 63) - 1))
 
 
 def _cells(fps: DataFrame, radius: int, least_ratio: float | None) -> tuple[DataFrame, list[int]]:
@@ -208,6 +215,19 @@ def links(distinct: DataFrame, radius: int, least_ratio: float | None = None) ->
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _families(fps: DataFrame, radius: int, least_ratio: float | None) -> DataFrame:
+    """(fp, top): every different fingerprint with the first of its component, (least id, fp).
+
+    Fingerprints have numbers of their own, so rows that share an id do not hang together through it.
+    """
+    grouped = fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("least"), F.min("n_shingles").alias("n_shingles"), F.min("quarters").alias("quarters"))
+    distinct = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    linked = components(links(distinct, radius, least_ratio)).join(distinct.select("node", "least", "fp"), "node")
+    first = linked.groupBy("component").agg(F.min(F.struct("least", "fp")).alias("top"))
+    of_linked = linked.select("node", "component").join(first, "component").select("node", "top")
+    return distinct.join(of_linked, "node", "left").select("fp", F.coalesce("top", F.struct("least", "fp")).alias("top"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 2, least_ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of `docs`.
 
@@ -215,19 +235,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: i
     smallest id reachable over links. Equal fingerprints are compared once, so copies cost
     nothing. Null and wordless texts share the zero fingerprint and are linked like any other.
     A row without an id links nothing: it gets its fingerprint and a null component. Rows that
-    repeat an id stay apart, each with its own fingerprint. Other columns are not read.
+    repeat an id are documents of their own: each goes by its fingerprint, and nothing is linked through
+    the id. Other columns are not read.
     """
     fps = staged(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
-    grouped = fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min("quarters").alias("quarters"))
-    distinct = staged(grouped, "distinct")
-    # Rows that repeat an id with other texts put the id under several fingerprints: they hang together through it.
-    reached = components(links(distinct, radius, least_ratio))
-    named = distinct.select("fp", "node").join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = fps.join(named, "fp", "left")
+    out = fps.join(_families(fps, radius, least_ratio), "fp", "left")
     return out.select(
         F.col("id").alias("doc_id"),
         F.lower(F.hex("fp")).alias("fingerprint"),
-        F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.col("top.least")).alias("component_id"),
     )
 
 
@@ -245,13 +261,30 @@ def similarity_radius(similarity: float, words: int) -> int:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each near-duplicate group: the one with the smallest doc_id.
+    """`docs` with one row of each near-duplicate group: the smallest doc_id's.
 
     Five-word shingles, 512 bits, and the radius of a Jaccard similarity of 0.8. Rows without
-    a doc_id stay. Rows that repeat a doc_id are one document: the row with the smallest text stays.
+    a doc_id stay. Rows that share a doc_id but not a group are kept or dropped each for itself. Within a group the
+    smallest doc_id's row stays, once if it is repeated; of its texts with one fingerprint, one, rather not a null.
+
+    What is dropped is named by id and a hash of the text, so texts need not move where the list is small enough to be broadcast.
     """
-    found = near_duplicates(docs, STAGE_SHINGLE, STAGE_WORDS, similarity_radius(STAGE_SIMILARITY, STAGE_WORDS), STAGE_SIMILARITY)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    rest = F.struct(*docs.columns)
-    once = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(rest, F.struct(F.col("text").isNotNull(), "text")).alias("_row")).select("_row.*")
-    return once.union(docs.filter("doc_id is null").select(*docs.columns))
+    words, shingle = STAGE_WORDS, STAGE_SHINGLE
+    fps = staged(fingerprints(docs, shingle, words), "fingerprints").filter("id is not null")
+    rows = fps.groupBy("id", "fp", "k").agg(F.count(F.lit(1)).alias("n"))
+    rows = staged(rows.join(_families(fps, similarity_radius(STAGE_SIMILARITY, words), STAGE_SIMILARITY), "fp"), "families")
+    first = F.min(F.struct("k", "n")).alias("m")
+    kept = rows.filter("id = top.least and fp = top.fp").groupBy("id", "fp").agg(first).select("id", "m.k", "m.n")
+    kept = staged(kept, "kept")
+    dropped = staged(rows.select("id", "k").join(kept, ["id", "k"], "left_anti"), "dropped")
+    named = {"_id": F.col("doc_id").cast("long"), "_k": _text_key(F.col("text"))}
+
+    def listed(table: DataFrame) -> DataFrame:
+        return table.select(F.col("id").alias("_id"), F.col("k").alias("_k"))
+
+    left = docs.withColumns(named).join(listed(dropped), ["_id", "_k"], "left_anti")
+    again = listed(kept.filter("n > 1"))
+    if again.limit(1).count():  # rows that are repeated, which is rare, are brought together and reduced to one
+        one = left.join(again, ["_id", "_k"], "left_semi").groupBy("_id", "_k").agg(F.any_value(F.struct(*docs.columns)).alias("_row"))
+        left = left.join(again, ["_id", "_k"], "left_anti").select(*docs.columns).union(one.select("_row.*"))
+    return left.select(*docs.columns)

@@ -106,3 +106,18 @@ def test_one_document_of_each_group_stays(spark):
     out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert out.columns == ["doc_id", "text", "lang"]
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 2, 9]
+
+
+def test_rows_that_share_an_id_keep_texts_that_have_no_copy(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(120))
+    a, b, c = text(), text(), text()
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x"), (5, c, "x"), (5, c, "x"), (6, c, "x"), (5, None, "x"), (8, None, "x"), (8, "", "x"), (5, " ", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3)
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == ["doc_id", "text", "_row"]
+    got = sorted((r.doc_id, r.text) for r in out.collect())
+    assert got == sorted([(3, a), (5, b), (5, c), (5, " ")])
+    found = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(df.filter("text is not null")).collect()}
+    print_of = lambda t: simhash.fingerprint(t)[0].hex()
+    assert found[7, print_of(b)] == 5 and found[5, print_of(a)] == 3 and found[6, print_of(c)] == 5
