@@ -41,7 +41,8 @@ TEXT_MODEL = (("[etaoinshrd]", 0.70, 10), ("[bcfgjklmpquvwxyz]", 0.16, 16), ("[A
 MAX_SIGMA = 3.3
 #: False-discovery level, shared out by token length: short tokens carry less evidence and get less.
 LEVELS = ((20, 32, 0.002), (32, 64, 0.003), (64, 1 << 30, 0.005))
-BLOCK = 256
+#: Code points of the pieces that a text is cut into before spans are taken out.
+PIECE = 4_096
 
 
 def let(value: Column, fn) -> Column:
@@ -49,22 +50,24 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
-def _running(x: Column) -> Column:
-    """Running sums of an int array, in blocks, so that long arrays are not copied per element."""
+def _running(x: Column, fold=lambda a, b: a + b) -> Column:
+    """Running sums (or another fold that 0 leaves unchanged) of an int array. In blocks of about the root of its length,
+    inside each and then over the blocks, so that appending copies n * sqrt(n) elements and not n * n."""
     empty = F.array().cast("array<int>")
+    width = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(x))).cast("int"))
 
     def last(a: Column) -> Column:
         return F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
 
     def inside(block: Column) -> Column:
-        return F.aggregate(block, empty, lambda acc, v: F.concat(acc, F.array(last(acc) + v)))
+        return F.aggregate(block, empty, lambda acc, v: F.concat(acc, F.array(fold(last(acc), v))))
 
     def spread(blocks: Column) -> Column:
-        offsets = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(last(acc) + last(b))))
-        return let(offsets, lambda off: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda v: v + F.get(off, i)))))
+        offsets = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(fold(last(acc), last(b)))))
+        return let(offsets, lambda off: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda v: fold(F.get(off, i), v)))))
 
-    starts = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))
-    blocks = F.transform(starts, lambda b: inside(F.slice(x, b * BLOCK + 1, F.lit(BLOCK))))
+    starts = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / width).cast("int"))
+    blocks = F.transform(starts, lambda b: inside(F.slice(x, b * width + 1, width)))
     return F.when(F.size(x) == 0, empty).otherwise(let(blocks, spread))
 
 
@@ -81,7 +84,7 @@ def find(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
 
     def place(f: Column) -> Column:
         steps = F.zip_with(F.slice(f["gaps"], F.lit(1), F.size(f["hits"])), f["hits"], lambda g, h: g + F.length(h))
-        ends = let(steps, _running)
+        ends = let(steps, lambda s: _running(s))
         rows = let(
             ends,
             lambda e: F.zip_with(
@@ -238,21 +241,50 @@ def spelled(spans: Column) -> Column:
 MASK = "[SECRET]"
 
 
+def _between(pieces: Column, a: Column, b: Column) -> Column:
+    """The text from code point a up to b, from its pieces of PIECE code points."""
+    i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+    head = F.substring(F.get(pieces, i), a % PIECE + 1, F.lit(PIECE))
+    body = F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    tail = F.coalesce(F.substring(F.get(pieces, j), F.lit(1), b % PIECE), F.lit(""))
+    inside = F.substring(F.get(pieces, i), a % PIECE + 1, b - a)
+    return F.when(a >= b, "").when(i == j, inside).otherwise(F.concat(head, body, tail))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """`text` with MASK in place of the spans, sorted by their start; overlapping ones share a mask.
+
+    What lies between the spans is taken from pieces of the text, so a span costs no more far into a long text.
+    """
+    def cut(x: Column) -> Column:
+        n = F.size(x["starts"])
+        opens = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(x["starts"], i) >= F.get(x["reach"], i - 1)))
+
+        def join(first: Column) -> Column:
+            groups = F.size(first)
+
+            def gap(k: Column) -> Column:
+                upto = F.coalesce(F.get(first, k), n)
+                begin = F.when(k == 0, F.lit(0)).otherwise(F.get(x["reach"], upto - 1))
+                end = F.when(k < groups, F.get(x["starts"], upto)).otherwise(x["length"])
+                return _between(x["pieces"], begin, end)
+
+            return F.array_join(F.transform(F.sequence(F.lit(0), groups), gap), MASK)
+
+        return let(opens, join)
+
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0)).alias("pieces"),
+        F.transform(spans, lambda s: s["start"]).alias("starts"),
+        _running(F.transform(spans, lambda s: s["end"]), F.greatest).alias("reach"),
+        F.length(text).alias("length"),
+    )
+    return F.when(F.size(spans) > 0, let(parts, cut)).otherwise(text)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """`docs` with every span replaced by MASK; overlapping spans share one. n_chars is brought up to date."""
-    df = scan(docs)
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))).otherwise(
-            F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        )
-
-    masked = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], MASK), F.lit(MASK), F.substring(text, acc["at"] + 1, F.length(text))))
-    fresh = F.when(F.size("spans") > 0, masked).otherwise(text)
-    df = computed_once(df, {"_fresh": fresh})
+    df = computed_once(scan(docs), {"_fresh": masked(F.col("text"), F.col("spans"))})
     cols = []
     for c in docs.columns:
         if c == "text":

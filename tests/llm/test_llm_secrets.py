@@ -95,3 +95,40 @@ def test_redact_masks_spans_and_counts_again(spark):
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_masking_equals_brute_force_and_grows_with_the_text(spark):
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = []
+    for n in (0, 1, 5, 4_095, 4_096, 4_097, 20_000):
+        for _ in range(4):
+            text = "".join(rng.choice("ab😀é\n") for _ in range(n))
+            spans = sorted((lambda a: (a, 0, min(n, a + rng.choice([1, 3, 40, 5_000]))))(rng.randrange(n)) for _ in range(rng.choice([0, 1, 4, 60]))) if n else []
+            rows.append((text, spans))
+    want = []
+    for text, spans in rows:
+        out, at = [], 0
+        for a, _, b in spans:
+            if a >= at:
+                out.append(text[at:a])
+            at = max(at, b)
+        want.append(secrets.MASK.join([*out, text[at:]]))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:int,kind:int,end:int>>")
+    assert [r[0] for r in df.select(secrets.masked(F.col("text"), F.col("spans"))).collect()] == want
+    assert spark.createDataFrame([([3, 1, 4] * 500,)], "x array<int>").select(secrets._running(F.col("x"))).first()[0] == [sum(([3, 1, 4] * 500)[: i + 1]) for i in range(1_500)]
+
+    def took(n):
+        line = "plain words and more of them, then password=Zx81kQ99mmPd, " + "filler " * 20
+        docs = spark.createDataFrame([(1, line * n, 0)], "doc_id long, text string, n_chars long")
+        t = time.perf_counter()
+        r = secrets.redact(docs).first()
+        assert r.text.count(secrets.MASK) == n and "Zx81" not in r.text and r.n_chars == len(r.text)
+        return time.perf_counter() - t
+
+    took(100)
+    assert took(50_000) < 120  # ten megabytes
