@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +22,18 @@ END_ID = 0
 #: Pieces that are packed together; one such group is a few megabytes.
 GROUP = 32_768
 #: Segments whose ids a Python worker remembers, twice over; REMEMBERED_BYTES bounds them as well.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
 
 #: Bytes that remembered segments and their ids may take in a Python worker, twice over, and text encoded at a time.
-REMEMBERED_BYTES = 48 << 20
+REMEMBERED_BYTES = 160 << 20
 CHUNK = 4 << 20
+#: Segments that are encoded in one call.
+TOGETHER = 16_384
 
+#: Byte-level vocabularies write printable bytes as themselves and the others as the code points from 256 on, in order.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_MAPPED = dict(zip([b for b in range(256) if b not in _PRINTED], range(256, 512)))
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: White space beyond ASCII and separators that tokenizers may take for it; texts with any are encoded whole.
 _ODD = "[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -63,7 +70,6 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.older: dict[bytes, bytes] = {}
         self.size = 0
@@ -71,19 +77,50 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, key: bytes) -> bytes:
-        found = self.older.get(key)
+    def lookup(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of each segment. Those not remembered are encoded many at a time."""
+        found = list(map(self.get, keys))
+        for lo in range(0, len(keys), TOGETHER):
+            missing = [i for i in range(lo, min(lo + TOGETHER, len(keys))) if found[i] is None]
+            for i in missing:
+                found[i] = self.older.get(keys[i])
+                if found[i] is None:
+                    found[i] = self._word(keys[i].decode())
+            unknown = [i for i in missing if found[i] is None]
+            coded = self.tokenizer.encode_batch_fast([keys[i].decode() for i in unknown], add_special_tokens=False)
+            for i, e in zip(unknown, coded):
+                found[i] = array("I", e.ids).tobytes()
+            for i in missing:
+                self._remember(keys[i], found[i])
+        return found
+
+    def _word(self, text: str) -> bytes | None:
+        """The ids of letters with a blank before them and a mark behind them, or without; None for anything else.
+
+        The tokenizer takes the letters with their blank as one piece and a single mark as another.
+        """
+        body, mark = (text[:-1], text[-1]) if text[-1] in ".,;:!?" else (text, "")
+        if not (body[1:] if body[:1] == " " else body).isalpha():
+            return None
+        key = body.encode()
+        found = (self.get(key) or self.older.get(key)) if mark else None
         if found is None:
-            found = np.array([t.id for mapped, _ in self.split(key.decode()) for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-        cost = len(key) + len(found) + 150
+            found = array("I", [t.id for t in self.model.tokenize(key.decode("latin-1").translate(_MAPPED))]).tobytes()
+        if mark:
+            self._remember(key, found)
+            found += array("I", [t.id for t in self.model.tokenize(mark)]).tobytes()
+        return found
+
+    def _remember(self, key: bytes, found: bytes) -> None:
+        cost = len(key) + len(found) + 180
+        if cost > REMEMBERED_BYTES // 8:
+            return
         if len(self) >= REMEMBERED or self.size + cost > REMEMBERED_BYTES:
             self.older = dict(self)
             self.clear()
             self.size = 0
-        if cost <= REMEMBERED_BYTES // 8:
-            self[key] = found
-            self.size += cost
-        return found
+        self[key] = found
+        self.size += cost
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and how many each has. No text is null."""
@@ -103,9 +140,9 @@ class Encoder(dict):
             keep = ~odd[row]
             parts, row = parts.filter(pa.array(keep)), row[keep]
         coded = parts.dictionary_encode()
-        each = [self[k] for k in coded.dictionary.to_pylist()]
+        each = self.lookup(coded.dictionary.to_pylist())
         index = coded.indices.to_numpy()
-        size = np.array([len(x) // 4 for x in each], np.int64)
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat, start = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
         n = size[index]
         total = np.cumsum(n)
@@ -136,6 +173,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 def _encoder(path: str) -> Encoder:
     """The worker's encoder, kept between its tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has its own core and no more
     import tokenizers
 
     kept = tokenizers.__dict__.setdefault("_rostrum_encoders", {})
