@@ -15,6 +15,10 @@ Q, WINDOW, EDIT_RATE = 10, 100, 0.08
 #: Benchmark text that is indexed, collected and broadcast at a time; larger benchmarks take several passes.
 BLOCK_CHARS = 2_000_000
 CHUNK_CHARS = 2 << 20
+#: Pairs of a gram's places in text and item that are held at a time, and diagonals of a very repetitive text that are.
+MOST_PAIRS, STRETCH = 2_000_000, 2_520
+#: Candidates that are looked at for alignment at a time.
+ALIGNED = 8_192
 SIEVE_BITS = 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
@@ -82,6 +86,7 @@ class Index:
     item_of: np.ndarray
     place_of: np.ndarray
     sieve: np.ndarray
+    sums: tuple[np.ndarray, np.ndarray]  # for the hash of any stretch of the letters
 
     @property
     def items(self) -> np.ndarray:
@@ -138,6 +143,7 @@ def build(rows: list[tuple]) -> Index:
         item_of[order],
         place_of[order],
         sieve,
+        _prefix_hash(np.concatenate(texts) if texts else np.zeros(0, np.uint16)),
     )
 
 
@@ -186,12 +192,96 @@ def search(index: Index, text: np.ndarray, bounds: np.ndarray) -> list[tuple[int
     hit, at = hit[real], at[real]
     if not len(hit):
         return []
+    # Diagonals count from the text's own beginning, so what is found does not depend on the texts before it.
+    own = np.maximum(np.searchsorted(bounds, hit, side="right") - 1, 0)
+    times = index.first[at + 1] - index.first[at]
+    texts = _Hashed(text, bounds, _prefix_hash(text))
+    parts = []
+    for lo, hi in _portions(own, times):
+        if times[lo:hi].sum() <= MOST_PAIRS:
+            parts.append(_placed(index, texts, hit[lo:hi], at[lo:hi], own[lo:hi]))
+        else:
+            parts += _by_stretches(index, texts, hit[lo:hi], at[lo:hi], own[lo:hi])
+    return [r for part in parts for r in part]
+
+
+@dataclass
+class _Hashed:
+    """Texts one behind the other, where they begin, and the sums that give the hash of any stretch."""
+
+    text: np.ndarray
+    bounds: np.ndarray
+    sums: tuple[np.ndarray, np.ndarray]
+
+
+def _portions(own: np.ndarray, times: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of hits that make about MOST_PAIRS pairs, none of which cuts a text; a text that makes more stands alone."""
+    begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    sums = np.add.reduceat(times, begin)
+    ends = np.append(begin[1:], len(own))
+    out, at, size = [], 0, 0
+    for k, n in enumerate(sums.tolist()):
+        if size and size + n > MOST_PAIRS:
+            out.append((int(begin[at]), int(begin[k])))
+            at, size = k, 0
+        size += n
+    return [*out, (int(begin[at]), int(ends[-1]))]
+
+
+def _by_stretches(index: Index, texts: _Hashed, hit: np.ndarray, at: np.ndarray, own: np.ndarray) -> list[list[tuple]]:
+    """One text whose grams stand at many places of items: its diagonals go stretch by stretch, so pairs need bounded
+    memory. Stretches of equal letters are searched once; STRETCH has every number of diagonals of a band as a
+    divisor, and so the lengths that ruled lines and stuttering texts repeat at."""
+    wide = 2 * (int(index.allowed.max()) + 1)
+    reach = index.longest + wide + 2 * WINDOW
+    text, base = texts.text, int(texts.bounds[own[0]])
+    first = base - (index.longest // STRETCH + 1) * STRETCH
+    known: dict[bytes, list[tuple]] = {}
+    out = []
+    for lo in range(first, int(hit[-1]) + 1, STRETCH):
+        use = slice(*np.searchsorted(hit, [lo, lo + STRETCH + wide + index.longest]))
+        if use.stop <= use.start:
+            continue
+        inside = lo - 2 * wide >= base and lo + STRETCH + reach <= len(text)
+        letters = text[lo - 2 * wide : lo + STRETCH + reach].tobytes() if inside else None
+        if letters is not None and letters in known:
+            found = known[letters]
+        else:
+            found = [(o, i, w, e, s - lo, t - lo) for o, i, w, e, s, t in _placed(index, texts, hit[use], at[use], own[use], (lo, lo + STRETCH + wide))]
+            if letters is not None:
+                known = {letters: found} if len(known) > 8 else {**known, letters: found}
+        out.append([(o, i, w, e, s + lo, t + lo) for o, i, w, e, s, t in found])
+    return out
+
+
+def _prefix_hash(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of letters times powers of an odd number, and its inverse powers: hashes of any stretch modulo 2^64."""
+    step = np.full(len(codes) + 1, MIX[0], np.uint64)
+    back = np.full(len(codes) + 1, np.uint64(pow(int(MIX[0]), -1, 1 << 64)), np.uint64)
+    step[0] = back[0] = 1
+    values = (codes.astype(np.uint64) + np.uint64(1)) * MIX[1]
+    values = (values ^ (values >> np.uint64(31))) * MIX[2]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * np.cumprod(step, dtype=np.uint64)[:-1], dtype=np.uint64)])
+    return sums, np.cumprod(back, dtype=np.uint64)
+
+
+def _stretch_hash(hashed: tuple[np.ndarray, np.ndarray], begin: np.ndarray, size: int) -> np.ndarray:
+    sums, back = hashed
+    return (sums[begin + size] - sums[begin]) * back[begin]
+
+
+def _placed(index: Index, texts: _Hashed, hit: np.ndarray, at: np.ndarray, own: np.ndarray, diagonals: tuple[int, int] | None = None) -> list[tuple]:
+    """What the hits of `search` lead to: a row per text, item and window, with its fewest edits and the outermost of its places."""
+    text, bounds = texts.text, texts.bounds
     times = index.first[at + 1] - index.first[at]
     entry = np.repeat(index.first[at] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
     item, place = index.item_of[entry].astype(np.int64), index.place_of[entry]
-    hit = np.repeat(hit, times)
-    # Diagonals count from the text's own beginning, so what is found does not depend on the texts before it.
-    own = np.maximum(np.searchsorted(bounds, hit, side="right") - 1, 0)
+    hit, own = np.repeat(hit, times), np.repeat(own, times)
+    if diagonals:
+        use = (hit - place >= diagonals[0]) & (hit - place < diagonals[1])
+        item, place, hit, own = item[use], place[use], hit[use], own[use]
+    if not len(hit):
+        return []
     shift = index.longest + WINDOW
     # Bands overlap by half: the diagonals of a placement with k edits span k at most.
     band = (hit - bounds[own] - place + shift) // (index.allowed[item] + 1)
@@ -222,20 +312,33 @@ def search(index: Index, text: np.ndarray, bounds: np.ndarray) -> list[tuple[int
     for n, k in sorted(set(zip(size.tolist(), budget.tolist()))):
         these = np.flatnonzero((size == n) & (budget == k))
         ends = np.cumsum(times[these])
-        for s in range(0, int(ends[-1]), 2_048):
-            nth = np.arange(s, min(s + 2_048, int(ends[-1])))
+        for s in range(0, int(ends[-1]), ALIGNED):
+            nth = np.arange(s, min(s + ALIGNED, int(ends[-1])))
             pick = np.searchsorted(ends, nth, side="right")
             of = these[pick]
             window = first[of] + nth - (ends[pick] - times[of])
             x = run[of]
             low = bounds[own[x]] + band[x] * (k + 1) - shift - k + window
             pattern = index.letters[(index.begin[item[x]] + window)[:, None] + np.arange(n)]
-            edits, start, end = _align(pattern, text, low, 2 * (k + 1) + 2 * k)
+            # Equal stretches of text meet equal windows in a repetitive text: each such pair is aligned once.
+            width = 2 * (k + 1) + 2 * k
+            inner = (low >= 0) & (low + n + width <= len(text))
+            codes = np.stack([_stretch_hash(texts.sums, np.where(inner, low, 0), n + width), _stretch_hash(index.sums, index.begin[item[x]] + window, n)])
+            mixed = codes[0] * MIX[1] ^ (codes[1] * MIX[2] >> np.uint64(7)) ^ codes[1]
+            mixed[~inner] = np.arange((~inner).sum(), dtype=np.uint64)
+            _, one, back = np.unique(mixed, return_index=True, return_inverse=True)
+            edits, start, end = (v[back] for v in _align(pattern[one], text, low[one], width))
+            start, end = start - low[one][back] + low, end - low[one][back] + low
             good = edits <= k
             x = x[good]
             number = index.first_window[item[x]] + window[good]
-            found += zip(*(v.tolist() for v in (own[x], item[x], number, edits[good], np.maximum(start[good], 0), np.minimum(end[good], len(text)))))
-    return found
+            found.append(np.stack([own[x], item[x], number, edits[good], np.maximum(start[good], 0), np.minimum(end[good], len(text))]))
+    rows = np.concatenate(found, axis=1) if found else np.zeros((6, 0), np.int64)
+    if not rows.shape[1]:
+        return []
+    rows = rows[:, np.lexsort((rows[3], rows[2], rows[1], rows[0]))]
+    begin = np.flatnonzero(np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)]))
+    return list(zip(*(v.tolist() for v in (*rows[:4, begin], np.minimum.reduceat(rows[4], begin), np.maximum.reduceat(rows[5], begin)))))
 
 
 def _leaks(index: Index, texts: list[str | None]) -> list[tuple]:

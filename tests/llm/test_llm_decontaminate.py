@@ -111,3 +111,38 @@ def test_empty_tables(spark):
     assert d.find(docs, bench).count() == 0 and d.find(some, bench).count() == 0
     assert d.drop_contaminated(some, bench).count() == 1
     assert np.array_equal(d.grams(np.zeros(3, np.uint16)), np.zeros(0, np.uint64))
+
+
+def test_repetitive_texts_take_bounded_time_and_memory():
+    import time
+    import tracemalloc
+
+    rng = random.Random(5)
+    for unit in ("0", "ha", "abcdefg"):
+        item = (unit * 400)[:400]
+        index = d.build([(1, item), (2, "".join(rng.choice("abcdefghij") for _ in range(150)))])
+        short = [unit * (900 // len(unit)), "x" * 300, "lead " + unit * (500 // len(unit)) + " tail"]
+        t = time.perf_counter()
+        tracemalloc.start()
+        got = d._leaks(index, ["some words first " + unit * (1_000_000 // len(unit)) + " and last", *short])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        took = time.perf_counter() - t
+        assert took < 150 and peak < 2 << 30, (unit, took, peak)
+        own = [r for r in got if r[0] == 0]
+        assert len(own) == 1 and own[0][1:5] == (1, 301, 301, 0) and own[0][6] - own[0][5] >= 1_000_000 - 8
+        assert {r[0] for r in got} == {0, 1, 3}
+
+
+def test_stretches_find_what_one_go_finds(monkeypatch):
+    rng = random.Random(9)
+    unit = "".join(rng.choice("abc") for _ in range(12))
+    text = "".join(unit if rng.random() < 0.9 else rng.choice("abc") * rng.randrange(1, 9) for _ in range(160))
+    items = [(1, unit * 20), (2, text[500:750]), (3, unit[5:] + unit * 8 + "b" + unit * 4)]
+    index = d.build(items)
+    texts = [text, text[100:900], "nothing here " * 9, text[::-1]]
+    want = d._leaks(index, texts)
+    assert {r[1] for r in want} == {1, 2, 3}
+    monkeypatch.setattr(d, "MOST_PAIRS", 1_000)
+    monkeypatch.setattr(d, "ALIGNED", 500)
+    assert d._leaks(index, texts) == want
