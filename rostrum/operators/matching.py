@@ -184,43 +184,26 @@ def similar_names(open_names: DataFrame, lookup: DataFrame, cutoff: float = 85.0
     )
 
 
-#: The exact rules in order, and the scopes their keys are looked up in.
-_RULES = ("hearing_member_exact", "hearing_member_exact", "committee_chair_exact", "congress_exact", "congress_exact")
-
-
-def _exact_keys() -> Column:
-    """What each exact rule asks for, as (rule, scope, block, name); a rule whose key has a null asks nothing."""
-    full, word = F.col("speaker_last_name"), F.col("speaker_last_word")
-    hearing, congress = F.col("hearing_id").cast("string"), F.col("congress").cast("string")
-    thomas = F.when(full.isin(*names.CHAIR_NAMES), names.parent_committee(F.col("committee_code")))
-    asked = [("h", hearing, full), ("h", hearing, word), ("chair", congress, thomas), ("c", congress, full), ("c", congress, word)]
-    keys = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(scope).alias("scope"), block.alias("block"), name.alias("name")) for k, (scope, block, name) in enumerate(asked)])
-    return F.filter(keys, lambda x: x["block"].isNotNull() & x["name"].isNotNull())
-
-
-def _exact_answers(hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame) -> DataFrame:
-    """(scope, block, name, bioguide_id), unique by its first three: names of one member in a hearing or a congress, first chairs."""
-    order = ["ord", "bioguide_id"] if "ord" in leaders.columns else ["bioguide_id"]
-    first = rel.first_by(leaders.filter(F.col("role") == "chair"), ["congress", "thomas_id"], order)
-    chair = rel.keep_in(first, members, "bioguide_id").select(F.lit("chair").alias("scope"), F.col("congress").cast("string").alias("block"), F.col("thomas_id").alias("name"), "bioguide_id")
-
-    def single(table: DataFrame, block: str, scope: str) -> DataFrame:
-        return unambiguous(table, block).select(F.lit(scope).alias("scope"), F.col(block).cast("string").alias("block"), F.col("last_name_upper").alias("name"), "bioguide_id")
-
-    return single(hearing_map, "hearing_id", "h").unionByName(chair).unionByName(single(lookup, "congress", "c"))
+def names_of_hearings(hearing_map: DataFrame) -> DataFrame:
+    """(hearing_id, _names): each hearing's unambiguous names with their member, as many as members attend."""
+    entry = F.struct(F.col("last_name_upper"), F.col("bioguide_id"))
+    return unambiguous(hearing_map, "hearing_id").groupBy("hearing_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_names"))
 
 
 def exact_matches(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame, out: str = "_hit") -> DataFrame:
-    """`pairs` with the hit of the first exact rule that has one, all rules in one join and one minimum per pair.
+    """`pairs` with the hit of the first exact rule that has one: a name of the hearing, the committee's chair, a name of the congress.
 
-    Keys with a null are never shuffled: a pair whose rules ask nothing only takes part in the minimum.
+    Hearings bring their names along in one row, so full name and last word take one join on the hearing. Only
+    chairs are joined to the chairs; the other pairs have a null there and stay out of it.
     """
-    asked = pairs.select(*pairs.columns, F.explode(_exact_keys()).alias("_k")).select(*pairs.columns, "_k.*")
-    answered = asked.join(_exact_answers(hearing_map, lookup, leaders, members), ["scope", "block", "name"])
-    label = F.get(F.array(*[F.lit(r) for r in _RULES]), F.col("rule"))
-    hit = answered.select(*pairs.columns, F.struct("rule", _hit(F.col("bioguide_id"), F.lit(100.0), label).alias("hit")).alias("_h"))
-    none = pairs.select(*pairs.columns, F.lit(None).cast(hit.schema["_h"].dataType).alias("_h"))
-    return hit.union(none).groupBy(*pairs.columns).agg(F.min("_h").alias("_h")).select(*pairs.columns, F.col("_h.hit").alias(out))
+    found = pairs.join(names_of_hearings(hearing_map), "hearing_id", "left")
+    member = F.coalesce(F.try_element_at("_names", F.col("speaker_last_name")), F.try_element_at("_names", F.col("speaker_last_word")))
+    found = found.select(*pairs.columns, F.when(member.isNotNull(), _hit(member, F.lit(100.0), F.lit("hearing_member_exact"))).alias("_a"))
+    chair = F.coalesce(F.col("_a").isNull() & F.col("speaker_last_name").isin(*names.CHAIR_NAMES), F.lit(False))
+    led = chairs(found.filter(chair), leaders, members, "_c").select(*pairs.columns, F.col("_c").alias("_a"))
+    found = found.filter(~chair).union(led)
+    found = exact_names(found, unambiguous(lookup, "congress"), "congress", "congress_exact", "_b")
+    return found.select(*pairs.columns, F.coalesce("_a", "_b").alias(out))
 
 
 def match_pairs(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame, cutoff: float = 85.0) -> DataFrame:

@@ -32,7 +32,7 @@ def _finish(query) -> None:
 
 
 #: Buckets that keys are kept in, and how many runs are put together into one.
-BUCKETS, FAN = 64, 8
+BUCKETS, FAN = 16, 8
 
 
 def runs_before(batch: int, fan: int = FAN) -> list[tuple[int, int]]:
