@@ -29,12 +29,12 @@ VARIANTS = {
 
 
 def load_terms(spark: SparkSession, glob: str) -> DataFrame:
-    """Numbered term lists (`…_<n>.csv`, one term per line) -> (version, term, original).
+    """Numbered term lists (`…<n>.csv`, a file or a folder of files, one term per line) -> (version, term, original).
 
     Terms are normalized; a term repeated inside a list is kept once.
     """
     raw = spark.read.schema("original string").csv(glob).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.csv$", 1).cast("int").alias("version"),
+        F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.csv(?:/[^/]*)?$", 1).cast("int").alias("version"),
         F.trim("original").alias("original"),
     )
     return normalized_terms(raw)

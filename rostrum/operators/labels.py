@@ -39,6 +39,19 @@ def binary_metrics(df: DataFrame, truth: str, pred: str, keys: list[str] | None
     return g.withColumn("support", F.col("_tp") + F.col("_fn")).drop("_tp", "_fp", "_fn", "_ok")
 
 
+def method_metrics(df: DataFrame, truth: str, methods: dict[str, str], hearing: str) -> DataFrame:
+    """(method, hearing, metrics): every method on every hearing, and under a null hearing the mean over hearings.
+
+    `methods`: {name: column of its predictions}. All methods are counted in one pass; the mean weighs hearings alike.
+    """
+    said = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("said")) for m, c in methods.items()]))
+    long = df.filter(F.col(hearing).isNotNull()).select(F.col(hearing).alias("hearing"), F.col(truth).alias("truth"), said.alias("_x")).select("hearing", "truth", "_x.*")
+    each = binary_metrics(long, "truth", "said", ["method", "hearing"])
+    counted = ("n", "support")
+    mean = each.groupBy("method").agg(*[(F.sum(c) if c in counted else F.avg(c)).alias(c) for c in each.columns if c not in ("method", "hearing")])
+    return each.unionByName(mean, allowMissingColumns=True)
+
+
 def kappa(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
     """Cohen's kappa for any number of labels, from label counts."""
     ks = keys or []

@@ -193,17 +193,15 @@ def names_of_hearings(hearing_map: DataFrame) -> DataFrame:
 def exact_matches(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame, out: str = "_hit") -> DataFrame:
     """`pairs` with the hit of the first exact rule that has one: a name of the hearing, the committee's chair, a name of the congress.
 
-    Hearings bring their names along in one row, so full name and last word take one join on the hearing. Only
-    chairs are joined to the chairs; the other pairs have a null there and stay out of it.
+    Hearings bring their names along in one row, so full name and last word take one join on the hearing.
+    Pairs are read once: the rules follow each other in one plan.
     """
     found = pairs.join(names_of_hearings(hearing_map), "hearing_id", "left")
     member = F.coalesce(F.try_element_at("_names", F.col("speaker_last_name")), F.try_element_at("_names", F.col("speaker_last_word")))
     found = found.select(*pairs.columns, F.when(member.isNotNull(), _hit(member, F.lit(100.0), F.lit("hearing_member_exact"))).alias("_a"))
-    chair = F.coalesce(F.col("_a").isNull() & F.col("speaker_last_name").isin(*names.CHAIR_NAMES), F.lit(False))
-    led = chairs(found.filter(chair), leaders, members, "_c").select(*pairs.columns, F.col("_c").alias("_a"))
-    found = found.filter(~chair).union(led)
+    found = chairs(found, leaders, members, "_c")
     found = exact_names(found, unambiguous(lookup, "congress"), "congress", "congress_exact", "_b")
-    return found.select(*pairs.columns, F.coalesce("_a", "_b").alias(out))
+    return found.select(*pairs.columns, F.coalesce("_a", "_c", "_b").alias(out))
 
 
 def match_pairs(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame, cutoff: float = 85.0) -> DataFrame:

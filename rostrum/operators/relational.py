@@ -175,8 +175,11 @@ def levels(df: DataFrame, col: str, limit: int = 10_000) -> list:
 
 
 def widen(df: DataFrame, keys: list[str], names: str, values: list, aggs: dict[str, str], fill=None) -> DataFrame:
-    """Long to wide with one column per (aggregate, listed value)."""
-    exprs = [F.first(v, ignorenulls=True).alias(out) for out, v in aggs.items()]
+    """Long to wide with one column per (aggregate, listed value). The job fails if a cell has two different values."""
+    def single(v: str) -> Column:
+        return F.when(F.min(v).eqNullSafe(F.max(v)), F.min(v)).otherwise(F.raise_error(F.lit(f"two values of {v} in one cell")))
+
+    exprs = [single(v).alias(out) for out, v in aggs.items()]
     wide = df.groupBy(*keys).pivot(names, values).agg(*exprs)
     return wide if fill is None else wide.fillna(fill)
 

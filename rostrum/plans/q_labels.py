@@ -142,6 +142,21 @@ def eval_by_group(t: Tables) -> DataFrame:
     return _rounded(labels.binary_metrics(predictions(t), "quality", "pred", ["source"]))
 
 
+_METHODS = "m as (select source as hearing, 'model' as method, quality, pred from pr union all select source, 'always', quality, 1 from pr)"
+
+
+@query(
+    "eval_methods",
+    sql=f"""with {PRED_SQL}, {_METHODS}, c as (select method, hearing, {_CELLS.format(t='quality', p='pred')} from m where hearing is not null group by 1, 2), e as (select method, hearing, {_PRF.replace("round(coalesce", "(coalesce").replace(", 6) as", ") as")} from c)
+select method, hearing, round(accuracy, 6) as accuracy, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support, n from e
+union all select method, null, round(avg(accuracy), 6), round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::bigint, sum(n)::bigint from e group by method""",
+)
+def eval_methods(t: Tables) -> DataFrame:
+    """Two methods on every source and their means over sources."""
+    x = predictions(t).withColumn("always", F.lit(1))
+    return _rounded(labels.method_metrics(x, "quality", {"model": "pred", "always": "always"}, "source"))
+
+
 @query(
     "kappa",
     sql=f"with {PRED_SQL}, s as (select avg((quality = pred)::int) as po, avg(quality) * avg(pred) + (1 - avg(quality)) * (1 - avg(pred)) as pe from pr) select round(po, 6) as observed, round(pe, 6) as expected, round((po - pe) / (1 - pe), 6) as kappa from s",

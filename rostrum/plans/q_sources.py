@@ -259,12 +259,8 @@ def dict_load(t: Tables) -> DataFrame:
     """Several numbered term lists, normalized and de-duplicated."""
     path = scratch(t, "dicts")
     for v in (1, 2, 3):
-        t.part.filter(F.col("p_size") % 3 + 1 == v).select(F.upper("p_name")).write.csv(f"{path}/list{v}")
-    parts = [
-        t.spark.read.schema("original string").csv(f"{path}/list{v}").select(F.lit(v).alias("version"), F.trim("original").alias("original"))
-        for v in (1, 2, 3)
-    ]
-    return dictionaries.normalized_terms(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+        t.part.filter(F.col("p_size") % 3 + 1 == v).select(F.upper("p_name")).write.csv(f"{path}/list_{v}.csv")
+    return dictionaries.load_terms(t.spark, f"{path}/list_*.csv")
 
 
 @query("leader_files", sql="select s_nationkey::int as congress, 'T' || s_suppkey as thomas_id, 'chair' as role, 0 as ord, 'B' || s_suppkey as bioguide_id from supplier union all select s_nationkey::int, 'T' || s_suppkey, 'chair', 1, 'C' || s_suppkey from supplier where s_suppkey % 2 = 0 union all select s_nationkey::int, 'T' || s_suppkey, 'ranking_member', 0, 'R' || s_suppkey from supplier")
