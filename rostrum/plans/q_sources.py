@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,9 +227,14 @@ def election_rows(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     line = F.concat_ws(",", 2000 + k % 10, F.concat(F.lit("S"), "c_nationkey"), k, "c_acctbal", F.col("c_acctbal") + 1000, F.when(k % 7 == 0, "x,y"))
     head = "year,state_po,district,candidatevotes,totalvotes"
-    # One file with one header line, as such tables come.
-    whole = t.spark.createDataFrame([(0, head)], "n int, value string").unionByName(t.customer.select(F.lit(1).alias("n"), line.alias("value")))
-    whole.repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.text(path)
+
+    def with_head(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
+
+    # Every file with a header line of its own, as such tables come.
+    t.customer.select(line.alias("value")).mapInArrow(with_head, "value string").write.text(path)
     return readers.elections(t.spark, path)
 
 

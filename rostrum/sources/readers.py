@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv as csv_lines
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,7 +120,7 @@ def _by_header(spark: SparkSession, glob: str) -> dict[tuple[str, ...], list[str
             finally:
                 stream.close()
             if line:
-                header = tuple(c.strip().strip('"') for c in line.lstrip("\ufeff").split(","))
+                header = tuple(c.strip() for c in next(csv_lines.reader([line.lstrip("\ufeff")], skipinitialspace=True)))
                 found.setdefault(header, []).append(status.getPath().toString())
     return found
 
