@@ -118,7 +118,8 @@ def fit(sizes: np.ndarray, col: np.ndarray, counts: np.ndarray, toxic: np.ndarra
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of at most `limit` labelled documents, the same ones every time.
 
-    Repeated labels of a document count as toxic if one does; null ids, labels and texts are left out.
+    Repeated labels of a document count as toxic if one does; null ids, labels and texts are left out. Of rows
+    that share a labelled id one counts, so at most `limit` rows come to the driver.
     The drawn ids, `limit` at most, are broadcast, so documents are scanned and not moved.
     Features are counted and screened on Spark; the MAX_FEATURES that lean most come to the driver, and
     with them the labelled documents reduced to those.
@@ -134,6 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col:
             yield pa.RecordBatch.from_arrays(cols, ["id", "y", "words", "counts"])
 
     sample = texts.join(F.broadcast(drawn), "id").select("id", "y", "text").mapInArrow(count, "id long, y int, words binary, counts binary")
+    # One row per id, however often it is repeated, before anything is counted or collected.
+    row = F.struct("y", "words", "counts")
+    sample = sample.groupBy("id").agg(F.min(row).alias("_r")).select("id", "_r.y", "_r.words", "_r.counts")
     sample = staged(sample, "labelled")
     total, total_bad = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
 
@@ -173,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col:
             cols = [b.column(0), b.column(1), *(pa.array([np.array([x[i] for x in k], np.int32).tobytes() for k in kept], pa.binary()) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays(cols, ["id", "y", "col", "counts"])
 
-    found = sample.mapInArrow(reduce, "id long, y int, col binary, counts binary").toPandas().drop_duplicates("id").sort_values("id")
+    found = sample.mapInArrow(reduce, "id long, y int, col binary, counts binary").toPandas().sort_values("id")
     col, counts = (np.frombuffer(b"".join(found[c]), np.int32) for c in ("col", "counts"))
     sizes = found["col"].map(len).to_numpy(np.int64) // 4
     return fit(sizes, col, counts, found["y"].to_numpy(), names, np.array([leans[f] for f in names]))

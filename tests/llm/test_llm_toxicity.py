@@ -54,3 +54,14 @@ def test_edge_cases(spark):
     none = toxicity.train(df, labels.filter("false"))
     assert not any(r.toxic for r in toxicity.assess(df, none).collect())
     assert toxicity.assess(df.filter("false"), none).count() == 0
+
+
+def test_copies_of_a_labelled_id_count_once(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["calm", "plain", "table", "river", "stone", "paper"])
+    rows = [(i, " ".join([word() for _ in range(30)] + (["vile", "scum"] * 4 if i % 4 == 0 else []))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    once = toxicity.train(docs, labels)
+    again = toxicity.train(docs.union(docs.filter("doc_id < 8")).union(docs.filter("doc_id = 4")).repartition(3), labels)
+    assert np.array_equal(once.cuts, again.cuts) and once.weights == again.weights
