@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE = 16_384
 BLOCKS = 256
@@ -87,12 +88,20 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     return g.select(*keys, *cols)
 
 
-def modal_value(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def modal_value(df: DataFrame, keys: list[str], value: str, out: str, parts: int | None = None) -> DataFrame:
     """Most frequent non-null value per group, ties to the smaller one.
 
-    Counted per (group, value) first, so no group's values meet in one task.
+    Counted per (group, value) first, so no group's values meet in one task. `parts`: tasks that count; by
+    default Spark's choice, which has as many for a large table as for a small one.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    rows = df.filter(F.col(value).isNotNull())
+    counts = (rows.repartition(parts, *keys, value) if parts else rows).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    kind = df.schema[value].dataType
+    if isinstance(kind, T.IntegralType):
+        # Count and value in one number, which a hash aggregate keeps in place: nothing is sorted.
+        packed = F.expr(f"cast(_c as decimal(19, 0)) * 18446744073709551616BD + (9223372036854775807BD - cast(`{value}` as decimal(19, 0)))")
+        most = F.max(packed) % F.expr("18446744073709551616BD")
+        return counts.groupBy(*keys).agg((F.expr("9223372036854775807BD") - most).cast(kind).alias(out))
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_c"), F.col(value))).alias(out))
 
 
