@@ -158,11 +158,31 @@ def is_witness(speaker, ignore_case: bool = False) -> Column:
     return ~hit
 
 
-def bounded(term: str, whole_words: bool = True) -> str:
-    """Regex for a literal term; word boundaries only where the edge is a word character."""
+def _edges(term: str, whole_words: bool = True) -> tuple[str, str]:
+    """What `bounded` puts before and behind a term."""
     # Next to a word character of the term there must be none in the text.
     before, after = (r"(?<!\w)" if term[:1].isalnum() or term[:1] == "_" else ""), (r"(?!\w)" if term[-1:].isalnum() or term[-1:] == "_" else "")
-    return f"{before}{re.escape(term)}{after}" if whole_words else re.escape(term)
+    return (before, after) if whole_words else ("", "")
+
+
+def bounded(term: str, whole_words: bool = True) -> str:
+    """Regex for a literal term; word boundaries only where the edge is a word character."""
+    before, after = _edges(term, whole_words)
+    return f"{before}{re.escape(term)}{after}"
+
+
+def _any_of(terms: list[str], whole_words: bool = True) -> str:
+    """Regex that is found where any of the literal terms is found, bounded as by `bounded`.
+
+    A place in the text is looked at once for all terms: first its letter, then what is before it, then the terms.
+    """
+    if not all(terms):
+        return ""  # the empty term is found in any text
+    groups: dict[tuple[str, str], list[str]] = {}
+    for term in terms:
+        groups.setdefault(_edges(term, whole_words), []).append(re.escape(term))
+    starts = "".join(rf"\x{{{ord(c):x}}}" for c in sorted({t[0] for t in terms}))
+    return rf"(?=[{starts}])(?:" + "|".join(f"{before}(?:{'|'.join(some)}){after}" for (before, after), some in groups.items()) + ")"
 
 
 def _flags(case_sensitive: bool) -> str:
@@ -182,8 +202,7 @@ def keyword_list(col) -> Column:
 def has_keyword(text, keywords: list[str], whole_words: bool = True) -> Column:
     if not keywords:
         return F.lit(False)
-    pattern = _flags(False) + "|".join(bounded(k, whole_words) for k in keywords)
-    return F.coalesce(text.rlike(pattern), F.lit(False))
+    return F.coalesce(text.rlike(_flags(False) + _any_of(keywords, whole_words)), F.lit(False))
 
 
 def search(text, query: str, *, case_sensitive=False, whole_words=False, regex=False) -> Column:
