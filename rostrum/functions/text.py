@@ -241,9 +241,9 @@ def tokens(text) -> Column:
 
 def normalize_terms(text) -> Column:
     """Dictionary normal form: lower case, dashes to blanks, letters and digits only."""
-    t = F.regexp_replace(F.lower(text), "-", " ")
-    t = F.regexp_replace(t, "[^A-Za-z0-9 ]", "")
-    return F.trim(F.regexp_replace(t, " +", " "))
+    t = F.replace(F.lower(text), F.lit("-"), F.lit(" "))
+    t = F.regexp_replace(t, "[^A-Za-z0-9 ]+", "")
+    return F.trim(F.regexp_replace(t, " {2,}", " "))
 
 
 def count_substring(text, needle) -> Column:

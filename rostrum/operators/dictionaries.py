@@ -137,8 +137,9 @@ def term_counts(speeches: DataFrame, key: list[str], text_col: str, terms: DataF
     with the column `term`, of any size.
     """
     norm = text.normalize_terms(F.col(text_col))
-    n_words = F.greatest(F.size(F.split(F.concat(F.lit(" "), norm, F.lit(" ")), " ")) - 2, F.lit(0)).cast("bigint")
-    rows = speeches.select(*key, norm.alias("_t"), n_words.alias("_w"))
+    t = F.col("_t")
+    n_words = F.greatest(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1, F.lit(0)).cast("bigint")
+    rows = speeches.select(*key, norm.alias("_t")).select(*key, "_t", n_words.alias("_w"))
     parts = []
     for k, some in enumerate(_dictionary_slices(terms)):
         shared = speeches.sparkSession.sparkContext.broadcast((some, vars(TermTrie(some))))

@@ -55,9 +55,11 @@ select lang, term, sum(n)::bigint as n, sum(w)::bigint as n_words from e group b
 )
 def term_frequency_many(t: Tables) -> DataFrame:
     """Counts of two thousand phrases, of up to four words, in each language: one pass over the words whatever their number."""
-    words = F.split(text.normalize_terms(F.col("text")), " ")
-    phrase = F.array_join(F.slice(words, F.lit(7), (F.col("doc_id") % 4 + 1).cast("int")), " ")
-    terms = t.documents.filter(F.size(words) >= 10).select(phrase.alias("term")).distinct().orderBy("term").limit(2_000)
+    # Ten whole words of the head are the text's; only a text whose head has fewer is read to its end.
+    head = t.documents.select("doc_id", "text", F.split(text.normalize_terms(F.substring("text", 1, 400)), " ", 11).alias("_head"))
+    words = F.when(F.size("_head") > 10, F.col("_head")).otherwise(F.split(text.normalize_terms(F.col("text")), " ", 11))
+    phrase = F.array_join(F.slice("_w", F.lit(7), (F.col("doc_id") % 4 + 1).cast("int")), " ")
+    terms = head.withColumn("_w", words).filter(F.size("_w") >= 10).select(phrase.alias("term")).distinct().orderBy("term").limit(2_000)
     got = dic.term_frequency(t.documents, ["lang"], "text", dic.term_list(terms))
     return got.select("lang", "term", "n", "n_words")
 
