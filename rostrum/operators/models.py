@@ -347,7 +347,11 @@ def with_products(df: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFram
 
 
 def event_study(df: DataFrame, y: str, year: str, treated: str, reference: int, effects: list[str], cluster: str | None = None) -> Fit:
-    """Treated-by-year coefficients against a reference year, with absorbed effects."""
+    """Treated-by-year coefficients against a reference year, with absorbed effects.
+
+    The columns needed are written once: the levels, the effects and the moments each take a pass over the rows.
+    """
+    df = cut_lineage(df.select(*dict.fromkeys([y, year, treated, *effects, *([cluster] if cluster else [])])))
     years = [v for v in rel.levels(df, year) if v != reference]
     names = [f"{year}::{v}" for v in years]
     x = df.withColumns({n: ((F.col(year) == v) & (F.col(treated) == 1)).cast("double") for n, v in zip(names, years)})
