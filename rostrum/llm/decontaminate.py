@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stage import forget_encoders
+
 #: Letters of a q-gram; of a benchmark window, of which one begins at every letter; edits allowed per letter.
 Q, WINDOW, EDIT_RATE = 10, 100, 0.08
 #: Benchmark text that is indexed, collected and broadcast at a time; larger benchmarks take several passes.
@@ -396,6 +398,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         shared = spark.sparkContext.broadcast(vars(index))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared):
+            forget_encoders()
             local = Index(**shared.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
@@ -418,6 +421,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         shared = spark.sparkContext.broadcast(vars(index))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared):
+            forget_encoders()
             local = Index(**shared.value)
             for batch in batches:
                 bad = {r[0] for r in _leaks(local, batch.column(at).to_pylist())}

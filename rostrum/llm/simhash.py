@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .stage import staged
+from .stage import forget_encoders, staged
 
 SEED = 42
 BLOCK_BYTES = 1 << 20
@@ -95,6 +95,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str
     """
 
     def run(batches):
+        forget_encoders()
         for b in batches:
             done = [fingerprint(t.as_py(), shingle, words) for t in b.column(1)]
             fps = [x[0] for x in done]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,3 +24,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget_encoders() -> None:
+    """Give back the segments that packing remembers in this Python worker; tasks of other stages run in the same workers."""
+    kept = getattr(sys.modules.get("tokenizers"), "_rostrum_encoders", None)
+    if kept:
+        kept.clear()
