@@ -20,9 +20,10 @@ CHAIR_NAMES = ("CHAIRMAN", "CHAIRWOMAN", "CHAIRPERSON")
 SMALL_WORDS = "a an and are as at be but by en for if in is nor not of on or per so the to v via from into than that with".split()
 
 
-def _plain(speaker) -> Column:
-    """Upper case, single blanks, full stops taken off both ends of every word."""
-    return squeeze(F.upper(F.regexp_replace(speaker, r"(?U)\.+(?=\s|$)|(?<=^|\s)\.+", "")))
+def _plain_words(speaker) -> Column:
+    """Upper-case words without the full stops at their ends."""
+    blank = F.regexp_replace(F.upper(speaker), r"(?U)[\s&&[^ ]]", " ")
+    return F.filter(F.transform(F.split(blank, " "), lambda w: F.trim(w, F.lit("."))), lambda w: w != "")
 
 
 def with_name_parts(df: DataFrame, speaker: str = "speaker") -> DataFrame:
@@ -30,14 +31,11 @@ def with_name_parts(df: DataFrame, speaker: str = "speaker") -> DataFrame:
 
     A speaker of nothing but titles keeps the last one; an empty speaker gives null.
     """
-    titles = rf"(?<=^| )(?:{'|'.join(TITLE_WORDS)})(?= |$)"
-    plain = df.withColumn("_plain", _plain(F.col(speaker)))
-    bare = plain.withColumn("_bare", squeeze(F.regexp_replace("_plain", titles, "")))
-    full = F.when(F.col("_bare") != "", F.col("_bare")).when(
-        F.col("_plain") != "", F.substring_index("_plain", " ", -1)
-    )
-    parts = {"speaker_last_name": full, "speaker_last_word": F.substring_index(full, " ", -1)}
-    return computed_once(bare, parts).drop("_plain", "_bare")
+    plain = computed_once(df, {"_words": _plain_words(F.col(speaker))})
+    bare = F.array_join(F.filter("_words", lambda w: ~w.isin(*TITLE_WORDS)), " ")
+    full = F.coalesce(F.nullif(bare, F.lit("")), F.try_element_at("_words", F.lit(-1)))
+    named = computed_once(plain, {"speaker_last_name": full}).drop("_words")
+    return named.withColumn("speaker_last_word", F.substring_index("speaker_last_name", " ", -1))
 
 
 def parent_committee(code) -> Column:

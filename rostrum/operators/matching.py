@@ -25,10 +25,23 @@ def _hit(bioguide: Column, score: Column, label: Column) -> Column:
     )
 
 
+def by_full_name(lookup: DataFrame) -> DataFrame:
+    """A row per congress, last and first name of the lookup, with its least member and its number of rows `_n`.
+
+    The cascade asks no more of namesakes, however many they are; every step that takes a lookup takes this one too.
+    """
+    return lookup.groupBy("congress", "last_name_upper", "first_name").agg(F.count(F.lit(1)).alias("_n"), F.min("bioguide_id").alias("bioguide_id"))
+
+
+def _rows_of(lookup: DataFrame) -> Column:
+    """How many rows of the member lookup a row stands for."""
+    return F.col("_n") if "_n" in lookup.columns else F.lit(1).cast("bigint")
+
+
 def unambiguous(lookup: DataFrame, block: str) -> DataFrame:
     """Names carried by exactly one lookup row within the block, with that row's member."""
     rows = lookup.filter(F.col("last_name_upper").isNotNull() & F.col(block).isNotNull())
-    g = rows.groupBy(block, "last_name_upper").agg(F.count(F.lit(1)).alias("_n"), F.min("bioguide_id").alias("bioguide_id"))
+    g = rows.groupBy(block, "last_name_upper").agg(F.sum(_rows_of(lookup)).alias("_n"), F.min("bioguide_id").alias("bioguide_id"))
     return g.filter(F.col("_n") == 1).drop("_n")
 
 
@@ -68,14 +81,14 @@ def disambiguated(open_names: DataFrame, lookup: DataFrame, out: str = "hit") ->
         ),
     ).filter((F.col("_try.rank") == 0) | (F.col("speaker_last_word") != F.col("speaker_last_name")))
     tried = both.select(*open_names.columns, F.col("_try.rank").alias("_rank"), F.col("_try.name").alias("last_name_upper"))
-    look = lookup.select("congress", "last_name_upper", "bioguide_id", "first_name")
+    look = lookup.select("congress", "last_name_upper", "bioguide_id", "first_name", _rows_of(lookup).alias("_n"))
     words = F.split("speaker_last_name", " ")
     first = F.upper(F.trim("first_name"))
     fits = (first != "") & (F.array_contains(words, first) | F.array_contains(words, F.substring(first, 1, 1)))
     cand = tried.join(look, ["congress", "last_name_upper"]).withColumn("_fit", F.coalesce(fits, F.lit(False)))
     per_try = cand.groupBy(*open_names.columns, "_rank").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count_if("_fit").alias("_fits"),
+        F.sum("_n").alias("_rows"),
+        F.sum(F.when(F.col("_fit"), F.col("_n"))).alias("_fits"),
         F.min(F.when(F.col("_fit"), F.col("bioguide_id"))).alias("_one"),
         F.min("bioguide_id").alias("_any"),
     )
@@ -172,7 +185,7 @@ def similar_names(open_names: DataFrame, lookup: DataFrame, cutoff: float = 85.0
     per_name = (
         lookup.filter(F.col("last_name_upper").isNotNull())
         .groupBy("congress", "last_name_upper")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("bioguide_id").alias("_m"))
+        .agg(F.sum(_rows_of(lookup)).alias("_n"), F.min("bioguide_id").alias("_m"))
     )
     pairs = similar_pairs(open_names, per_name, ["congress"], "speaker_last_name", "last_name_upper", cutoff)
     best = rel.first_by(
@@ -210,7 +223,7 @@ def match_pairs(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, lea
     The lookup and the exact stage's result are written to the checkpoint folder, since the later stages
     read them several times. What is decided and what is not go separate ways, so nulls meet no join.
     """
-    lookup = cut_lineage(lookup.select("congress", "last_name_upper", "bioguide_id", "first_name"))
+    lookup = cut_lineage(by_full_name(lookup))
     m = cut_lineage(exact_matches(pairs, hearing_map, lookup, leaders, members))
     key = ["congress", "speaker_last_name", "speaker_last_word"]
     chair = F.coalesce(F.col("speaker_last_name").isin(*names.CHAIR_NAMES), F.lit(True))
@@ -266,6 +279,6 @@ def low_confidence(df: DataFrame, below: float = 80.0, k: int = 50) -> DataFrame
 
 def match_report(df: DataFrame) -> DataFrame:
     """Rows and share per match type; unmatched rows appear as `unmatched`."""
-    by_type = df.groupBy(F.coalesce("match_type", F.lit("unmatched")).alias("match_type")).agg(F.count(F.lit(1)).alias("n"))
+    by_type = cut_lineage(df.groupBy(F.coalesce("match_type", F.lit("unmatched")).alias("match_type")).agg(F.count(F.lit(1)).alias("n")))
     total = by_type.agg(F.sum("n")).scalar()
     return by_type.withColumn("share", F.col("n") / total.cast("double"))

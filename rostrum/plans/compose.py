@@ -117,6 +117,6 @@ def report(enriched: DataFrame) -> DataFrame:
     """Rows and share by match type, party, chamber and congress: (item, value, n, share)."""
     kinds = {"match_type": "unmatched", "party": "none", "chamber": "none", "congress": "none"}
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.coalesce(F.col(c).cast("string"), F.lit(d)).alias("value")) for c, d in kinds.items()]))
-    counts = enriched.select(cells.alias("_c")).groupBy("_c.item", "_c.value").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(enriched.select(cells.alias("_c")).groupBy("_c.item", "_c.value").agg(F.count(F.lit(1)).alias("n")))
     total = counts.filter(F.col("item") == "match_type").agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.col("n") / total.cast("double"))

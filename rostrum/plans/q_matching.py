@@ -12,7 +12,7 @@ from ..functions.barrier import computed_once
 from ..operators import matching, members, ranking
 from ..operators import relational as rel
 from . import compose
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from .catalog import Tables, query
 from .fixtures import congress_sql, orders_c
 from .q_tables import COMMITTEES_SQL, HEARINGS_SQL, committees, hearings
@@ -282,28 +282,28 @@ def chair_resolution(t: Tables) -> DataFrame:
 @query("disambiguate", sql=f"with {MATCH_SQL} select congress, full_nm as speaker_last_name, bid as bioguide_id from told")
 def disambiguate(t: Tables) -> DataFrame:
     """Names still open after the exact stages, told apart by first name."""
-    m = _open_names(t)
-    return matching.disambiguated(m, compose.member_lookup(sources(t))).select(
+    m, look = _open_names(t)
+    return matching.disambiguated(m, look).select(
         "congress", "speaker_last_name", F.col("hit.bioguide_id").alias("bioguide_id")
     )
 
 
-def _open_names(t: Tables) -> DataFrame:
+def _open_names(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Names that the exact stages leave open, and the lookup, both written since they are read several times."""
     s = sources(t)
     sents = named_sentences(t).filter(~text.is_witness(F.col("speaker")))
     pairs = sents.select(*matching.PAIR).distinct()
-    look = compose.member_lookup(s)
+    look = cut_lineage(matching.by_full_name(compose.member_lookup(s)))
     hmap = members.hearing_member_map(s.hearing_members, s.members)
     m = matching.exact_names(pairs, matching.unambiguous(hmap, "hearing_id"), "hearing_id", "hearing_member_exact", "_a")
     m = matching.exact_names(m, matching.unambiguous(look, "congress"), "congress", "congress_exact", "_b")
     m = m.filter(F.col("_a").isNull() & F.col("_b").isNull() & ~F.col("speaker_last_name").isin(*names.CHAIR_NAMES))
-    return m.select("congress", "speaker_last_name", "speaker_last_word").distinct()
+    return cut_lineage(m.select("congress", "speaker_last_name", "speaker_last_word").distinct()), look
 
 
 @query("fuzzy_match", sql=f"with {MATCH_SQL} select congress, a as speaker_last_name, round(score, 6) as match_score, bid as bioguide_id from fuz")
 def fuzzy_match(t: Tables) -> DataFrame:
-    look = compose.member_lookup(sources(t))
-    open_names = _open_names(t)
+    open_names, look = _open_names(t)
     told = matching.disambiguated(open_names, look).drop("hit")
     rest = open_names.join(told, open_names.columns, "left_anti")
     return matching.similar_names(rest, look).select(
