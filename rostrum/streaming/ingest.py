@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +66,12 @@ def _read_runs(spark: SparkSession, root: str, runs: list[tuple[int, int]], sche
     return rel.union_all(*parts) if parts else spark.createDataFrame([], T.StructType([*schema, T.StructField("_to", T.IntegerType())]))
 
 
+def _read_keys(spark: SparkSession, root: str, runs: list[tuple[int, int]], keys: T.StructType) -> DataFrame:
+    """The seen keys of some runs and their buckets, in one scan."""
+    wide = T.StructType([*keys, T.StructField("run", T.StringType())])
+    return spark.read.schema(wide).option("basePath", root).parquet(*[_run(root, r) for r in runs]).drop("run")
+
+
 def _parts_of(run: tuple[int, int], fan: int) -> list[tuple[int, int]]:
     step = (run[1] - run[0]) // fan
     return [(a, a + step) for a in range(run[0], run[1], step)]
@@ -82,8 +88,9 @@ def append_new(
     it wrote. The output has the columns of the source, `month` and `batch`.
 
     Seen keys lie beside the output in `{out}-keys`, in runs of batches, each partitioned by a bucket of the key. A batch
-    reads only the buckets that its own keys fall into. Whenever `fan` runs of a length are complete they are put together,
-    so after n batches a bucket lies in fewer than fan * log(n) files and a key has been rewritten log(n) times.
+    reads only the buckets that its own keys fall into and, of a whole number as key, the range that they span. Whenever `fan`
+    runs of a length are complete they are put together, so after n batches a bucket lies in fewer than fan * log(n) files and
+    a key has been rewritten log(n) times. Seen keys are looked through where they lie: only those that the batch may hold move.
     """
     kept = f"{out}-keys"
 
@@ -91,23 +98,16 @@ def append_new(
         session = batch.sparkSession
         keys = T.StructType([*(batch.schema[k] for k in key), T.StructField("bucket", T.IntegerType())])
         bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
-        rest = sorted(c for c in batch.columns if c not in key and c != time_col)
-        fresh = rel.first_by(batch, key, [time_col, *rest]).withColumn("bucket", bucket)
         runs = runs_before(batch_id, fan)
+        new = _first_of_each(batch, key, time_col)
         if runs:
-            fresh = fresh.persist()
-            touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())
-            seen = _read_runs(session, kept, runs, keys).filter(F.col("bucket").isin(touched)).select("bucket", *key)
-            new = fresh.join(seen, ["bucket", *key], "left_anti")
-        else:
-            new = fresh
+            new = unseen(new, batch.select(*key), _read_keys(session, kept, runs, keys), key, bucket)
         month = F.date_format(F.col(time_col).cast("timestamp"), "yyyy-MM")
-        new.drop("bucket").withColumn("month", month).write.mode("overwrite").partitionBy("month").parquet(f"{out}/batch={batch_id}")
+        new.withColumn("month", month).write.mode("overwrite").partitionBy("month").parquet(f"{out}/batch={batch_id}")
         written = session.read.schema(T.StructType([*batch.schema, T.StructField("month", T.StringType())])).parquet(f"{out}/batch={batch_id}")
         _by_bucket(written.select(*key).withColumn("bucket", bucket), _run(kept, (batch_id, batch_id + 1)))
         for run in _completed_by(batch_id, fan):
-            _by_bucket(_read_runs(session, kept, _parts_of(run, fan), keys).select(*key, "bucket"), _run(kept, run))
-        fresh.unpersist()
+            _by_bucket(_read_keys(session, kept, _parts_of(run, fan), keys), _run(kept, run))
 
     _finish(
         _source(spark, landed, schema, files_per_batch).writeStream.foreachBatch(write)
@@ -115,9 +115,33 @@ def append_new(
     )
 
 
+def _first_of_each(batch: DataFrame, key: list[str], time_col: str) -> DataFrame:
+    """The earliest row of each key.
+
+    A landed file is often one row group and so one task: its rows are dealt out before they are reduced. Time is part of
+    the deal, so a key that holds much of a batch is still reduced by many tasks.
+    """
+    rest = sorted(c for c in batch.columns if c not in key and c != time_col)
+    return rel.first_by(batch.repartition(*key, time_col), key, [time_col, *rest])
+
+
+def unseen(new: DataFrame, asked: DataFrame, seen: DataFrame, key: list[str], bucket: Column) -> DataFrame:
+    """The rows of `new` whose key is not in `seen`; `asked` has the keys of `new`, any number of times. Null keys are never seen."""
+    first = key[0]
+    whole = isinstance(asked.schema[first].dataType, T.IntegralType)
+    span = [F.min(first), F.max(first)] if whole else []
+    touched, n, *ends = asked.agg(F.sort_array(F.collect_set(bucket)), F.count(F.lit(1)), *span).first()
+    near = seen.filter(F.col("bucket").isin(touched))
+    if whole:
+        near = near.filter(F.col(first).between(*ends))
+    marked, perhaps = rel.perhaps_listed(near.select(*key), asked, key, n)
+    return new.join(marked.filter(perhaps).select(*key), key, "left_anti")
+
+
 def _by_bucket(keys: DataFrame, path: str) -> None:
-    """One file a bucket and task; a large bucket is dealt to several tasks by AQE's rebalancing."""
-    keys.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """One file a bucket and task, in order of the keys; a large bucket is dealt to several tasks by AQE's rebalancing."""
+    key = [c for c in keys.columns if c != "bucket"]
+    keys.hint("rebalance", "bucket").sortWithinPartitions("bucket", *key).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def upsert_log(
