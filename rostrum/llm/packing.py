@@ -22,12 +22,12 @@ END_ID = 0
 #: Pieces that are packed together; one such group is a few megabytes.
 GROUP = 32_768
 #: Segments whose ids a Python worker remembers, twice over; REMEMBERED_BYTES bounds them as well.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 
 #: Bytes that remembered segments and their ids may take in a Python worker, twice over, and text encoded at a time.
-REMEMBERED_BYTES = 160 << 20
-CHUNK = 4 << 20
+REMEMBERED_BYTES = 96 << 20
+CHUNK = 1 << 20
 #: Segments that are encoded in one call.
 TOGETHER = 16_384
 
@@ -191,6 +191,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]):
+        pa.default_memory_pool().release_unused()  # what tasks of other stages left in this worker
         encode = _encoder(path).encode
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:

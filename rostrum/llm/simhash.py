@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import perhaps_listed
 from .graph import components
 from .stage import forget_encoders, staged
 
@@ -268,7 +269,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     a doc_id stay. Rows that share a doc_id but not a group are kept or dropped each for itself. Within a group the
     smallest doc_id's row stays, once if it is repeated; of its texts with one fingerprint, one, rather not a null.
 
-    What is dropped is named by id and a hash of the text, so texts need not move where the list is small enough to be broadcast.
+    What is dropped is named by id and a hash of the text. Texts that cannot be on that list, by a bitmap of it, do not move.
     """
     words, shingle = STAGE_WORDS, STAGE_SHINGLE
     fps = staged(fingerprints(docs, shingle, words), "fingerprints").filter("id is not null")
@@ -277,15 +278,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("k", "n")).alias("m")
     kept = rows.filter("id = top.least and fp = top.fp").groupBy("id", "fp").agg(first).select("id", "m.k", "m.n")
     kept = staged(kept, "kept")
-    dropped = staged(rows.select("id", "k").join(kept, ["id", "k"], "left_anti"), "dropped")
-    named = {"_id": F.col("doc_id").cast("long"), "_k": _text_key(F.col("text"))}
-
-    def listed(table: DataFrame) -> DataFrame:
-        return table.select(F.col("id").alias("_id"), F.col("k").alias("_k"))
-
-    left = docs.withColumns(named).join(listed(dropped), ["_id", "_k"], "left_anti")
-    again = listed(kept.filter("n > 1"))
-    if again.limit(1).count():  # rows that are repeated, which is rare, are brought together and reduced to one
-        one = left.join(again, ["_id", "_k"], "left_semi").groupBy("_id", "_k").agg(F.any_value(F.struct(*docs.columns)).alias("_row"))
-        left = left.join(again, ["_id", "_k"], "left_anti").select(*docs.columns).union(one.select("_row.*"))
-    return left.select(*docs.columns)
+    dropped = rows.select("id", "k").join(kept, ["id", "k"], "left_anti")
+    again = kept.filter("n > 1").select("id", "k")  # rows that are repeated are reduced to one
+    listed = dropped.withColumn("_once", F.lit(False)).union(again.withColumn("_once", F.lit(True)))
+    listed = staged(listed.select(F.col("id").alias("_id"), F.col("k").alias("_k"), "_once"), "listed")
+    n, n_again = listed.agg(F.count(F.lit(1)), F.count_if("_once")).first()
+    named = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), _text_key(F.col("text")).alias("_k"))
+    marked, perhaps = perhaps_listed(named, listed, ["_id", "_k"], n)
+    stay = marked.filter(~perhaps).select("_doc.*")
+    found = marked.filter(perhaps).join(listed, ["_id", "_k"], "left")
+    left = stay.union(found.filter("_once is null").select("_doc.*"))
+    if n_again:
+        one = found.filter("_once").groupBy("_id", "_k").agg(F.any_value("_doc").alias("_doc"))
+        left = left.union(one.select("_doc.*"))
+    return left

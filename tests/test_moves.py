@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from rostrum.llm import simhash
 from rostrum.operators import relational as rel
 from rostrum.streaming import ingest
 
@@ -54,3 +55,18 @@ def test_seen_keys_that_a_batch_does_not_hold_do_not_move(spark):
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert sorted(str(r.k) for r in rows) == sorted(str(a) for a in {*asked, None} if a is None or a % 3)
         assert moved < 5_000
+
+
+def test_texts_that_stay_are_not_moved_for_the_list_of_dropped_ones(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(60))
+    texts = [text() for _ in range(600)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(1_000 + i, texts[i], "y") for i in range(30)] + [(5, texts[5], "x"), (None, texts[9], "z"), (None, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _word string").repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, moved = shuffled_rows(simhash.drop_near_duplicates(df.localCheckpoint()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, text={t!r}, _word={w!r})" for i, t, w in {r for r in rows if r[0] is None or r[0] < 1_000})
+    assert moved < 300
