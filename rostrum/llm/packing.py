@@ -27,7 +27,7 @@ REMEMBERED = 800_000
 
 #: Bytes that remembered segments and their ids may take in a Python worker, twice over, and text encoded at a time.
 REMEMBERED_BYTES = 160 << 20
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 #: Segments that are encoded in one call.
 TOGETHER = 16_384
 
