@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import forget_encoders
+from .stage import forget_encoders, slices
 
 #: Letters of a q-gram; of a benchmark window, of which one begins at every letter; edits allowed per letter.
 Q, WINDOW, EDIT_RATE = 10, 100, 0.08
 #: Benchmark text that is indexed, collected and broadcast at a time; larger benchmarks take several passes.
 BLOCK_CHARS = 2_000_000
-CHUNK_CHARS = 2 << 20
+#: Text that is looked at at a time.
+CHUNK_CHARS = 1 << 20
 #: Pairs of a gram's places in text and item that are held at a time, and diagonals of a very repetitive text that are.
 MOST_PAIRS, STRETCH = 2_000_000, 2_520
 #: Candidates that are looked at for alignment at a time.
@@ -402,7 +403,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             local = Index(**shared.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                rows = [(ids[r], *rest) for r, *rest in _leaks(local, batch.column(1).to_pylist())]
+                rows = [(ids[first + r], *rest) for first, texts in slices(batch.column(1), CHUNK_CHARS) for r, *rest in _leaks(local, texts.to_pylist())]
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [x.split(" ")[0] for x in SCHEMA.split(", ")])
 
@@ -424,9 +425,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             forget_encoders()
             local = Index(**shared.value)
             for batch in batches:
-                bad = {r[0] for r in _leaks(local, batch.column(at).to_pylist())}
-                keep = pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_())
-                yield batch.filter(keep)
+                for first, texts in slices(batch.column(at), CHUNK_CHARS):
+                    bad = {r[0] for r in _leaks(local, texts.to_pylist())}
+                    keep = pa.array([k not in bad for k in range(len(texts))], pa.bool_())
+                    yield batch.slice(first, len(texts)).filter(keep)
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -15,18 +15,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import staged
+from .stage import slices, staged
 
 CAPACITY = 2_048
 END_ID = 0
 #: Pieces that are packed together; one such group is a few megabytes.
 GROUP = 32_768
 #: Segments whose ids a Python worker remembers, twice over; REMEMBERED_BYTES bounds them as well.
-REMEMBERED = 800_000
-
-
+REMEMBERED = 340_000
 #: Bytes that remembered segments and their ids may take in a Python worker, twice over, and text encoded at a time.
-REMEMBERED_BYTES = 160 << 20
+REMEMBERED_BYTES = 64 << 20
 CHUNK = 2 << 20
 #: Segments that are encoded in one call.
 TOGETHER = 16_384
@@ -34,7 +32,9 @@ TOGETHER = 16_384
 #: Byte-level vocabularies write printable bytes as themselves and the others as the code points from 256 on, in order.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _MAPPED = dict(zip([b for b in range(256) if b not in _PRINTED], range(256, 512)))
+_MAPPED_BLANK = chr(_MAPPED[0x20])
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
 #: White space beyond ASCII and separators that tokenizers may take for it; texts with any are encoded whole.
 _ODD = "[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -43,7 +43,8 @@ def segments(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Where segments begin in the bytes of texts that lie one behind the other; `rows` are the texts' beginnings.
 
     Byte-level BPE takes a word with the blank before it, the white space before that as one piece, and a last
-    white-space character that is no blank by itself. Nothing is joined across these borders.
+    white-space character that is no blank by itself. Letters end before ASCII characters of any other kind.
+    Nothing is joined across these borders.
     """
     n = len(data)
     blank = _BLANK[data]
@@ -53,6 +54,10 @@ def segments(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     cut = first[:-1] | (blank & ~ahead)  # a text begins; the white space that stands before a word
     cut[1:] |= blank[1:] & ~blank[:-1]  # white space begins
     cut[1:] |= cut[:-1] & blank[:-1] & ~blank[1:] & (data[:-1] != 0x20)  # the word behind a line end or a tab
+    letter = _LETTER[data]
+    lead, last = data[:-1], data[1:]  # the characters from U+00C0 to U+027F have two bytes, and all but two are letters
+    letter[1:] |= (lead >= 0xC3) & (lead <= 0xC9) & ((lead != 0xC3) | ((last != 0x97) & (last != 0xB7)))
+    cut[1:] |= letter[:-1] & ~letter[1:] & ~blank[1:] & (data[1:] < 0x80)
     return np.flatnonzero(cut)
 
 
@@ -83,9 +88,7 @@ class Encoder(dict):
         for lo in range(0, len(keys), TOGETHER):
             missing = [i for i in range(lo, min(lo + TOGETHER, len(keys))) if found[i] is None]
             for i in missing:
-                found[i] = self.older.get(keys[i])
-                if found[i] is None:
-                    found[i] = self._word(keys[i].decode())
+                found[i] = self.older.get(keys[i]) or self._letters(keys[i].decode())
             unknown = [i for i in missing if found[i] is None]
             coded = self.tokenizer.encode_batch_fast([keys[i].decode() for i in unknown], add_special_tokens=False)
             for i, e in zip(unknown, coded):
@@ -94,22 +97,16 @@ class Encoder(dict):
                 self._remember(keys[i], found[i])
         return found
 
-    def _word(self, text: str) -> bytes | None:
-        """The ids of letters with a blank before them and a mark behind them, or without; None for anything else.
-
-        The tokenizer takes the letters with their blank as one piece and a single mark as another.
-        """
-        body, mark = (text[:-1], text[-1]) if text[-1] in ".,;:!?" else (text, "")
-        if not (body[1:] if body[:1] == " " else body).isalpha():
+    def _letters(self, text: str) -> bytes | None:
+        """The ids of letters with a blank before them, or without, which the tokenizer takes as one piece; None for anything else."""
+        blank = text[:1] == " "
+        if not (text[1:] if blank else text).isalpha():
             return None
-        key = body.encode()
-        found = (self.get(key) or self.older.get(key)) if mark else None
-        if found is None:
-            found = array("I", [t.id for t in self.model.tokenize(key.decode("latin-1").translate(_MAPPED))]).tobytes()
-        if mark:
-            self._remember(key, found)
-            found += array("I", [t.id for t in self.model.tokenize(mark)]).tobytes()
-        return found
+        if text.isascii():
+            text = _MAPPED_BLANK + text[1:] if blank else text
+        else:
+            text = text.encode().decode("latin-1").translate(_MAPPED)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _remember(self, key: bytes, found: bytes) -> None:
         cost = len(key) + len(found) + 180
@@ -142,11 +139,13 @@ class Encoder(dict):
         coded = parts.dictionary_encode()
         each = self.lookup(coded.dictionary.to_pylist())
         index = coded.indices.to_numpy()
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        flat, start = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
+        size = np.fromiter(map(len, each), np.int32, len(each)) // 4  # no text has as many ids as 32 bits can count
+        flat, start = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size, dtype=np.int32) - size
         n = size[index]
-        total = np.cumsum(n)
-        ids = flat[np.repeat(start[index] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
+        total = np.cumsum(n, dtype=np.int32)
+        place = np.repeat(start[index] - (total - n), n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = flat[place]
         counts = np.bincount(row, weights=n, minlength=len(texts)).astype(np.int64)
         if odd.any():
             pieces = np.split(ids, np.cumsum(counts)[:-1])
@@ -160,17 +159,6 @@ class Encoder(dict):
         return self.encode(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, texts) of about CHUNK bytes, a longer text by itself."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(texts):
-        base = ends[at - 1] if at else 0
-        upto = max(at + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
-        yield at, texts.slice(at, upto - at)
-        at = upto
-
-
 def _encoder(path: str) -> Encoder:
     """The worker's encoder, kept between its tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has its own core and no more
@@ -195,7 +183,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         encode = _encoder(path).encode
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
-            for first, texts in _slices(pc.fill_null(batch.column(1), "")):
+            for first, texts in slices(pc.fill_null(batch.column(1), ""), CHUNK):
                 ids, counts = encode(texts)
                 n = counts + 1
                 ends = np.cumsum(n)
@@ -215,6 +203,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 sums = [zlib.crc32(view[a : a + 4 * k]) for a, k in zip(at.tolist(), length.tolist())]
                 cols = [batch.column(0).take(pa.array(first + doc)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names)
+            pa.default_memory_pool().release_unused()
 
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return two.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
@@ -26,8 +30,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of about `size` bytes, a longer text by itself."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        base = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield at, texts.slice(at, upto - at)
+        at = upto
+
+
 def forget_encoders() -> None:
-    """Give back the segments that packing remembers in this Python worker; tasks of other stages run in the same workers."""
+    """Give back what tasks of other stages left in this Python worker: the segments that packing remembers, Arrow's unused memory."""
     kept = getattr(sys.modules.get("tokenizers"), "_rostrum_encoders", None)
     if kept:
         kept.clear()
+    pa.default_memory_pool().release_unused()

@@ -146,3 +146,22 @@ def test_stretches_find_what_one_go_finds(monkeypatch):
     monkeypatch.setattr(d, "MOST_PAIRS", 1_000)
     monkeypatch.setattr(d, "ALIGNED", 500)
     assert d._leaks(index, texts) == want
+
+
+def test_a_batch_is_looked_at_in_slices(spark):
+    import pyarrow as pa
+
+    class Docs:
+        columns, schema, sparkSession = ["text", "n"], None, spark
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    passage = "the quick brown fox jumps over the lazy dog while seven wizards quietly boil their old copper kettles beside a frozen river " * 2
+    docs = Docs()
+    d.drop_contaminated(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    texts = [None if k % 50 == 0 else passage if k % 7 == 0 else f"{k} " + "word " * 3_000 for k in range(200)] + ["x " * d.CHUNK_CHARS, ""]
+    got = list(docs.run([pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(range(len(texts)))], ["text", "n"])]))
+    assert [n for b in got for n in b.column(1).to_pylist()] == [k for k, t in enumerate(texts) if t != passage]
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(0).to_pylist()) <= d.CHUNK_CHARS for b in got)

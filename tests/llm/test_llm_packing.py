@@ -104,3 +104,23 @@ def test_remembered_bytes_are_bounded(monkeypatch):
     text = " ".join([f"word{i}" * (i % 7) for i in range(500)] + ["q" * 9_000])
     assert np.frombuffer(own.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
     assert own.size <= 20_000 and sum(len(k) + len(v) for k, v in own.older.items()) <= 20_000
+
+
+def test_letters_and_the_marks_behind_them_are_remembered_apart():
+    plain, own = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    words, marks = ["Ab", "cé", "ñandú", "x×", "don", "ÿ", "ɏ", "中"], [".", ",", "!?", "'t", "'", "'s.", "1", "$$$", "(a)", "-b", "…", "é"]
+    text = " " + " ".join(w + m + more for w in words for m in marks for more in ("", ".", "'ll"))
+    assert np.frombuffer(own.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    own = packing.Encoder(PATH)
+    own.ids(" one" + "".join(f" one{m}" for m in (".", ",", ";", ":", "!", "?")) + " né né. né,")
+    assert sorted(own) == sorted([b" one", " né".encode(), *(m.encode() for m in ".,;:!?")])
+
+
+def test_a_worker_remembers_no_more_than_a_hundred_megabytes():
+    import sys
+
+    own = packing.Encoder(PATH)
+    for k in range(1_200_000):
+        own._remember(b" w%d" % k, b"12345678")
+    held = sum(sys.getsizeof(d) + sum(sys.getsizeof(k) + 41 for k in d) for d in ({**own}, own.older))
+    assert held < 100e6
