@@ -6,6 +6,8 @@ sentences; each stage only decides pairs that earlier stages left open.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,15 +205,27 @@ def names_of_hearings(hearing_map: DataFrame) -> DataFrame:
     return unambiguous(hearing_map, "hearing_id").groupBy("hearing_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_names"))
 
 
-def exact_matches(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame, out: str = "_hit") -> DataFrame:
-    """`pairs` with the hit of the first exact rule that has one: a name of the hearing, the committee's chair, a name of the congress.
+def asked_names(pairs: DataFrame) -> DataFrame:
+    """(hearing_id, name): the names that the rules look for in a hearing."""
+    return pairs.select("hearing_id", F.explode(F.array("speaker_last_name", "speaker_last_word")).alias("name"))
+
+
+def in_hearing(pairs: DataFrame, hearing_map: DataFrame, out: str = "hit") -> DataFrame:
+    """Full-name match, else last-word match, among the hearing's names.
 
     Hearings bring their names along in one row, so full name and last word take one join on the hearing.
-    Pairs are read once: the rules follow each other in one plan.
     """
     found = pairs.join(names_of_hearings(hearing_map), "hearing_id", "left")
     member = F.coalesce(F.try_element_at("_names", F.col("speaker_last_name")), F.try_element_at("_names", F.col("speaker_last_word")))
-    found = found.select(*pairs.columns, F.when(member.isNotNull(), _hit(member, F.lit(100.0), F.lit("hearing_member_exact"))).alias("_a"))
+    return found.select(*pairs.columns, F.when(member.isNotNull(), _hit(member, F.lit(100.0), F.lit("hearing_member_exact"))).alias(out))
+
+
+def exact_matches(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame, out: str = "_hit") -> DataFrame:
+    """`pairs` with the hit of the first exact rule that has one: a name of the hearing, the committee's chair, a name of the congress.
+
+    Pairs are read once: the rules follow each other in one plan.
+    """
+    found = in_hearing(pairs, hearing_map, "_a")
     found = chairs(found, leaders, members, "_c")
     found = exact_names(found, unambiguous(lookup, "congress"), "congress", "congress_exact", "_b")
     return found.select(*pairs.columns, F.coalesce("_a", "_c", "_b").alias(out))
@@ -223,8 +237,8 @@ def match_pairs(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, lea
     The lookup and the exact stage's result are written to the checkpoint folder, since the later stages
     read them several times. What is decided and what is not go separate ways, so nulls meet no join.
     """
-    lookup = cut_lineage(by_full_name(lookup))
-    m = cut_lineage(exact_matches(pairs, hearing_map, lookup, leaders, members))
+    lookup = cut_lineage(by_full_name(lookup), large=True)
+    m = cut_lineage(exact_matches(pairs, hearing_map, lookup, leaders, members), large=True)
     key = ["congress", "speaker_last_name", "speaker_last_word"]
     chair = F.coalesce(F.col("speaker_last_name").isin(*names.CHAIR_NAMES), F.lit(True))
     can = F.col("_hit").isNull() & F.col("congress").isNotNull() & ~chair
@@ -232,7 +246,8 @@ def match_pairs(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, lea
     left_open = cut_lineage(open_pairs.select(*key).distinct())
     told = cut_lineage(disambiguated(left_open, lookup, "_m"))
     rest = left_open.join(told, key, "left_anti")
-    close = rest.join(similar_names(rest, lookup, cutoff, "_m"), ["congress", "speaker_last_name"]).select(*key, "_m")
+    # Written, so that their size is known and the pairs need not move to meet them.
+    close = cut_lineage(rest.join(similar_names(rest, lookup, cutoff, "_m"), ["congress", "speaker_last_name"]).select(*key, "_m"))
     late = open_pairs.join(told.select(*key, "_m").union(close), key, "left").select(*pairs.columns, "_m")
     settled = m.filter(~can).select(*pairs.columns, F.col("_hit").alias("_m"))
     done = settled.union(late)
@@ -241,10 +256,16 @@ def match_pairs(pairs: DataFrame, hearing_map: DataFrame, lookup: DataFrame, lea
     return rel.union_all(matched, done.filter(F.col("_m").isNull()).drop("_m")).select(*pairs.columns, *_MEMBER, "match_score", "match_type")
 
 
-def match_speakers(sentences: DataFrame, hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame, cutoff: float = 85.0) -> DataFrame:
-    """Sentences with match columns: decide each distinct pair once, then join the matched ones back."""
+def match_speakers(
+    sentences: DataFrame, hearing_map: DataFrame, lookup: DataFrame, leaders: DataFrame, members: DataFrame, cutoff: float = 85.0, facts: DataFrame | None = None
+) -> DataFrame:
+    """Sentences with match columns: decide each distinct pair once, then join the matched ones back.
+
+    `facts`: a row per (bioguide_id, congress) whose other columns the sentences get too. They meet the pairs, so the sentences need not move for them.
+    """
     pairs = sentences.select(*PAIR).distinct()
-    matched = match_pairs(pairs, hearing_map, lookup, leaders, members, cutoff).filter(F.col("bioguide_id").isNotNull()).select(
+    decided = match_pairs(pairs, hearing_map, lookup, leaders, members, cutoff)
+    matched = decided.filter(F.col("bioguide_id").isNotNull()).select(
         "hearing_id",
         "speaker_last_name",
         "committee_code",
@@ -255,7 +276,37 @@ def match_speakers(sentences: DataFrame, hearing_map: DataFrame, lookup: DataFra
         "match_score",
         "match_type",
     )
-    return rel.null_safe_join(sentences, matched, ["hearing_id", "speaker_last_name"], ["committee_code"])
+    if facts is None:
+        return written_back(sentences, matched, ["committee_code"])
+    # A pair is written to its hearing's sentences whatever their congress, which decides about the facts.
+    held = decided.select("hearing_id", "congress").distinct()
+    known = matched.join(held, "hearing_id").join(facts, ["bioguide_id", "congress"], "left")
+    return written_back(sentences, known, ["committee_code", "congress"])
+
+
+def written_back(sentences: DataFrame, matched: DataFrame, nullable: list[str]) -> DataFrame:
+    """`sentences` with the columns of the matched pairs of their hearing, name and `nullable` columns, in which null equals null.
+
+    A hearing's pairs come in one row, as many as its speakers, so sentences that lie by hearing already do not move. They lie in slots
+    of about eight by the hash of the name, and a sentence looks through one of them.
+    """
+    name = "speaker_last_name"
+    rest = [c for c in matched.columns if c not in ("hearing_id", name, *nullable)]
+
+    def slot(name: Column, n: Column) -> Column:
+        return F.pmod(F.hash(name), n)
+
+    def same(x: Column) -> Column:
+        return reduce(lambda a, c: a & x[c].eqNullSafe(F.col(c)), nullable, x[name] == F.col(name))
+
+    named = matched.filter(F.col("hearing_id").isNotNull() & F.col(name).isNotNull())
+    lists = named.groupBy("hearing_id").agg(F.collect_list(F.struct(name, *nullable, *rest)).alias("_all"))
+    n = F.greatest(F.lit(1), F.shiftright(F.size("_all"), 3))
+    slots = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter("_all", lambda x: slot(x[name], n) == i))
+    found = sentences.join(lists.select("hearing_id", slots.alias("_slots")), "hearing_id", "left")
+    near = F.get("_slots", slot(F.col(name), F.size("_slots")))
+    out = found.select(*sentences.columns, F.explode_outer(F.filter(near, same)).alias("_hit"))
+    return out.select(*sentences.columns, *[F.col("_hit")[c].alias(c) for c in rest])
 
 
 def without_late_witnesses(df: DataFrame) -> DataFrame:

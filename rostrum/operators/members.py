@@ -45,8 +45,10 @@ def best_committee(committees: DataFrame, hearings: DataFrame, order: list[str])
     c = c.withColumn("_fit", -F.coalesce(fits, F.lit(False)).cast("int")).withColumn(
         "_named", -F.col("committee_name").isNotNull().cast("int")
     )
-    best = rel.first_by(c, ["hearing_id"], ["_fit", "_named", *order])
-    return best.select("hearing_id", "committee_code", "committee_name")
+    # The order goes first in one struct, so a row moves with each of its values once.
+    told = list(dict.fromkeys(["_fit", "_named", *order, "committee_code", "committee_name"]))
+    best = c.groupBy("hearing_id").agg(F.min(F.struct(*told)).alias("_r"))
+    return best.select("hearing_id", "_r.committee_code", "_r.committee_name")
 
 
 # ---- member lookups ------------------------------------------------------------------
@@ -71,8 +73,30 @@ def lookup_from_hearings(hearing_members: DataFrame, members: DataFrame, hearing
     return with_name_key(seen.distinct().join(members.select(*MEMBER_COLS), "bioguide_id", "left"))
 
 
-def hearing_member_map(hearing_members: DataFrame, members: DataFrame) -> DataFrame:
-    return with_name_key(hearing_members.join(members.select(*MEMBER_COLS), "bioguide_id", "left"))
+def hearing_member_map(hearing_members: DataFrame, members: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Members of hearings with their attributes.
+
+    With `asked` (hearing_id, name) it holds only bioguide_id and last_name_upper of all rows under an asked name, few others,
+    and `_n`, the number of rows a row stands for. A hearing's asked names go to its members as bits of one number and the names of an id
+    as one array, so rows that nobody asks for are never made, however many members share an id.
+    """
+    if asked is None:
+        return with_name_key(hearing_members.join(members.select(*MEMBER_COLS), "bioguide_id", "left"))
+    wanted = asked.filter(F.col("name").isNotNull()).groupBy("hearing_id").agg(F.bit_or(_name_bits(F.col("name"))).alias("_asked"))
+    known = with_name_key(members.select("bioguide_id", "last_name")).filter(F.col("last_name_upper").isNotNull())
+    known = known.groupBy("bioguide_id", "last_name_upper").agg(F.count(F.lit(1)).alias("_n"))
+    entry = F.struct("last_name_upper", "_n", _name_bits(F.col("last_name_upper")).alias("bits"))
+    called = known.groupBy("bioguide_id").agg(F.collect_list(entry).alias("_called"))
+    seen = hearing_members.select("hearing_id", "bioguide_id").join(wanted, "hearing_id").join(called, "bioguide_id")
+    fits = F.filter("_called", lambda x: x["bits"].bitwiseAND(F.col("_asked")) == x["bits"])
+    return seen.select("hearing_id", "bioguide_id", F.explode(fits).alias("_x")).select("hearing_id", "bioguide_id", "_x.last_name_upper", "_x._n")
+
+
+def _name_bits(name: Column) -> Column:
+    """Two of 64 bits that stand for a name."""
+    h, one = F.xxhash64(name), F.lit(1).cast("long")
+    low, high = (F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int") for at in (0, 6))
+    return F.call_function("shiftleft", one, low).bitwiseOR(F.call_function("shiftleft", one, high))
 
 
 def combined_lookup(*sources: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, text
 from ..operators import matching, members, relational, sampling, transcripts
-from ..session import cut_lineage
+from ..session import cut_lineage, return_shuffles
 from ..sources import stage
 
 
@@ -34,12 +34,17 @@ class Sources:
 
 
 def member_lookup(s: Sources) -> DataFrame:
-    """(member, congress) lookup from terms, then hearings, then ideology rows."""
+    """(member, congress) lookup from terms, then hearings, then ideology rows.
+
+    Of the members under one id the lookup keeps the one whose last name is first, so the others are left out before they meet the rows.
+    """
+    cols = [c for c in members.MEMBER_COLS if c != "bioguide_id"]
+    known = relational.first_by(s.members.select(*members.MEMBER_COLS), ["bioguide_id"], ["last_name", *cols])
     seen = s.ideology.filter(F.col("chamber") == "House").select("bioguide_id", "congress").distinct()
-    from_scores = members.with_name_key(seen.join(s.members.select(*members.MEMBER_COLS), "bioguide_id"))
+    from_scores = members.with_name_key(seen.join(known, "bioguide_id"))
     return members.combined_lookup(
-        members.lookup_from_terms(s.members, s.terms, s.congresses),
-        members.lookup_from_hearings(s.hearing_members, s.members, s.hearings),
+        members.lookup_from_terms(known, s.terms, s.congresses),
+        members.lookup_from_hearings(s.hearing_members, known, s.hearings),
         from_scores,
     )
 
@@ -51,33 +56,39 @@ def with_hearing_metadata(sentences: DataFrame, s: Sources) -> DataFrame:
     """
     info = cut_lineage(
         s.hearings.join(members.best_committee(s.committees, s.hearings, s.committee_order), "hearing_id", "left")
-        .join(members.resolve_hearing_dates(s.dates, s.hearings, s.known_sessions), "hearing_id", "left")
+        .join(members.resolve_hearing_dates(s.dates, s.hearings, s.known_sessions), "hearing_id", "left"),
+        large=True,
     )
     out = sentences.join(info, "hearing_id", "left")
     return out if "speaker_last_name" in out.columns else names.with_name_parts(out)
 
 
-def match(named: DataFrame, s: Sources) -> DataFrame:
-    """Legislators' sentences with their member."""
+def match(named: DataFrame, s: Sources, facts: DataFrame | None = None) -> DataFrame:
+    """Legislators' sentences with their member and, if given, the facts of member and congress."""
     spoken = named.filter(~text.is_witness(F.col("speaker")))
-    hmap = members.hearing_member_map(s.hearing_members, s.members)
-    return matching.match_speakers(spoken, hmap, member_lookup(s), s.leaders, s.members)
+    hmap = members.hearing_member_map(s.hearing_members, s.members, matching.asked_names(spoken.select(*matching.PAIR).distinct()))
+    return matching.match_speakers(spoken, hmap, member_lookup(s), s.leaders, s.members, facts=facts)
 
 
-def covariates(matched: DataFrame, s: Sources) -> DataFrame:
-    """Party flags, ideology and seniority, leadership and vote share."""
+def covariates(matched: DataFrame, s: Sources, scores: DataFrame | None = None) -> DataFrame:
+    """Party flags, ideology and seniority, leadership and vote share.
+
+    The shares, a row per district, are written: their size is then known and the sentences need not move to meet them.
+    `scores`: the ideology covariates, if `matched` has them already.
+    """
     out = members.party_flags(matched, s.majority, s.unified)
-    cov = members.ideology_covariates(s.ideology, s.congresses)
-    out = out.join(cov, ["bioguide_id", "congress"], "left")
+    if scores is None:
+        out = out.join(members.ideology_covariates(s.ideology, s.congresses), ["bioguide_id", "congress"], "left")
     out = matching.without_outsiders(out)
     out = members.leadership_flags(out, s.leaders)
-    shares = members.winning_shares(s.elections, s.congresses)
+    shares = cut_lineage(members.winning_shares(s.elections, s.congresses), large=True)
     return out.join(shares, ["state_abbrev", "district_code", "congress"], "left")
 
 
 def enrich(sentences: DataFrame, s: Sources) -> DataFrame:
     named = with_hearing_metadata(sentences, s)
-    return covariates(matching.without_late_witnesses(match(named, s)), s)
+    scores = cut_lineage(members.ideology_covariates(s.ideology, s.congresses), large=True)
+    return covariates(matching.without_late_witnesses(match(named, s, scores)), s, scores)
 
 
 def run(
@@ -108,8 +119,9 @@ def run(
 
 
 def _written(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return_shuffles(df.sparkSession)
     return df.sparkSession.read.parquet(path)
 
 

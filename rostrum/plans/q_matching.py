@@ -293,12 +293,12 @@ def _open_names(t: Tables) -> tuple[DataFrame, DataFrame]:
     s = sources(t)
     sents = named_sentences(t).filter(~text.is_witness(F.col("speaker")))
     pairs = sents.select(*matching.PAIR).distinct()
-    look = cut_lineage(matching.by_full_name(compose.member_lookup(s)))
-    hmap = members.hearing_member_map(s.hearing_members, s.members)
-    m = matching.exact_names(pairs, matching.unambiguous(hmap, "hearing_id"), "hearing_id", "hearing_member_exact", "_a")
+    look = cut_lineage(matching.by_full_name(compose.member_lookup(s)), large=True)
+    hmap = members.hearing_member_map(s.hearing_members, s.members, matching.asked_names(pairs))
+    m = matching.in_hearing(pairs, hmap, "_a")
     m = matching.exact_names(m, matching.unambiguous(look, "congress"), "congress", "congress_exact", "_b")
     m = m.filter(F.col("_a").isNull() & F.col("_b").isNull() & ~F.col("speaker_last_name").isin(*names.CHAIR_NAMES))
-    return cut_lineage(m.select("congress", "speaker_last_name", "speaker_last_word").distinct()), look
+    return cut_lineage(m.select("congress", "speaker_last_name", "speaker_last_word").distinct(), large=True), look
 
 
 @query("fuzzy_match", sql=f"with {MATCH_SQL} select congress, a as speaker_last_name, round(score, 6) as match_score, bid as bioguide_id from fuz")
@@ -451,7 +451,7 @@ def drop_unenriched(t: Tables) -> DataFrame:
     """Matched members who are not House members leave the table."""
     s = sources(t)
     m = matching.without_late_witnesses(matched_sentences(t))
-    cov = members.ideology_covariates(s.ideology).select("bioguide_id", "congress", "nominate_dim1", "seniority")
+    cov = cut_lineage(members.ideology_covariates(s.ideology).select("bioguide_id", "congress", "nominate_dim1", "seniority"), large=True)
     out = matching.without_outsiders(m.join(cov, ["bioguide_id", "congress"], "left"))
     return out.filter(F.col("bioguide_id").isNotNull()).select("hearing_id", "sent_no", "sent_tie", "bioguide_id")
 

@@ -47,11 +47,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def return_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of what has ended; otherwise they stay until the driver happens to collect its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def cut_lineage(df: DataFrame, large: bool = False) -> DataFrame:
     """Write `df` as a Parquet table below the shared checkpoint folder and continue from the files.
 
     Unlike a checkpoint the table keeps its size for the optimizer, is read by column and is compressed.
+    `large`: much was shuffled for it, whose files go once it is written.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if large:
+        return_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import return_shuffles
+
 
 def _status(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -52,7 +54,7 @@ def cached(
     A token stands for inputs and parameters (`token_of`); it is recorded beside the data.
     """
     if not is_fresh(spark, path, newer_than, token):
-        writer = build().write.mode("overwrite").option("compression", "snappy")
+        writer = build().write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
@@ -60,4 +62,5 @@ def cached(
             jvm = spark.sparkContext._jvm
             mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_TOKEN-{token}")
             mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark, True).close()
+        return_shuffles(spark)
     return spark.read.parquet(path)
