@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def return_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of what has ended; otherwise they stay until the driver happens to collect its garbage."""
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.2, 0):  # only the second collection finds the shuffles unused
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def cut_lineage(df: DataFrame, large: bool = False) -> DataFrame:
